@@ -3,11 +3,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from contamgraph.plans.lineage import read_table
 
 
+def held_out(modulus: int) -> Column:
+    """Rows of the contract's held-out part: crc32 of the id as text leaves 2."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == 2
+
+
+def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contamgraph.llm.katz_lm import katz_scores
+
+    out = katz_scores(read_table(spark, sf_dir, "documents"), ~held_out(7))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contamgraph.llm.jaccard_join import near_duplicate_components
 
@@ -22,7 +35,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_ngram_jaccard_join, op9_suffix_array_dedup)}
+    return {f.__name__: f for f in (op3_katz_backoff, op5_ngram_jaccard_join, op9_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
