@@ -21,6 +21,12 @@ def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contamgraph.llm.language_id import identify
+
+    return identify(read_table(spark, sf_dir, "documents"), held_out(4))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contamgraph.llm.jaccard_join import near_duplicate_components
 
@@ -35,7 +41,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_katz_backoff, op5_ngram_jaccard_join, op9_suffix_array_dedup)}
+    return {f.__name__: f for f in (op3_katz_backoff, op4_language_mixture, op5_ngram_jaccard_join, op9_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
