@@ -40,8 +40,20 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contamgraph.llm.secret_scan import scan, span_text
+
+    out = scan(read_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
+    return out.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(span_text(F.col("secret_spans"), ("assign", "access", "hex")), 256).alias("base_sha256"),
+        span_text(F.col("secret_spans")).alias("spans"), of("random").alias("n_random"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_katz_backoff, op4_language_mixture, op5_ngram_jaccard_join, op9_suffix_array_dedup)}
+    return {f.__name__: f for f in (op3_katz_backoff, op4_language_mixture, op5_ngram_jaccard_join, op9_suffix_array_dedup, op10_token_efficiency)}
 
 
 def oracle_sql() -> dict[str, str]:
