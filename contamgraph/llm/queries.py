@@ -14,6 +14,12 @@ def held_out(modulus: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == 2
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contamgraph.llm.decontaminate import leaks
+
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contamgraph.llm.katz_lm import katz_scores
 
@@ -53,7 +59,7 @@ def op10_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_katz_backoff, op4_language_mixture, op5_ngram_jaccard_join, op9_suffix_array_dedup, op10_token_efficiency)}
+    return {f.__name__: f for f in (op1_template_decontamination, op3_katz_backoff, op4_language_mixture, op5_ngram_jaccard_join, op9_suffix_array_dedup, op10_token_efficiency)}
 
 
 def oracle_sql() -> dict[str, str]:
