@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from contamgraph.plans.lineage import read_table
 
 
+def op2_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contamgraph.llm.packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def held_out(modulus: int) -> Column:
     """Rows of the contract's held-out part: crc32 of the id as text leaves 2."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == 2
@@ -59,7 +65,7 @@ def op10_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_decontamination, op3_katz_backoff, op4_language_mixture, op5_ngram_jaccard_join, op9_suffix_array_dedup, op10_token_efficiency)}
+    return {f.__name__: f for f in (op1_template_decontamination, op2_linear_grouping, op3_katz_backoff, op4_language_mixture, op5_ngram_jaccard_join, op9_suffix_array_dedup, op10_token_efficiency)}
 
 
 def oracle_sql() -> dict[str, str]:
