@@ -178,72 +178,99 @@ def _consistent(pairs: list[tuple[int, int, int]]) -> float:
     return good / len(pairs)
 
 
+def _leaks_of_block(chunk: Chunk, buf: np.ndarray, offs: np.ndarray, coverage: float, consistency: float):
+    """Leaks in a block: (document, item id, coverage, windows, slots, slot consistency, verbatim)."""
+    template, literal, doc = canonical(buf, offs)
+    hits = []
+    for width, (table, item, place) in chunk.tables.items():
+        pos, h = windows(template, doc, width)
+        left = np.searchsorted(table, h, "left")
+        some = np.flatnonzero(table[np.minimum(left, len(table) - 1)] == h) if len(table) else np.zeros(0, np.int64)
+        if len(some):
+            n = np.searchsorted(table, h[some], "right") - left[some]
+            entry = B.ranges(left[some], n)
+            hits.append((np.repeat(pos[some], n), item[entry], place[entry], np.full(len(entry), width)))
+    if not hits:
+        return
+    pos, item, place, width = (np.concatenate(x) for x in zip(*hits, strict=True))
+    order = np.lexsort((pos, pos - place, item, doc[pos]))
+    pos, item, place, width = pos[order], item[order], place[order], width[order]
+    for k, a, b in zip(*B.splits(doc[pos] * len(chunk.items) + item), strict=True):
+        d, i = divmod(int(k), len(chunk.items))
+        size = int(chunk.length[i])
+        covered = np.zeros(size, bool)
+        partner = np.full(size, -1, np.int64)
+        for j in range(a, b):  # the first alignment of a token counts
+            t = np.arange(width[j])
+            fresh = ~covered[place[j] + t]
+            partner[place[j] + t[fresh]] = pos[j] + t[fresh]
+            covered[place[j] + t] = True
+        share = float(covered.sum() / size)
+        if share < coverage:
+            continue
+        mine = np.flatnonzero(covered)
+        own = chunk.begin[i] + mine
+        slot = np.isin(chunk.template[own], _TYPES)
+        x, y = chunk.literal[own], literal[partner[mine]]
+        pairs = list(zip(chunk.template[own][slot].tolist(), x[slot].tolist(), y[slot].tolist(), strict=True))
+        agree = _consistent(pairs)
+        if agree >= consistency:
+            yield d, chunk.items[i], share, int(b - a), len(pairs), agree, bool((x == y).all())
+
+
 def _leaks(chunk: Chunk, coverage: float, consistency: float):
     def run(batches):
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("id"))
             for at, _, buf, offs in B.blocks(batch.column(batch.schema.get_field_index("text"))):
-                template, literal, doc = canonical(buf, offs)
-                hits = []
-                for width, (table, item, place) in chunk.tables.items():
-                    pos, h = windows(template, doc, width)
-                    left = np.searchsorted(table, h, "left")
-                    some = np.flatnonzero((left < len(table)) & (table[np.minimum(left, len(table) - 1)] == h)) if len(table) else np.zeros(0, np.int64)
-                    if not len(some):
-                        continue
-                    n = np.searchsorted(table, h[some], "right") - left[some]
-                    entry = B.ranges(left[some], n)
-                    hits.append((np.repeat(pos[some], n), item[entry], place[entry], np.full(len(entry), width)))
-                if not hits:
-                    continue
-                pos, item, place, width = (np.concatenate(x) for x in zip(*hits, strict=True))
-                order = np.lexsort((pos, pos - place, item, doc[pos]))
-                pos, item, place, width = pos[order], item[order], place[order], width[order]
-                key = doc[pos] * len(chunk.items) + item
-                out = {f.name: [] for f in _LEAKS}
-                for k, a, b in zip(*B.splits(key), strict=True):
-                    d, i = divmod(int(k), len(chunk.items))
-                    size = int(chunk.length[i])
-                    covered = np.zeros(size, bool)
-                    partner = np.full(size, -1, np.int64)
-                    for j in range(a, b):  # the first alignment of a token counts
-                        t = np.arange(width[j])
-                        fresh = ~covered[place[j] + t]
-                        partner[place[j] + t[fresh]] = pos[j] + t[fresh]
-                        covered[place[j] + t] = True
-                    share = covered.sum() / size
-                    if share < coverage:
-                        continue
-                    mine = np.flatnonzero(covered)
-                    own = chunk.begin[i] + mine
-                    slot = np.isin(chunk.template[own], _TYPES)
-                    x, y = chunk.literal[own], literal[partner[mine]]
-                    pairs = list(zip(chunk.template[own][slot].tolist(), x[slot].tolist(), y[slot].tolist(), strict=True))
-                    agree = _consistent(pairs)
-                    if agree < consistency:
-                        continue
-                    for name, value in zip(_LEAKS.names, (ids[at + d].as_py(), chunk.items[i], float(share), int(b - a), len(pairs), agree, bool((x == y).all())), strict=True):
-                        out[name].append(value)
-                yield B.table(out, _LEAKS)
+                found = [(ids[at + d].as_py(), *rest) for d, *rest in _leaks_of_block(chunk, buf, offs, coverage, consistency)]
+                if found:
+                    yield B.table(dict(zip(_LEAKS.names, zip(*found, strict=True), strict=True)), _LEAKS)
 
     return run
 
 
-def leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = 8, coverage: float = 0.5, consistency: float = 0.8, shortest: int = 4, chunk_tokens: int = 2_000_000,
-) -> DataFrame:
-    """One row for each (document row, benchmark item) that leaks."""
-    spark = docs.sparkSession
+def _without(chunk: Chunk, text_col: str, coverage: float, consistency: float):
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for at, _, buf, offs in B.blocks(batch.column(batch.schema.get_field_index(text_col))):
+                keep[[at + x[0] for x in _leaks_of_block(chunk, buf, offs, coverage, consistency)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _chunks(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, shortest: int, chunk_tokens: int):
+    """Window tables of bounded parts of the benchmark, one at a time."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
     # bytes / 2 bounds the number of tokens
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, math.ceil(total / 2 / chunk_tokens))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = spark.createDataFrame([], _LEAKS_DDL)
     for c in range(n_chunks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_chunks)) == c)
         part = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         if part:
-            out = out.unionByName(rows.mapInArrow(_leaks(compile_chunk(part, window, shortest), coverage, consistency), _LEAKS_DDL))
+            yield compile_chunk(part, window, shortest)
+
+
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = 8, coverage: float = 0.5, consistency: float = 0.8, shortest: int = 4, chunk_tokens: int = 2_000_000,
+) -> DataFrame:
+    """One row for each (document row, benchmark item) that leaks."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    out = docs.sparkSession.createDataFrame([], _LEAKS_DDL)
+    for chunk in _chunks(benchmark, item_col, item_text_col, window, shortest, chunk_tokens):
+        out = out.unionByName(rows.mapInArrow(_leaks(chunk, coverage, consistency), _LEAKS_DDL))
     return out.withColumnRenamed("id", id_col)
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = 8, coverage: float = 0.5, consistency: float = 0.8, shortest: int = 4, chunk_tokens: int = 2_000_000,
+) -> DataFrame:
+    """The rows of ``docs`` that leak no item, with all their columns."""
+    for chunk in _chunks(benchmark, item_col, item_text_col, window, shortest, chunk_tokens):
+        docs = docs.mapInArrow(_without(chunk, text_col, coverage, consistency), docs.schema)
+    return docs

@@ -148,6 +148,20 @@ def mixtures(cell: np.ndarray, word: np.ndarray, doc: np.ndarray, n_docs: int, t
     return out
 
 
+def _judge(text: pa.Array, at: int, buf: np.ndarray, offs: np.ndarray, names: list[str], table: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions, whether a language is known) of a block's documents."""
+    m = len(offs) - 1
+    share = np.zeros((m, len(names)), np.float32)
+    if len(buf) and names:
+        share = mixtures(*trigram_cells(buf, offs), m, table, penalty)
+    letters = np.concatenate(([0], np.cumsum(_ASCII_LETTER[buf])))
+    letter = letters[offs[1:]] > letters[offs[:-1]]
+    for i in np.flatnonzero(~letter).tolist():
+        value = text[at + i].as_py()
+        letter[i] = value is not None and any(c.isalpha() for c in value)
+    return share, letter & (share.sum(1) > 0)
+
+
 def _predict(names: list[str], table: np.ndarray, penalty: float):
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("langs", pa.list_(pa.string()))])
 
@@ -156,15 +170,7 @@ def _predict(names: list[str], table: np.ndarray, penalty: float):
             ids, held, text = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "held_out", "text"))
             for at, end, buf, offs in B.blocks(text):
                 m = end - at
-                share = np.zeros((m, len(names)), np.float32)
-                if len(buf) and names:
-                    share = mixtures(*trigram_cells(buf, offs), m, table, penalty)
-                letters = np.concatenate(([0], np.cumsum(_ASCII_LETTER[buf])))
-                letter = letters[offs[1:]] > letters[offs[:-1]]
-                for i in np.flatnonzero(~letter).tolist():
-                    value = text[at + i].as_py()
-                    letter[i] = value is not None and any(c.isalpha() for c in value)
-                known = letter & (share.sum(1) > 0)
+                share, known = _judge(text, at, buf, offs, names, table, penalty)
                 top = share.argmax(1) if names else np.zeros(m, int)
                 yield B.table(
                     {
@@ -186,3 +192,22 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(_predict(names, table, penalty), "id long, held_out boolean, lang_pred string, score double, langs array<string>")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_identified(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.4, languages: tuple[str, ...] | None = None, penalty: float = 2.0) -> DataFrame:
+    """The rows of ``docs`` with a known language (one of ``languages``, if given)
+    whose proportion is ``least_score`` or more; all columns are kept as they are."""
+    names, table = fit(docs.where(~F.coalesce(held_out, F.lit(True))), text_col, lang_col)
+    wanted = np.array([languages is None or x in languages for x in names], bool)
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index(text_col))
+            keep = np.zeros(batch.num_rows, bool)
+            for at, end, buf, offs in B.blocks(text):
+                share, known = _judge(text, at, buf, offs, names, table, penalty)
+                if names:
+                    keep[at:end] = known & (share.max(1) >= least_score) & wanted[share.argmax(1)]
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -45,6 +45,35 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(read_table(spark, sf_dir, "documents"))
 
 
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contamgraph.llm.cotrain import classify
+
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contamgraph.llm.maxscore import top_k
+
+    return top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+#: The contract's rules: (host, path, action).
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op8_rarest_token_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contamgraph.llm.url_rules import filter_urls
+
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contamgraph.llm.substring_dedup import repeated_spans
 
@@ -65,8 +94,46 @@ def op10_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_decontamination, op2_linear_grouping, op3_katz_backoff, op4_language_mixture, op5_ngram_jaccard_join, op9_suffix_array_dedup, op10_token_efficiency)}
+    every = (
+        op1_template_decontamination, op2_linear_grouping, op3_katz_backoff, op4_language_mixture, op5_ngram_jaccard_join,
+        op6_cotraining, op7_maxscore_top_k, op8_rarest_token_rules, op9_suffix_array_dedup, op10_token_efficiency,
+    )
+    return {f.__name__: f for f in every}
+
+
+_OP7_SQL = """
+WITH q AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+_OP8_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(raw) + 1) AS after FROM h),
+t AS (SELECT page_id, host, regexp_extract(after, '^[^?#]*') AS path, '.' || host AS dotted, lower(host || after) AS whole FROM p),
+r AS (SELECT *, CASE
+    WHEN ends_with(dotted, '.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN ends_with(dotted, '.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN ends_with(dotted, '.com') AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN ends_with(dotted, '.net') AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN ends_with(dotted, '.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM t)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches(whole, '^([^/?#]*\.)?example\.org([^a-z0-9_.%-]|$)about([^a-z0-9_.%-]|$)') THEN 'allow'
+    WHEN regexp_matches(whole, '^([^/?#]*\.)?(spam-farm\.example\.org|doubleclick\.net)([^a-z0-9_.%-]|$)')
+      OR regexp_matches(whole, '^([^/?#]*\.)?adservice\..*/ads/') OR regexp_matches(whole, '/(wp-login|xmlrpc)\.php([^a-z0-9_.%-]|$)')
+      OR regexp_matches(whole, '/cgi-bin/.*\.exe') OR contains(whole, '/phishing/')
+      OR regexp_matches(whole, '[^a-z0-9_.%-](casino|viagra)([^a-z0-9_.%-]|$)') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM r
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL on whole tables; the other operators are tested against brute force."""
+    return {"op7_maxscore_top_k": _OP7_SQL, "op8_rarest_token_rules": _OP8_SQL}
