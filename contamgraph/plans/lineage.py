@@ -39,3 +39,13 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, by a path only Spark needs to be able to open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut_bucketed(df: DataFrame, key: str, codec: str = "zstd") -> DataFrame:
+    """Like ``cut``, in the warehouse and bucketed by ``key``: later joins on the key
+    leave this table where it is and move only their other side."""
+    spark = df.sparkSession
+    name = f"cut_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", codec).bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
