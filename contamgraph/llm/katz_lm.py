@@ -32,15 +32,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contamgraph.llm import blocks as B
-from contamgraph.plans.lineage import cut
+from contamgraph.plans.lineage import cut, cut_bucketed
 
 U64 = np.uint64
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 5 << 20
 #: Counts above are not discounted (Katz, 1987).
 CUTOFF = 5
 _END = U64(0x1D8E4E27C47D124F)
@@ -58,6 +59,20 @@ _TELL_DDL = "shard long, bucket int, counts binary, stats binary, mass binary"
 _STATS = CUTOFF + 3  # total, followers with count 1..CUTOFF, followers above, their sum
 
 
+def _z(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _unz(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def _rows(batch: pa.RecordBatch):
+    """Rows one by one, so that one decoded shard is held at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _encode(batches):
     """Whole documents to shards of local word numbers, most frequent first."""
     task = TaskContext.get()
@@ -75,8 +90,8 @@ def _encode(batches):
             {
                 "shard": [first + number], "ids": [ids], "train": [np.array(train, np.uint8).tobytes()],
                 "lens": [np.concatenate(lens).astype(np.uint32).tobytes()],
-                "low": [local[:, 0].tobytes()], "mid": [local[:, 1].tobytes()],
-                "high": [np.ascontiguousarray(local[:, 2:4]).tobytes()], "vocab": [vocab[rank].tobytes()],
+                "low": [_z(local[:, 0].tobytes())], "mid": [_z(local[:, 1].tobytes())],
+                "high": [_z(np.ascontiguousarray(local[:, 2:4]).tobytes())], "vocab": [vocab[rank].tobytes()],
             },
             _SHARDS,
         )
@@ -108,16 +123,16 @@ class Shard:
         self.number = row["shard"]
         self.ids = row["ids"]
         self.lens = np.frombuffer(row["lens"], np.uint32).astype(np.int64)
-        low = np.frombuffer(row["low"], np.uint8)
+        low = np.frombuffer(_unz(row["low"]), np.uint8)
         local = np.zeros((len(low), 4), np.uint8)
-        local[:, 0], local[:, 1] = low, np.frombuffer(row["mid"], np.uint8)
-        local[:, 2:] = np.frombuffer(row["high"], np.uint8).reshape(-1, 2)
-        self.token = local.reshape(-1).view("<u4").astype(np.int64)
+        local[:, 0], local[:, 1] = low, np.frombuffer(_unz(row["mid"]), np.uint8)
+        local[:, 2:] = np.frombuffer(_unz(row["high"]), np.uint8).reshape(-1, 2)
+        self.token = local.reshape(-1).view("<i4")
         self.vocab = np.frombuffer(row["vocab"], U64)
         self.train_doc = np.frombuffer(row["train"], np.uint8).astype(bool)
         self.train = np.repeat(self.train_doc, self.lens)
         start = np.cumsum(self.lens) - self.lens
-        self.position = np.arange(len(self.token)) - np.repeat(start, self.lens)
+        self.position = (np.arange(len(self.token)) - np.repeat(start, self.lens)).astype(np.int32)
 
     def histories(self, order: int) -> np.ndarray:
         """Hash of the order - 1 tokens before each token; begin marks pad."""
@@ -132,25 +147,27 @@ class Shard:
 
     def grams(self, order: int, bits: int):
         """Distinct n-grams in (bucket, history, follower) order, and each token's place among them."""
-        h, w = self.histories(order), self.vocab[self.token]
-        _, hid = np.unique(h, return_inverse=True)
-        key = hid.astype(np.int64) * max(1, len(self.vocab)) + self.token
+        h = self.histories(order)
+        key = np.unique(h, return_inverse=True)[1] * max(1, len(self.vocab))
+        key += self.token
         _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        del key
         # unique histories are sorted by hash, so by bucket: key order groups buckets and histories
-        gh, gw = h[at], w[at]
+        gh, gw = h[at], self.vocab[self.token[at]]
         count = np.bincount(inverse, weights=self.train, minlength=len(at)).astype(np.int64)
         bucket = (gh >> U64(64 - bits)).astype(np.int64)
         return gh, gw, at, inverse, count, bucket
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Unsigned numbers in the narrowest width, told by a leading byte."""
+    """Unsigned numbers in the narrowest width, told by a leading byte, compressed."""
     top = int(x.max()) if len(x) else 0
     kind = next(k for k, most in ((1, 2**8), (2, 2**16), (4, 2**32), (8, 2**64)) if top < most)
-    return bytes([kind]) + x.astype(f"<u{kind}").tobytes()
+    return _z(bytes([kind]) + x.astype(f"<u{kind}").tobytes())
 
 
 def _wide(raw: bytes) -> np.ndarray:
+    raw = _unz(raw)
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
@@ -203,23 +220,26 @@ def unigram(count: np.ndarray, total: int, classes: np.ndarray, sums: tuple[int,
     return np.where(count > 0, known, unknown)
 
 
-def conditional(count: np.ndarray, stats: np.ndarray, mass: np.ndarray, lower: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Katz probability of each token from its n-gram's count, its history's statistics and the lower order."""
+def conditional(count: np.ndarray, history: np.ndarray, stats: np.ndarray, mass: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Katz probability of each n-gram with a count, backoff weight of each history).
+
+    count and history belong to n-grams, stats and mass to histories.
+    """
     total = stats[:, 0].astype(float)
     m, above, above_sum = stats[:, 1 : CUTOFF + 1], stats[:, CUTOFF + 1], stats[:, CUTOFF + 2]
     r = np.arange(1, CUTOFF + 1)
     flat = (m.sum(1) == 0) & (total > 0)
-    kept = np.where(flat, above_sum - 0.5 * above, (m * (r * d)).sum(1) + above_sum)
+    kept = np.where(flat, above_sum - 0.5 * above, m @ (r * d) + above_sum)
     with np.errstate(divide="ignore", invalid="ignore"):
         weight = np.where(total > 0, (1 - kept / total) / (1 - mass), 1.0)
-        seen = np.where(flat, count - 0.5, _lose(count, d)) / total
-    return np.where(count > 0, seen, weight * lower)
+        seen = np.where(flat[history], count - 0.5, _lose(count, d)) / total[history]
+    return seen, weight
 
 
 def _ask_words(bits: int):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 s = Shard(row)
                 order = np.argsort(s.vocab)
                 count = np.bincount(s.token, weights=s.train, minlength=len(s.vocab)).astype(np.int64)[order]
@@ -260,7 +280,7 @@ def _ask_grams(order: int, bits: int, summaries: list[np.ndarray]):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 s = Shard(row)
                 p = evaluate(s, row, summaries, bits)
                 gh, gw, at, _, count, bucket = s.grams(order, bits)
@@ -313,8 +333,12 @@ def _count_grams(piece: pa.Table) -> pa.Table:
     for r, h, w in zip(rows, hist, width, strict=True):
         n = int(w.sum())
         mine = hid[h_at : h_at + len(h)]
+        counts = total[gram_of[at : at + n]]
+        # only histories with an unseen follower back off and need their mass
+        backs_off = np.zeros(len(h), bool)
+        backs_off[np.repeat(np.arange(len(h)), w)[counts == 0]] = True
         planes = b"".join(len(x).to_bytes(8, "little") + x for x in (_small(stats[mine, j]) for j in range(_STATS)))
-        for name, x in zip(_TELL.names, (r["shard"], r["bucket"], _small(total[gram_of[at : at + n]]), planes, mass[mine].tobytes()), strict=True):
+        for name, x in zip(_TELL.names, (r["shard"], r["bucket"], _small(counts), planes, _z(np.where(backs_off, mass[mine], 0.0).tobytes())), strict=True):
             out[name].append(x)
         at, h_at = at + n, h_at + len(h)
     for name, x in zip(_TELL.names, (-1, rows[0]["bucket"], _classes(total).tobytes(), b"", b""), strict=True):
@@ -348,10 +372,14 @@ def evaluate(shard: Shard, row: dict, summaries: list[np.ndarray], bits: int) ->
         told = sorted(row[f"a{order}"], key=lambda a: a["bucket"])
         count = np.concatenate([_wide(a["counts"]) for a in told])
         stats = np.concatenate([_planes(a["stats"]) for a in told])
-        mass = np.concatenate([np.frombuffer(a["mass"], float) for a in told])
+        mass = np.concatenate([np.frombuffer(_unz(a["mass"]), float) for a in told])
         _, s0, e0 = B.splits(gh)
-        history = np.repeat(np.arange(len(s0)), e0 - s0)[inverse]
-        p = conditional(count[inverse], stats[history], mass[history], p, discounts(summaries[order - 1][: CUTOFF + 1]))
+        del gh, told
+        history = np.repeat(np.arange(len(s0)), e0 - s0)
+        seen, weight = conditional(count, history, stats, mass, discounts(summaries[order - 1][: CUTOFF + 1]))
+        p *= weight[history][inverse]
+        known = (count > 0)[inverse]
+        p[known] = seen[inverse[known]]
     return p
 
 
@@ -364,17 +392,17 @@ def _score(bits: int, summaries: list[np.ndarray]):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 shard = Shard(row)
-                p = evaluate(shard, row, summaries, bits)
-                count = word_counts(shard, row["a1"])[shard.token]
                 start = np.cumsum(shard.lens) - shard.lens
+                score = np.add.reduceat(np.log10(evaluate(shard, row, summaries, bits)), start)
+                count = word_counts(shard, row["a1"])[shard.token]
                 base = np.log10((count + 1) / (n_train + n_words + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(shard.ids, pa.int64()), pa.array(shard.train_doc), pa.array(shard.lens),
                         pa.array(np.add.reduceat((count > 0).astype(np.int64), start)),
-                        pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(np.log10(p), start)),
+                        pa.array(np.add.reduceat(base, start)), pa.array(score),
                     ],
                     schema=_SCORES,
                 )
@@ -398,7 +426,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     bits = B.bucket_count(docs.rdd.getNumPartitions(), 16).bit_length() - 1
-    shards = cut(plain.mapInArrow(_encode, _SHARDS_DDL))
+    shards = cut_bucketed(plain.mapInArrow(_encode, _SHARDS_DDL), "shard")
     answers, summaries = [], []
 
     def with_answers() -> DataFrame:
