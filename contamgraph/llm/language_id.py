@@ -194,7 +194,7 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.4, languages: tuple[str, ...] | None = None, penalty: float = 2.0) -> DataFrame:
+def keep_identified(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.25, languages: tuple[str, ...] | None = None, penalty: float = 2.0) -> DataFrame:
     """The rows of ``docs`` with a known language (one of ``languages``, if given)
     whose proportion is ``least_score`` or more; all columns are kept as they are."""
     names, table = fit(docs.where(~F.coalesce(held_out, F.lit(True))), text_col, lang_col)
