@@ -220,15 +220,15 @@ def unigram(count: np.ndarray, total: int, classes: np.ndarray, sums: tuple[int,
     return np.where(count > 0, known, unknown)
 
 
-def conditional(count: np.ndarray, history: np.ndarray, stats: np.ndarray, mass: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def conditional(count: np.ndarray, history: np.ndarray, stats: np.ndarray, flat: np.ndarray, mass: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(Katz probability of each n-gram with a count, backoff weight of each history).
 
-    count and history belong to n-grams, stats and mass to histories.
+    count and history belong to n-grams, the rest to histories; the weight of a
+    history that never backs off means nothing.
     """
     total = stats[:, 0].astype(float)
     m, above, above_sum = stats[:, 1 : CUTOFF + 1], stats[:, CUTOFF + 1], stats[:, CUTOFF + 2]
     r = np.arange(1, CUTOFF + 1)
-    flat = (m.sum(1) == 0) & (total > 0)
     kept = np.where(flat, above_sum - 0.5 * above, m @ (r * d) + above_sum)
     with np.errstate(divide="ignore", invalid="ignore"):
         weight = np.where(total > 0, (1 - kept / total) / (1 - mass), 1.0)
@@ -327,6 +327,7 @@ def _count_grams(piece: pa.Table) -> pa.Table:
     big = total > CUTOFF
     stats[:, CUTOFF + 1] = np.bincount(gh[big], minlength=len(value))
     stats[:, CUTOFF + 2] = np.bincount(gh[big], weights=total[big], minlength=len(value))
+    flat = (stats[:, 1 : CUTOFF + 1].sum(1) == 0) & (stats[:, 0] > 0)
     mass = np.bincount(gh[seen], weights=lower[order][head][seen], minlength=len(value))
     out = {f.name: [] for f in _TELL}
     at = h_at = 0
@@ -334,11 +335,13 @@ def _count_grams(piece: pa.Table) -> pa.Table:
         n = int(w.sum())
         mine = hid[h_at : h_at + len(h)]
         counts = total[gram_of[at : at + n]]
-        # only histories with an unseen follower back off and need their mass
+        # only histories with an unseen follower back off: the others need their total alone
         backs_off = np.zeros(len(h), bool)
         backs_off[np.repeat(np.arange(len(h)), w)[counts == 0]] = True
-        planes = b"".join(len(x).to_bytes(8, "little") + x for x in (_small(stats[mine, j]) for j in range(_STATS)))
-        for name, x in zip(_TELL.names, (r["shard"], r["bucket"], _small(counts), planes, _z(np.where(backs_off, mass[mine], 0.0).tobytes())), strict=True):
+        own = stats[mine]
+        columns = [own[:, 0], flat[mine], backs_off, *(own[backs_off, j] for j in range(1, _STATS))]
+        planes = b"".join(len(x).to_bytes(8, "little") + x for x in map(_small, columns))
+        for name, x in zip(_TELL.names, (r["shard"], r["bucket"], _small(counts), planes, mass[mine][backs_off].tobytes()), strict=True):
             out[name].append(x)
         at, h_at = at + n, h_at + len(h)
     for name, x in zip(_TELL.names, (-1, rows[0]["bucket"], _classes(total).tobytes(), b"", b""), strict=True):
@@ -346,13 +349,21 @@ def _count_grams(piece: pa.Table) -> pa.Table:
     return pa.Table.from_batches([B.table(out, _TELL)])
 
 
-def _planes(raw: bytes) -> np.ndarray:
-    out, at = [], 0
-    for _ in range(_STATS):
+def _histories(answer: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(statistics, flat, lower-order mass) of an answer's histories; zeros where one never backs off."""
+    raw, columns, at = answer["stats"], [], 0
+    while at < len(raw):
         n = int.from_bytes(raw[at : at + 8], "little")
-        out.append(_wide(raw[at + 8 : at + 8 + n]))
+        columns.append(_wide(raw[at + 8 : at + 8 + n]))
         at += 8 + n
-    return np.stack(out, 1)
+    total, flat, backs_off = columns[:3]
+    stats, mass = np.zeros((len(total), _STATS), np.int64), np.zeros(len(total))
+    stats[:, 0] = total
+    rows = np.flatnonzero(backs_off)
+    for j, c in enumerate(columns[3:], 1):
+        stats[rows, j] = c
+    mass[rows] = np.frombuffer(answer["mass"], float)
+    return stats, flat.astype(bool), mass
 
 
 def word_counts(shard: Shard, answers: list[dict]) -> np.ndarray:
@@ -371,12 +382,11 @@ def evaluate(shard: Shard, row: dict, summaries: list[np.ndarray], bits: int) ->
         gh, _, _, inverse, _, _ = shard.grams(order, bits)
         told = sorted(row[f"a{order}"], key=lambda a: a["bucket"])
         count = np.concatenate([_wide(a["counts"]) for a in told])
-        stats = np.concatenate([_planes(a["stats"]) for a in told])
-        mass = np.concatenate([np.frombuffer(_unz(a["mass"]), float) for a in told])
+        stats, flat, mass = (np.concatenate(x) for x in zip(*map(_histories, told), strict=True))
         _, s0, e0 = B.splits(gh)
         del gh, told
         history = np.repeat(np.arange(len(s0)), e0 - s0)
-        seen, weight = conditional(count, history, stats, mass, discounts(summaries[order - 1][: CUTOFF + 1]))
+        seen, weight = conditional(count, history, stats, flat, mass, discounts(summaries[order - 1][: CUTOFF + 1]))
         p *= weight[history][inverse]
         known = (count > 0)[inverse]
         p[known] = seen[inverse[known]]
@@ -425,7 +435,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     unigram model.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    bits = B.bucket_count(docs.rdd.getNumPartitions(), 16).bit_length() - 1
+    bits = B.bucket_count(2 * docs.rdd.getNumPartitions(), 16).bit_length() - 1
     shards = cut_bucketed(plain.mapInArrow(_encode, _SHARDS_DDL), "shard")
     answers, summaries = [], []
 
