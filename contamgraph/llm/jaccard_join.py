@@ -41,7 +41,7 @@ from contamgraph.operators.components import connected_components
 from contamgraph.plans.lineage import cut
 
 U64 = np.uint64
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Incidence entries that one block product holds.
 BLOCK_ENTRIES = 2_000_000
 
