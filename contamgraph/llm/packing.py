@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from contamgraph.plans.lineage import cut
 
 #: Distinct words whose token ids a Python worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 #: Pieces of one length that one rank share holds, about.
 SHARE_ROWS = 100_000
 
@@ -52,28 +53,53 @@ def default_vocabulary() -> str:
 class WordEncoder:
     """Token ids of white-space separated words, kept as little-endian bytes.
 
-    Only for vocabularies whose pre-tokenizer never joins across white space.
+    Only for vocabularies whose pre-tokenizer never joins across white space, sets
+    letters apart from points and commas, folds case, and marks the last token of
+    a run of letters with ``</w>``.
     """
 
+    #: A point or comma between a letter and white space is a token of its own.
+    _STOPS = re.compile(rb"(?<=[a-z])([.,])(?=\s|\Z)")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+
+    def _ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out = {}
+        plain = [w for w in words if w.isalpha()]  # ASCII letters only
+        if plain:  # one run of letters each: the marks tell where words end
+            ids = np.array(self._batch([b" ".join(plain).decode()])[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(plain):
+                raw, at = ids.tobytes(), 0
+                for w, e in zip(plain, (4 * ends).tolist(), strict=True):
+                    out[w] = raw[at:e]
+                    at = e
+        rest = [w for w in words if w not in out]
+        for w, e in zip(rest, self._batch([w.decode() for w in rest]), strict=True):
+            out[w] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def _batch(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def encode(self, text: str) -> bytes:
-        words = text.encode().split()
+        raw = text.encode()
+        if b"<|" not in raw:  # else it may hold special tokens, which are told apart by case
+            raw = self._STOPS.sub(rb" \1", raw.lower())
+        words = raw.split()
         known = self.known
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
-            new = [w for w in set(words) if w not in known]
-        extra = dict(zip(new, self._ids(new), strict=True))
+            extra = self._ids([w for w in set(words) if w not in known])
         if len(known) + len(extra) <= CACHE_WORDS:
             known.update(extra)
             return b"".join(map(known.__getitem__, words))
