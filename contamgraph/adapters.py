@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contamgraph.functions import keys
+from contamgraph.functions import bits, keys
 from contamgraph.plans.lineage import read_table
 
 
@@ -55,3 +55,10 @@ def word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents")
     one = d.where("text is not null").groupBy("text").agg(F.min("doc_id").alias("id"))
     return one.select("id", F.array_distinct(F.split(F.lower("text"), " ")).alias("tokens"))
+
+
+def word_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, fp): 2048-bit fingerprints of the words of each distinct text."""
+    d = read_table(spark, sf_dir, "documents")
+    one = d.where("text is not null").groupBy("text").agg(F.min("doc_id").alias("id"))
+    return one.select("id", bits.packed(bits.word_bits(F.col("text"))).alias("fp"))

@@ -1,6 +1,8 @@
 """Bit-set fingerprints: 32 longs and a popcount, compared inside the JVM."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,14 +16,23 @@ def word_bits(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(words, bit)))
 
 
+def _pack(bits: pd.Series) -> pd.Series:
+    out = []
+    for row in bits:
+        flags = np.zeros(BITS, np.uint8)
+        if row is not None:
+            flags[np.asarray(row, np.int64)] = 1
+        out.append(np.packbits(flags, bitorder="little").view("<i8"))
+    return pd.Series(out)
+
+
 def packed(bits: Column) -> Column:
-    """Bit numbers to 32 longs."""
-    def lane(i: Column) -> Column:
-        own = F.filter(bits, lambda b: F.floor(b / 64) == i)
-        one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))
-        return F.aggregate(own, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(one(b)))
+    """Bit numbers to 32 longs.
 
-    return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lane)
+    An Arrow batch function: the JVM's array functions would walk the bits once for
+    each of the lanes.
+    """
+    return F.pandas_udf(_pack, "array<bigint>")(bits)
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -162,3 +162,25 @@ def cluster_nesting(clusters: DataFrame, tight: int, loose: int) -> DataFrame:
     t = clusters.where(F.col("resolution") == tight).select("protein_id", "cluster_id")
     o = clusters.where(F.col("resolution") == loose).select("protein_id", F.col("cluster_id").alias("loose_id"))
     return t.join(o, "protein_id").groupBy("cluster_id").agg(F.count_distinct("loose_id").alias("n_loose")).where("n_loose > 1")
+
+
+def truth(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(corpus, target, want, got, passed): proteins of known targets, read from the graph.
+
+    The example id carries corpus and target; a target without an example fails.
+    """
+    part = lambda i: F.split_part("src", F.lit(":"), F.lit(i))
+    own = edges.where("edge_type = 'example_has_protein'").select(part(2).alias("corpus"), part(3).alias("target"), F.col("dst").alias("got")).distinct()
+    want = known.select("corpus", "target", F.concat(F.lit("protein:"), "uniprot").alias("want"))
+    return want.join(own, ["corpus", "target"], "left").withColumn("passed", F.coalesce(F.col("want") == F.col("got"), F.lit(False)))
+
+
+def rates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(n_scaffolds, n_empty, n_ligands, n_without): how much could be parsed."""
+    is_ = lambda k: F.col("node_type") == k
+    have = nodes.agg(
+        F.count_if(is_("Scaffold")).alias("n_scaffolds"), F.count_if(is_("Scaffold") & (props.text("props", "is_empty") == "true")).alias("n_empty"), F.count_if(is_("Ligand")).alias("n_ligands")
+    )
+    linked = edges.where("edge_type = 'example_has_ligand'").select(F.col("src").alias("node_id"))
+    alone = nodes.where(is_("Example")).join(linked, "node_id", "left_anti").agg(F.count("*").alias("n_without"))
+    return have.join(alone, F.lit(True))

@@ -11,11 +11,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contamgraph import schema
 from contamgraph.functions import bits, props
+from contamgraph.plans.lineage import cut
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float = schema.SIMILARITY_FLOOR) -> DataFrame:
@@ -62,6 +65,81 @@ def tanimoto_pairs(prints: DataFrame, threshold: float = schema.SIMILARITY_FLOOR
     return scored.select(F.least("i1", "i2").alias("src"), F.greatest("i1", "i2").alias("dst"), "tanimoto")
 
 
+def _pack_block(piece: pa.Table) -> pa.Table:
+    """Rows of a (band, block) to one row: ids, popcounts and the bit matrix, by popcount."""
+    pop = piece.column("pop").to_numpy()
+    order = np.argsort(pop, kind="stable")
+    lanes = piece.column("fp").combine_chunks().flatten().to_numpy().reshape(len(pop), -1)[order]
+    return pa.table(
+        {
+            "band": piece.column("band")[:1], "block": piece.column("block")[:1], "ids": pa.array([piece.column("id").take(pa.array(order)).to_pylist()], pa.list_(piece.schema.field("id").type)),
+            "pops": pa.array([pop[order].astype(np.int32).tobytes()], pa.binary()), "bits": pa.array([np.ascontiguousarray(lanes).astype("<i8").tobytes()], pa.binary()),
+        }
+    )
+
+
+def compare_blocks(pop_a: np.ndarray, a: np.ndarray, pop_b: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, Tanimoto) of pairs that reach the threshold; popcounts are sorted.
+
+    Each row meets the window of popcounts that could reach the threshold; within
+    one block, only later rows.
+    """
+    low = np.searchsorted(pop_b, np.ceil(pop_a * threshold - 1e-9), "left")
+    high = np.searchsorted(pop_b, np.floor(pop_a / threshold + 1e-9), "right")
+    if same:
+        low = np.maximum(low, np.arange(len(pop_a)) + 1)
+    out = []
+    for i in range(len(pop_a)):
+        s, e = low[i], high[i]
+        if s < e:
+            both = np.bitwise_count(b[s:e] & a[i]).sum(1, dtype=np.int32)
+            t = both / (pop_b[s:e] + pop_a[i] - both)
+            hit = np.flatnonzero(t >= threshold)
+            if len(hit):
+                out.append((np.full(len(hit), i), hit + s, t[hit]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _compare(threshold: float):
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1)
+                get = lambda c: r.column(r.schema.get_field_index(c))[0]  # noqa: E731, B023
+                pop = [np.frombuffer(get(c).as_py(), np.int32) for c in ("pops", "o_pops")]
+                bits_ = [np.frombuffer(get(c).as_py(), np.uint64).reshape(len(p), -1) for c, p in zip(("bits", "o_bits"), pop, strict=True)]
+                i, j, t = compare_blocks(pop[0], bits_[0], pop[1], bits_[1], threshold, get("same").as_py())
+                a, b = get("ids").values, get("o_ids").values
+                yield pa.RecordBatch.from_arrays([a.take(pa.array(i)), b.take(pa.array(j)), pa.array(t)], names=["a", "b", "tanimoto"])
+
+    return run
+
+
+def tanimoto_block_pairs(prints: DataFrame, threshold: float = schema.SIMILARITY_FLOOR, block_rows: int = 4096) -> DataFrame:
+    """Like ``tanimoto_pairs``, for large tables: packed blocks compared by a popcount kernel.
+
+    Popcount bands are salted into blocks of about ``block_rows`` rows, so a band that
+    most fingerprints share is many small tasks; a block meets the blocks of its own
+    band and of the next one up.
+    """
+    kind = prints.schema["id"].dataType.simpleString()
+    step = math.log(1 / threshold) or 1e-3
+    pop = F.aggregate(F.transform("fp", F.bit_count), F.lit(0), lambda s, x: s + x)
+    p = prints.select("id", "fp", pop.alias("pop")).where("pop > 0").withColumn("band", F.floor(F.log(F.col("pop").cast("double")) / step).cast("int"))
+    p = cut(p)
+    size = p.groupBy("band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n"))
+    dealt = p.join(size, "band").select("id", "fp", "pop", "band", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("block"))
+    packed = dealt.groupBy("band", "block").applyInArrow(_pack_block, f"band int, block int, ids array<{kind}>, pops binary, bits binary")
+    packed = cut(packed)
+    other = packed.select(F.col("band").alias("o_band"), F.col("block").alias("o_block"), F.col("ids").alias("o_ids"), F.col("pops").alias("o_pops"), F.col("bits").alias("o_bits"))
+    meets = packed.withColumn("o_band", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(other, "o_band").where("o_band <> band or block <= o_block")
+    meets = meets.select("ids", "pops", "bits", "o_ids", "o_pops", "o_bits", ((F.col("band") == F.col("o_band")) & (F.col("block") == F.col("o_block"))).alias("same"))
+    hits = meets.repartition(F.xxhash64("pops", "o_pops")).mapInArrow(_compare(threshold), f"a {kind}, b {kind}, tanimoto double")
+    return hits.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "tanimoto")
+
+
 def similarity_edges(pairs: DataFrame, value: str = "similarity", method: str = "jaccard") -> DataFrame:
     """Typed edges: at the exact floor or above fingerprint-exact, else similar; four decimals in the props."""
     return pairs.select(

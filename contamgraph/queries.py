@@ -484,6 +484,16 @@ def sim_edge_types(spark, d):
     return similarity.similarity_edges(similarity.jaccard_pairs(A.word_sets(spark, d))).groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
+_BITS = """w AS (SELECT DISTINCT id, CAST('0x' || substr(md5(t), 1, 3) AS INTEGER) % 2048 AS t
+  FROM (SELECT id, unnest(string_split(lower(text), ' ')) AS t FROM (SELECT min(doc_id) AS id, text FROM documents WHERE text IS NOT NULL GROUP BY text))),
+n AS (SELECT id, count(*) AS c FROM w GROUP BY id), o AS (SELECT a.id AS src, b.id AS dst, count(*) AS o FROM w a JOIN w b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_BITS} SELECT src, dst, round(o / CAST(x.c + y.c - o AS DOUBLE), 6) AS tanimoto FROM o JOIN n x ON src = x.id JOIN n y ON dst = y.id WHERE o / CAST(x.c + y.c - o AS DOUBLE) >= 0.8")
+def sim_fingerprint_pairs(spark, d):
+    return similarity.tanimoto_block_pairs(A.word_prints(spark, d)).withColumn("tanimoto", F.round("tanimoto", 6))
+
+
 @query()
 def sim_entity_fingerprint(spark, d):
     return similarity.entity_set_fingerprint(emit.emit_nodes(A.star_examples(spark, d)).where("node_type = 'Ligand'"))
@@ -616,6 +626,24 @@ def au_duplicate_triples(spark, d):
     return audit.label_conflicts(A.star_examples(spark, d), ["source", "target", "entity"])
 
 
+@query("""WITH t AS (SELECT 'c' || (s_suppkey % 3) AS corpus, CAST(s_suppkey AS VARCHAR) AS target, 'protein:' || s_nationkey AS want, 'protein:' || (CASE WHEN s_suppkey % 4 = 0 THEN s_nationkey + 1 ELSE s_nationkey END) AS got FROM supplier WHERE s_suppkey % 5 > 0)
+SELECT corpus, target, want, got, want = got AS passed FROM t""")
+def au_truth(spark, d):
+    s = read_table(spark, d, "supplier").where("s_suppkey % 5 > 0")
+    corpus, target = F.concat(F.lit("c"), F.col("s_suppkey") % 3), F.col("s_suppkey").cast("string")
+    truth = s.select(corpus.alias("corpus"), target.alias("target"), F.col("s_nationkey").cast("string").alias("uniprot"))
+    off = F.when(F.col("s_suppkey") % 4 == 0, F.col("s_nationkey") + 1).otherwise(F.col("s_nationkey"))
+    ex = F.concat_ws(":", F.lit("ex"), corpus, target, F.lit("0"))
+    edges = s.select(ex.alias("src"), F.concat(F.lit("protein:"), off).alias("dst"), F.lit("example_has_protein").alias("edge_type"), props.empty().alias("props"))
+    return audit.truth(edges, truth)
+
+
+@query(f"WITH {DOCS} SELECT count(DISTINCT sca) AS n_scaffolds, count(DISTINCT sca) FILTER (WHERE coalesce(scaffold, '') = '') AS n_empty, count(DISTINCT lig) AS n_ligands, count(*) FILTER (WHERE lig IS NULL) AS n_without FROM doc_id_")
+def au_rates(spark, d):
+    x = A.text_examples(spark, d)
+    return audit.rates(emit.emit_nodes(x), emit.emit_edges(x))
+
+
 @query(f"WITH {STAR}, t AS (SELECT count(DISTINCT ex) AS n FROM star_id) SELECT axis, n AS n_covered, 100.0::DOUBLE AS pct FROM t, (SELECT unnest(['ligand', 'scaffold', 'protein', 'source']) AS axis)")
 def au_axis_coverage(spark, d):
     x = A.star_examples(spark, d)

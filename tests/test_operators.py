@@ -63,6 +63,7 @@ def test_similarity_equals_all_pairs(spark, threshold):
     assert rows(similarity.jaccard_pairs(df, threshold), "src", "dst") == want
     prints = df.select("id", bits.packed(F.col("tokens")).alias("fp"))
     assert rows(similarity.tanimoto_pairs(prints, threshold), "src", "dst") == want
+    assert rows(similarity.tanimoto_block_pairs(prints, threshold, block_rows=7), "src", "dst") == want
 
 
 def test_components(spark):
