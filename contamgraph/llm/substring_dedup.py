@@ -40,7 +40,7 @@ from contamgraph.plans.lineage import cut
 U64 = np.uint64
 GRAM = 32
 #: Segment bytes that one refinement holds, unless one anchor has more.
-REFINE_BYTES = 6 << 20
+REFINE_BYTES = 2 << 20
 _POS_BITS = U64(26)
 
 
@@ -129,6 +129,8 @@ def refine(h0: np.ndarray, segment: np.ndarray, offset: np.ndarray, wanted: np.n
     return live & wanted
 
 
+#: Rows of texts that are Python objects at a time.
+_ROWS = 256
 _TEXT = pa.schema([("key", pa.binary()), ("text", pa.string())])
 
 
@@ -174,7 +176,7 @@ def _distinct_texts(length: int):
 
     def run(batches):
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
             text = batch.column(0)
             keep, keys = [], []
             for i, value in enumerate(text.to_pylist()):
@@ -239,12 +241,12 @@ def _repeated_runs(length: int, q: int):
         lens = np.array([len(s) for s in segs], np.int64)
         offset = np.concatenate(([0], np.cumsum(lens)))
         n = len(buf)
-        seg = np.repeat(np.arange(len(segs)), lens)
+        seg = np.repeat(np.arange(len(segs), dtype=np.int32), lens)
         # windows are told apart by anchor: the same string always has the same one
         wanted = np.arange(n) + length <= offset[seg + 1]
-        prefix = B.rolling(buf)
         at = np.arange(n)
-        h0 = B.range_hash(prefix, at, np.minimum(at + q, n))
+        h0 = B.range_hash(B.rolling(buf), at, np.minimum(at + q, n))
+        del at
         hit = refine(h0, seg, offset, wanted, q, length)
         many = np.array([len(v) > 1 for v in merged.values()])
         hit |= wanted & many[seg]
@@ -292,7 +294,7 @@ def _repeated_runs(length: int, q: int):
 
 def _cut_out(batches):
     schema = pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-    for batch in batches:
+    for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
         out = {f.name: [] for f in schema}
         for key, text, runs in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "text", "runs")), strict=True):
             raw, spans = text.encode(), []
