@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -36,10 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contamgraph.llm import blocks as B
 from contamgraph.plans.lineage import cut
 
-#: Distinct words whose token ids a Python worker keeps.
-CACHE_WORDS = 800_000
+#: Distinct words whose token ids a Python worker keeps (about 30 bytes each).
+CACHE_WORDS = 1_500_000
+#: New words that are kept apart before they are merged with the others.
+RECENT_WORDS = 65_536
 #: Pieces of one length that one rank share holds, about.
 SHARE_ROWS = 100_000
 
@@ -50,103 +52,159 @@ def default_vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-class WordEncoder:
-    """Token ids of white-space separated words, kept as little-endian bytes.
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord("."), ord(",")]] = True
 
-    Only for vocabularies whose pre-tokenizer never joins across white space, sets
-    letters apart from points and commas, folds case, and marks the last token of
-    a run of letters with ``</w>``.
+
+def chunks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) of the parts of a block that tokenise by themselves.
+
+    These are words; a point or comma between an ASCII letter and white space (or
+    the end) is a part of its own.
     """
+    n = len(buf)
+    inside = ~B.IS_SPACE[buf]
+    begins, ends = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    begins[offs[:-1]] = ends[offs[1:]] = True
+    after = np.ones(n, bool)  # white space or the document's end comes next
+    after[:-1] = ~inside[1:]
+    after |= ends[1:]
+    stop = _STOP[buf] & after
+    stop[1:] &= _LETTER[buf[:-1]]
+    stop[:1] = False
+    stop &= ~begins[:n]
+    first = begins[:n] | stop
+    first[1:] |= ~inside[:-1]
+    last = after
+    last[:-1] |= stop[1:]
+    start = np.flatnonzero(first & inside)
+    return start, np.flatnonzero(last & inside) + 1, np.searchsorted(offs, start, "right") - 1
+
+
+class WordTable:
+    """Token ids of words by 64-bit hash, in flat arrays.
 
-    #: A point or comma between a letter and white space is a token of its own.
-    _STOPS = re.compile(rb"(?<=[a-z])([.,])(?=\s|\Z)")
+    Only for vocabularies whose pre-tokenizer never joins across white space, sets
+    letters apart from points and commas, and folds case.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a run of letters
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-
-    def _ids(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out = {}
-        plain = [w for w in words if w.isalpha()]  # ASCII letters only
-        if plain:  # one run of letters each: the marks tell where words end
-            ids = np.array(self._batch([b" ".join(plain).decode()])[0].ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(plain):
-                raw, at = ids.tobytes(), 0
-                for w, e in zip(plain, (4 * ends).tolist(), strict=True):
-                    out[w] = raw[at:e]
-                    at = e
-        rest = [w for w in words if w not in out]
-        for w, e in zip(rest, self._batch([w.decode() for w in rest]), strict=True):
-            out[w] = np.array(e.ids, "<u4").tobytes()
-        return out
+        none = np.zeros(0, np.uint64)
+        self.levels = [(none, np.zeros(0, np.int64), np.zeros(0, np.int32))] * 2  # all, recent: sorted hash, place, size
+        self.tokens = np.zeros(1 << 16, "<u4")
+        self.used = 0
 
     def _batch(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def encode(self, text: str) -> bytes:
-        raw = text.encode()
-        if b"<|" not in raw:  # else it may hold special tokens, which are told apart by case
-            raw = self._STOPS.sub(rb" \1", raw.lower())
-        words = raw.split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            extra = self._ids([w for w in set(words) if w not in known])
-        if len(known) + len(extra) <= CACHE_WORDS:
-            known.update(extra)
-            return b"".join(map(known.__getitem__, words))
-        return b"".join([known[w] if w in known else extra[w] for w in words])
+    def _append(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words at the end of the table: (place, size) of each."""
+        size = np.zeros(len(words), np.int64)
+        plain = np.array([w.isalpha() for w in words], bool)  # one run of ASCII letters
+        ids = np.zeros(0, "<u4")
+        if plain.any():  # encoded as one text; the marks tell where words end
+            ids = np.array(self._batch([b" ".join(w for w, p in zip(words, plain, strict=True) if p).decode()])[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == plain.sum():
+                size[plain] = np.diff(ends, prepend=0)
+            else:  # a vocabulary without such marks
+                plain[:] = False
+                ids = ids[:0]
+        rest = [e.ids for e in self._batch([w.decode() for w, p in zip(words, plain, strict=True) if not p])]
+        size[~plain] = np.fromiter(map(len, rest), np.int64, len(rest))
+        place = np.zeros(len(words), np.int64)
+        for own, base in ((plain, self.used), (~plain, self.used + len(ids))):
+            place[own] = base + np.cumsum(size[own]) - size[own]
+        new = np.concatenate((ids, np.fromiter((x for row in rest for x in row), "<u4", int(size[~plain].sum()))))
+        while self.used + len(new) > len(self.tokens):
+            self.tokens = np.concatenate((self.tokens, np.zeros(len(self.tokens), "<u4")))
+        self.tokens[self.used : self.used + len(new)] = new
+        self.used += len(new)
+        return place, size
+
+    def _register(self, h: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
+        merge = lambda a, b: tuple(np.concatenate(x)[o] for o in [np.argsort(np.concatenate((a[0], b[0])), kind="stable")] for x in zip(a, b, strict=True))
+        self.levels[1] = merge(self.levels[1], (h, place, size.astype(np.int32)))
+        if len(self.levels[1][0]) > RECENT_WORDS:
+            self.levels = [merge(*self.levels), tuple(x[:0] for x in self.levels[1])]
+
+    def encode(self, buf: np.ndarray, offs: np.ndarray, closing: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents of a block, each closed, one after the other; ids of each)."""
+        m = len(offs) - 1
+        start, end, doc = chunks(buf, offs)
+        h = B.range_hash(B.rolling(buf, lower=True), start, end)
+        value, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        place, size, known = np.zeros(len(value), np.int64), np.zeros(len(value), np.int64), np.zeros(len(value), bool)
+        for hashes, places, sizes in self.levels:
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
+                hit = hashes[at] == value
+                place[hit], size[hit] = places[at[hit]], sizes[at[hit]]
+                known |= hit
+        new = np.flatnonzero(~known)
+        mark = self.used
+        if len(new):
+            raw = buf.tobytes()
+            place[new], size[new] = self._append([raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            if len(self.levels[0][0]) + len(self.levels[1][0]) + len(new) <= CACHE_WORDS:
+                self._register(value[new], place[new], size[new])
+                mark = self.used
+        count = size[inverse]
+        lens = np.bincount(doc, weights=count, minlength=m).astype(np.int64) + 1
+        out = np.full(int(lens.sum()), closing, "<u4")
+        ends = np.cumsum(lens)
+        body = np.ones(len(out), bool)
+        body[ends - 1] = False
+        out[body] = self.tokens[B.ranges(place[inverse], count)]
+        self.used = mark
+        return out, lens
+
+    def encode_text(self, text: str, closing: int) -> np.ndarray:
+        return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, closing], "<u4")
 
 
 @functools.cache
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str) -> WordTable:
+    return WordTable(path)
 
 
 _PIECES = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _PIECES_DDL = "id long, piece int, start long, length long, ids_crc32 long"
-#: Texts beyond this many characters are encoded in slices that end at white space.
-_SLICE = 1 << 20
-
-
-def _slices(text: str):
-    at = 0
-    while len(text) - at > _SLICE:
-        end = at + _SLICE
-        while end < len(text) and text[end] not in " \n\t\r\x0b\x0c":
-            end += 1
-        yield text[at:end]
-        at = end
-    yield text[at:]
 
 
 def _cut_pieces(path: str, capacity: int, closing: int):
-    end = closing.to_bytes(4, "little")
-
     def run(batches):
-        encoder = _encoder(path)
+        table = _encoder(path)
         for batch in batches:
-            out = {f.name: [] for f in _PIECES}
             ids, text = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "text"))
-            for i in range(batch.num_rows):
-                raw = b"".join(encoder.encode(s) for s in _slices(text[i].as_py() or "")) + end
-                number = ids[i].as_py()
-                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    out["id"].append(number)
-                    out["piece"].append(k)
-                    out["start"].append(at // 4)
-                    out["length"].append(len(part) // 4)
-                    out["ids_crc32"].append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _PIECES], schema=_PIECES)
+            for at, end, buf, offs in B.blocks(text):
+                tokens, lens = table.encode(buf, offs, closing)
+                stop = np.cumsum(lens)
+                raw = buf.tobytes()
+                special = b"<|" in raw  # may hold special tokens, which are told apart by case
+                out = {f.name: [] for f in _PIECES}
+                for i, number in enumerate(ids.slice(at, end - at).to_pylist()):
+                    own = tokens[stop[i] - lens[i] : stop[i]]
+                    if special and b"<|" in raw[offs[i] : offs[i + 1]]:
+                        own = table.encode_text(text[at + i].as_py(), closing)
+                    own = own.tobytes()
+                    for k, p in enumerate(range(0, len(own), 4 * capacity)):
+                        part = own[p : p + 4 * capacity]
+                        out["id"].append(number)
+                        out["piece"].append(k)
+                        out["start"].append(p // 4)
+                        out["length"].append(len(part) // 4)
+                        out["ids_crc32"].append(zlib.crc32(part))
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _PIECES], schema=_PIECES)
 
     return run
 

@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from contamgraph.llm.packing import WordEncoder, best_plan, default_vocabulary, make_plan, pack
+from contamgraph.llm import packing as P
+from contamgraph.llm.packing import WordTable, best_plan, default_vocabulary, make_plan, pack
 
 
 def occupied(plan, capacity):
@@ -41,11 +42,22 @@ def test_plan_is_tight():
     assert len(plan.length) < 60_000
 
 
-@pytest.mark.parametrize("text", ["", "Foo's it's, don't. I'LL", "<|endoftext|> x <|ENDOFTEXT|>.", "É. éa, ﬁ, Á, b c, d. ", "x,\x1cy. 12. 3a, $5.,", "ΑΣ, ΣΑΣ. İstanbul, ", "a.\n", "a..", "ſs, K. K,", "á. b"])
-def test_words_encode_as_the_whole_text(text):
-    e = WordEncoder(default_vocabulary())
-    for _ in range(2):
-        assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+TEXTS = ["", "Foo's it's, don't. I'LL", "É. éa, ﬁ, Á, b c, d. ", "x,\x1cy. 12. 3a, $5.,", "ΑΣ, ΣΑΣ. İstanbul, ", "a.\n", "a..", "ſs, K. K,", "á. b", ".", ", .", "a,", "THE the The", "🙂. x🙂,"]
+
+
+@pytest.mark.parametrize("kept", [0, 5, 1_000])
+def test_words_encode_as_the_whole_text(monkeypatch, kept):
+    monkeypatch.setattr(P, "CACHE_WORDS", kept)
+    monkeypatch.setattr(P, "RECENT_WORDS", 3)
+    t = WordTable(default_vocabulary())
+    raw = [x.encode() for x in TEXTS]
+    buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    for _ in range(3):
+        ids, lens = t.encode(buf, offs, 0)
+        got = [x[:-1].tolist() for x in np.split(ids, np.cumsum(lens)[:-1])]
+        assert got == [t.tokenizer.encode(x, add_special_tokens=False).ids for x in TEXTS]
+        assert (ids[np.cumsum(lens) - 1] == 0).all()
+        assert sum(len(x[0]) for x in t.levels) <= kept
 
 
 def test_round_trip(docs, prose):
@@ -53,6 +65,9 @@ def test_round_trip(docs, prose):
 
     t = Tokenizer.from_file(default_vocabulary())
     cap = 64
+    odd = [(900, "<|endoftext|> x <|ENDOFTEXT|>."), (901, "plain"), (902, "a <|startoftext|>b")]
+    prose = [*prose, *odd]
+    docs = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(odd, "doc_id long, text string"))
     rows = pack(docs.withColumn("piece", F.lit("x")).withColumn("offset", F.lit(1)), capacity=cap).collect()
     want = []
     for i, text, *_ in prose:
