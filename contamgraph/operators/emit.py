@@ -34,12 +34,15 @@ def _node(node_id: str, kind: str, label: Column, body: Column) -> Column:
 
 
 def emit_nodes(examples: DataFrame) -> DataFrame:
-    """All nodes, one row an id.  A single pass explodes each example into its nodes;
-    the dimension nodes collapse in the partial aggregation before the shuffle."""
+    """All nodes, one row an id.
+
+    Dimension nodes (few, repeated on every example) collapse in a hash aggregation
+    before anything is sorted; only example nodes, which seldom repeat, go to the
+    ordered dedup in number.
+    """
     e = with_ids(examples)
     scaffold = F.coalesce(F.col("scaffold"), F.lit(""))
-    nodes = F.array(
-        _node("example_id", "Example", F.col("ext_id"), props.props(label=F.col("label"), target=F.col("target"), source=F.col("source"))),
+    shared = F.array(
         _node("ligand_id", "Ligand", F.col("entity"), props.props(scaffold_smiles=scaffold)),
         _node("scaffold_id", "Scaffold", scaffold, props.props(is_empty=scaffold == "")),
         _node("target_id", "ProteinTarget", F.col("target"), props.props(source=F.col("source"))),
@@ -47,8 +50,11 @@ def emit_nodes(examples: DataFrame) -> DataFrame:
         _node("split_id", "Split", F.col("split"), props.empty()),
         _node("label_type_id", "LabelType", F.col("label_type"), props.empty()),
     )
-    rows = e.select(F.explode(nodes).alias("n")).select("n.*").where("node_id is not null")
-    return stable_distinct(rows, ["node_id", "node_type"]).select("node_id", "node_type", "label", "props")
+    dimension = e.select(F.explode(shared).alias("n")).select("n.*").where("node_id is not null").distinct()
+    own = _node("example_id", "Example", F.col("ext_id"), props.props(label=F.col("label"), target=F.col("target"), source=F.col("source")))
+    example = e.select(own.alias("n")).select("n.*").where("node_id is not null")
+    columns = ("node_id", "node_type", "label", "props")
+    return stable_distinct(example, ["node_id", "node_type"]).select(*columns).unionByName(stable_distinct(dimension, ["node_id", "node_type"]).select(*columns))
 
 
 def emit_edges(examples: DataFrame) -> DataFrame:

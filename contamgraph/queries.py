@@ -16,7 +16,7 @@ from contamgraph import schema
 from contamgraph.functions import keys, props
 from contamgraph.operators import audit, canonical, emit, leakage, provenance, relational, similarity
 from contamgraph.operators.components import connected_components
-from contamgraph.plans.lineage import read_table
+from contamgraph.plans.lineage import cut, read_table
 from contamgraph.sources import sinks
 from contamgraph.streaming import ingest
 
@@ -32,6 +32,13 @@ def query(sql: str | None = None):
     return add
 
 
+def _star_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Canonical names on the star-schema graph, stored once: audits read it many times."""
+    x = A.star_examples(spark, d)
+    nodes, edges = canonical.map_schema(emit.emit_nodes(x), emit.emit_edges(x))
+    return cut(nodes), cut(edges)
+
+
 # Common table expressions shared by the SQL texts.
 STAR = """
 star AS (SELECT o_orderpriority AS source, CAST(l_suppkey AS VARCHAR) AS target, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_idx,
@@ -582,23 +589,20 @@ def gr_resolve_targets(spark, d):
 SELECT * FROM (VALUES ('duplicate_node_id', 0), ('id_without_prefix', 0), ('self_loop', 0), ('dangling_src', 0), ('duplicate_triple', 0), ('orphan', 0)) v("check", n_bad)
 UNION ALL SELECT 'dangling_dst', count(*) FROM edges WHERE dst NOT IN (SELECT node_id FROM n)""")
 def au_structural(spark, d):
-    x = A.star_examples(spark, d)
-    nodes = emit.emit_nodes(x).where("node_type <> 'ProteinTarget'")
-    return audit.structural(nodes, emit.emit_edges(x)).select("check", "n_bad")
+    nodes, edges = _star_graph(spark, d)
+    return audit.structural(nodes.where("node_type <> 'Protein'"), edges).select("check", "n_bad")
 
 
 @query(f"""WITH {STAR_EDGES} SELECT edge_type, CASE WHEN starts_with(src, 'ex:') THEN 'Example' ELSE 'Ligand' END AS src_type,
   CASE split_part(dst, ':', 1) WHEN 'lig' THEN 'Ligand' WHEN 'sca' THEN 'Scaffold' WHEN 'tgt' THEN 'Protein' WHEN 'src' THEN 'DatasetSource' WHEN 'split' THEN 'Split' ELSE 'LabelType' END AS dst_type, count(*) AS n, true AS allowed
 FROM (SELECT src, dst, CASE edge_type WHEN 'example_has_protein_target' THEN 'example_has_protein' WHEN 'ligand_has_scaffold' THEN 'ligand_scaffold' ELSE edge_type END AS edge_type FROM edges) GROUP BY 1, 2, 3""")
 def au_endpoints(spark, d):
-    x = A.star_examples(spark, d)
-    return audit.endpoint_types(*canonical.map_schema(emit.emit_nodes(x), emit.emit_edges(x)))
+    return audit.endpoint_types(*_star_graph(spark, d))
 
 
 @query("""SELECT * FROM (VALUES ('one_ligand', 0), ('one_source', 0), ('one_protein', 0), ('one_scaffold', 0), ('pairs_sorted', 0), ('weight_declared', 0)) v("check", n_bad)""")
 def au_cardinality(spark, d):
-    x = A.star_examples(spark, d)
-    return audit.cardinality(*canonical.map_schema(emit.emit_nodes(x), emit.emit_edges(x))).select("check", "n_bad")
+    return audit.cardinality(*_star_graph(spark, d)).select("check", "n_bad")
 
 
 @query(f"""WITH {STAR}, c AS (SELECT lig, count(DISTINCT source) AS n FROM star_id GROUP BY lig)
@@ -646,8 +650,7 @@ def au_rates(spark, d):
 
 @query(f"WITH {STAR}, t AS (SELECT count(DISTINCT ex) AS n FROM star_id) SELECT axis, n AS n_covered, 100.0::DOUBLE AS pct FROM t, (SELECT unnest(['ligand', 'scaffold', 'protein', 'source']) AS axis)")
 def au_axis_coverage(spark, d):
-    x = A.star_examples(spark, d)
-    return audit.axis_coverage(*canonical.map_schema(emit.emit_nodes(x), emit.emit_edges(x)))
+    return audit.axis_coverage(*_star_graph(spark, d))
 
 
 @query(f"""WITH {DOCS} SELECT source, coalesce(round(100.0 * count(*) FILTER (WHERE label = 1 AND covered) / nullif(count(*) FILTER (WHERE label = 1), 0), 4), 0) AS pct_pos,
