@@ -65,6 +65,9 @@ def tanimoto_pairs(prints: DataFrame, threshold: float = schema.SIMILARITY_FLOOR
     return scored.select(F.least("i1", "i2").alias("src"), F.greatest("i1", "i2").alias("dst"), "tanimoto")
 
 
+_TILE_ROWS, _TILE_COLUMNS = 16, 1024
+
+
 def _pack_block(piece: pa.Table) -> pa.Table:
     """Rows of a (band, block) to one row: ids, popcounts and the bit matrix, by popcount."""
     pop = piece.column("pop").to_numpy()
@@ -81,22 +84,31 @@ def _pack_block(piece: pa.Table) -> pa.Table:
 def compare_blocks(pop_a: np.ndarray, a: np.ndarray, pop_b: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of a, row of b, Tanimoto) of pairs that reach the threshold; popcounts are sorted.
 
-    Each row meets the window of popcounts that could reach the threshold; within
-    one block, only later rows.
+    A tile of rows meets the window of popcounts that any of them could reach; counts
+    are added up lane by lane, so that a tile stays in the processor's cache.  Within
+    one block, only later rows count.
     """
     low = np.searchsorted(pop_b, np.ceil(pop_a * threshold - 1e-9), "left")
     high = np.searchsorted(pop_b, np.floor(pop_a / threshold + 1e-9), "right")
     if same:
         low = np.maximum(low, np.arange(len(pop_a)) + 1)
+    lanes = np.ascontiguousarray(b.T)
     out = []
-    for i in range(len(pop_a)):
-        s, e = low[i], high[i]
-        if s < e:
-            both = np.bitwise_count(b[s:e] & a[i]).sum(1, dtype=np.int32)
-            t = both / (pop_b[s:e] + pop_a[i] - both)
-            hit = np.flatnonzero(t >= threshold)
-            if len(hit):
-                out.append((np.full(len(hit), i), hit + s, t[hit]))
+    for at in range(0, len(pop_a), _TILE_ROWS):
+        end = min(at + _TILE_ROWS, len(pop_a))
+        rows = a[at:end, :, None]
+        for s in range(int(low[at]), int(high[end - 1]), _TILE_COLUMNS):
+            e = min(s + _TILE_COLUMNS, int(high[end - 1]))
+            both = np.zeros((end - at, e - s), np.uint16)
+            for lane in range(len(lanes)):
+                both += np.bitwise_count(rows[:, lane] & lanes[lane, s:e])
+            t = both / (pop_a[at:end, None] + pop_b[s:e] - both.astype(np.int32))
+            i, j = np.nonzero(t >= threshold)
+            if same:
+                later = j + s > i + at
+                i, j = i[later], j[later]
+            if len(i):
+                out.append((i + at, j + s, t[i, j]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
