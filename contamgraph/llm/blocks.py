@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 
 _base = 0x9E3779B97F4A7C15 | 5  # odd: invertible modulo 2**64
 _inverse = pow(_base, -1, 1 << 64)
