@@ -178,7 +178,7 @@ def _both(y: np.ndarray) -> bool:
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"),
     size_col: str = "n_chars", label_col: str = "quality", rounds: int = 3, exchange: int = 500, confident: float = 0.9,
-    max_labelled: int = 20_000, keep_above: float = 0.5,
+    max_labelled: int = 10_000, keep_above: float = 0.5,
 ) -> DataFrame:
     """(id, p_text, p_meta, score, keep) for every row of ``docs``."""
     own = docs.select(
