@@ -41,7 +41,7 @@ from contamgraph.llm import blocks as B
 from contamgraph.plans.lineage import cut, cut_bucketed
 
 U64 = np.uint64
-SHARD_BYTES = 5 << 20
+SHARD_BYTES = 7 << 20
 #: Counts above are not discounted (Katz, 1987).
 CUTOFF = 5
 _END = U64(0x1D8E4E27C47D124F)
