@@ -371,11 +371,12 @@ def gr_prune_dangling(spark, d):
     return canonical.prune_dangling(nodes, emit.emit_edges(x))[1].groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
-def _hops(spark, d):
-    """Example to ligand, ligand to assay, assay to publication, ligand to protein (star schema)."""
+def _hops(spark, d, whole=False):
+    """Example to ligand, ligand to assay (of every fourth order, or of all), assay to publication, ligand to protein (star schema)."""
     e = emit.with_ids(A.star_examples(spark, d))
     has = e.select(F.col("example_id").alias("src"), F.col("ligand_id").alias("dst")).distinct()
-    in_assay = e.select(F.col("ligand_id").alias("src"), F.concat(F.lit("chembl_asy:"), F.col("o_orderkey")).alias("dst")).where(F.col("o_orderkey") % 4 == 0).distinct()
+    in_assay = e.select(F.col("ligand_id").alias("src"), F.concat(F.lit("chembl_asy:"), F.col("o_orderkey")).alias("dst"), "o_orderkey")
+    in_assay = in_assay.where(F.lit(whole) | (F.col("o_orderkey") % 4 == 0)).select("src", "dst").distinct()
     in_doc = e.select(F.concat(F.lit("chembl_asy:"), F.col("o_orderkey")).alias("src"), F.concat(F.lit("chembl_doc:"), F.col("o_custkey")).alias("dst")).distinct()
     measured = e.select(F.concat(F.lit("chembl_asy:"), F.col("o_orderkey")).alias("src"), F.concat(F.lit("protein:"), F.col("target")).alias("dst")).distinct()
     return has, in_assay, in_doc, measured
@@ -509,8 +510,8 @@ def sim_entity_fingerprint(spark, d):
 # ---- components, clusters ----
 
 
-def _links(spark, d):
-    o = read_table(spark, d, "orders").where("o_orderkey % 3 = 0")
+def _links(spark, d, whole=False):
+    o = read_table(spark, d, "orders").where(F.lit(whole) | F.expr("o_orderkey % 3 = 0"))
     return o.select(F.concat(F.lit("ex:"), F.col("o_orderkey")).alias("src"), F.concat(F.lit("c:"), F.col("o_custkey")).alias("dst")), o
 
 
@@ -519,7 +520,10 @@ _GROUPS = """l AS (SELECT 'ex:' || o_orderkey AS src, 'c:' || o_custkey AS dst F
 
 @query(f"WITH {_GROUPS} SELECT src AS node, least(m, 'c:' || '') AS prefix_ok, n AS size FROM l JOIN g USING (dst)".replace("least(m, 'c:' || '') AS prefix_ok, ", ""))
 def cc_leakage_groups(spark, d):
-    links, _ = _links(spark, d)
+    return _group_sizes(_links(spark, d)[0])
+
+
+def _group_sizes(links):
     groups = leakage.leakage_groups(links)
     own = groups.where("node like 'ex:%'")
     size = own.groupBy("component").agg(F.count("*").alias("size"))
@@ -530,7 +534,10 @@ def cc_leakage_groups(spark, d):
 SELECT cut, n_examples, CAST(coalesce(sum(n) FILTER (WHERE n <= cut), 0) AS BIGINT) AS n_linked, coalesce(max(n) FILTER (WHERE n <= cut), 0) AS largest,
   round(100.0 * coalesce(max(n) FILTER (WHERE n <= cut), 0) / n_examples, 4) AS largest_pct FROM c, t, g GROUP BY cut, n_examples""")
 def cc_degree_curve(spark, d):
-    links, _ = _links(spark, d)
+    return _degree_curve(_links(spark, d)[0])
+
+
+def _degree_curve(links):
     examples = links.select(F.col("src").alias("node_id"))
     nodes = links.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("degree"))
     out = None
@@ -546,7 +553,10 @@ cc(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM s GROUP
   SELECT s.b, min(cc.component) FROM cc JOIN s ON cc.node = s.a JOIN recurring.cc AS old ON old.node = s.b WHERE cc.component < old.component GROUP BY s.b)
 SELECT node, component FROM cc""")
 def cc_components(spark, d):
-    li = read_table(spark, d, "lineitem").where("l_orderkey % 50 = 0")
+    return _part_supplier_components(read_table(spark, d, "lineitem").where("l_orderkey % 50 = 0"))
+
+
+def _part_supplier_components(li):
     return connected_components(li.select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst")))
 
 
@@ -633,7 +643,10 @@ def au_duplicate_triples(spark, d):
 @query("""WITH t AS (SELECT 'c' || (s_suppkey % 3) AS corpus, CAST(s_suppkey AS VARCHAR) AS target, 'protein:' || s_nationkey AS want, 'protein:' || (CASE WHEN s_suppkey % 4 = 0 THEN s_nationkey + 1 ELSE s_nationkey END) AS got FROM supplier WHERE s_suppkey % 5 > 0)
 SELECT corpus, target, want, got, want = got AS passed FROM t""")
 def au_truth(spark, d):
-    s = read_table(spark, d, "supplier").where("s_suppkey % 5 > 0")
+    return _truth(read_table(spark, d, "supplier").where("s_suppkey % 5 > 0"))
+
+
+def _truth(s):
     corpus, target = F.concat(F.lit("c"), F.col("s_suppkey") % 3), F.col("s_suppkey").cast("string")
     truth = s.select(corpus.alias("corpus"), target.alias("target"), F.col("s_nationkey").cast("string").alias("uniprot"))
     off = F.when(F.col("s_suppkey") % 4 == 0, F.col("s_nationkey") + 1).otherwise(F.col("s_nationkey"))
@@ -678,10 +691,72 @@ def st_windowed_counts(spark, d):
 def top_assays(spark, d):
     """Flagship: the assays that touch most examples, through two hops."""
     has, asy, _, _ = _hops(spark, d)
+    return _most_touched(has, asy)
+
+
+def _most_touched(has, asy):
     wired = provenance.wire([has, asy], "example_from_assay", "star")
     return wired.groupBy(F.col("dst").alias("assay")).agg(F.count("*").alias("n_examples")).orderBy(F.desc("n_examples"), "assay").limit(100)
 
 
+# ---- the same operators over whole tables ----
+
+
+def _whole(name: str, cut: str) -> str:
+    """SQL of a query without its row filter."""
+    sql = QUERIES[name][1]
+    assert cut in sql
+    return sql.replace(cut, "")
+
+
+_THIRD, _QUARTER = " WHERE o_orderkey % 3 = 0", " WHERE o_orderkey % 4 = 0"
+
+
+@query(_whole("gr_wire_assay", _QUARTER))
+def gr_wire_assay_all(spark, d):
+    has, asy, _, _ = _hops(spark, d, whole=True)
+    return provenance.wire([has, asy], "example_from_assay", "star").groupBy("dst").agg(F.count("*").alias("n"))
+
+
+@query(_whole("gr_wire_publication", _QUARTER))
+def gr_wire_publication_all(spark, d):
+    has, asy, doc, _ = _hops(spark, d, whole=True)
+    return provenance.wire([has, asy, doc], "example_from_publication", "star").groupBy("dst").agg(F.count("*").alias("n"))
+
+
+@query(_whole("gr_wire_measured", _QUARTER))
+def gr_wire_measured_all(spark, d):
+    _, asy, _, measured = _hops(spark, d, whole=True)
+    return provenance.wire([asy, measured], "ligand_measured_protein", "star")
+
+
+@query(_whole("cc_leakage_groups", _THIRD))
+def cc_leakage_groups_all(spark, d):
+    return _group_sizes(_links(spark, d, whole=True)[0])
+
+
+@query(_whole("cc_degree_curve", _THIRD))
+def cc_degree_curve_all(spark, d):
+    return _degree_curve(_links(spark, d, whole=True)[0])
+
+
+@query()  # no SQL; tested against brute force
+def cc_components_all(spark, d):
+    return _part_supplier_components(read_table(spark, d, "lineitem"))
+
+
+@query(_whole("au_truth", " WHERE s_suppkey % 5 > 0"))
+def au_truth_all(spark, d):
+    return _truth(read_table(spark, d, "supplier"))
+
+
+@query(_whole("top_assays", _QUARTER))
+def top_assays_all(spark, d):
+    """Flagship: the assays that touch most examples, through two hops."""
+    has, asy, _, _ = _hops(spark, d, whole=True)
+    return _most_touched(has, asy)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in QUERIES.items()}
 
