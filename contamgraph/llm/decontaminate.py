@@ -1,21 +1,25 @@
 """Benchmark decontamination by template canonicalisation.
 
 Text becomes a sequence of tokens (runs of letters, or of digits with inner points
-and commas).  Numbers, units after numbers, and names (capitalised words inside a
-sentence) are replaced by typed placeholders, so a question asked again with other
-numbers, names or units has the same template.  Windows of ``window`` template
-tokens are hashed; document windows are joined with benchmark windows by hash, and
-matches are gathered by (document, item, distance of their positions).
+and commas).  Numbers, units after numbers, and names are replaced by typed
+placeholders, so a question asked again with other numbers, names or units has the
+same template.  A capitalised word may be a name or only begin a sentence, so both
+sides are read in three ways: names are capitalised words inside a sentence; names
+are all capitalised words but the function words in ``COMMON``, whatever stands
+before; or every token is literal, so a copy always joins.  Windows of ``window``
+template tokens are hashed; document windows are joined with benchmark windows of
+the same reading by hash, and matches are gathered by (document, item).
 
 A document leaks an item when its matched windows cover at least ``coverage`` of
 the item's tokens, and the aligned placeholder values are *consistent*: an item
 value always meets the same document value, and two item values of a type never
-meet the same one, in at least ``consistency`` of the aligned slots.  Windows made
-of placeholders alone match nothing.  An item shorter than a window is one window
+meet the same one, in at least ``consistency`` of the aligned slots.  Each reading
+is judged by itself and the one that covers most is told.  Windows made of
+placeholders alone match nothing.  An item shorter than a window is one window
 if it has at least ``shortest`` tokens; shorter items match nothing.
 
-The benchmark is dealt into chunks of at most ``chunk_tokens`` tokens (a size that
-is counted first); each chunk's window table travels to every task, and a larger
+The benchmark is dealt into chunks of about ``chunk_tokens`` tokens in all readings
+(a size that is counted first); each chunk's window table travels to every task, and a larger
 benchmark means more passes over the documents and no larger table.  Documents are
 read whole and need no shuffle.
 
@@ -41,6 +45,15 @@ UNITS = (
     "ml cl dl l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months "
     "year years percent dollar dollars cent cents euro euros usd eur gbp kmh mph hz khz mhz ghz kb mb gb tb v w kw j kj cal kcal pa k c f degree degrees"
 ).split()
+#: Words that are no names where a sentence begins with them.
+COMMON = (
+    "a an the this that these those it its he she they we you i his her their our my your there here what which who whom whose when where why how "
+    "if in on at by for from to of with without and or but so as is are was were do does did can could will would should may might must has have had "
+    "after before during while because since then than not no yes all each every some any one two three many much more most given find let suppose "
+    "le la les un une des du de et ou mais que qui quand comment pourquoi dans sur avec pour par il elle ils elles nous vous je tu ce cette ces si est sont "
+    "der die das ein eine einer einem und oder aber wenn wann wer was wie wo warum in im am auf mit von zu bei nach aus ist sind es er sie wir ihr ich "
+    "el los las una unos unas y o pero cuando donde como cual quien por para con sin en del al es son se su sus lo mi"
+).split()
 NUMBER, NAME, UNIT = (U64(x) for x in (0x6E756D, 0x6E616D65, 0x756E6974))
 _TYPES = np.array([NUMBER, NAME, UNIT], U64)
 
@@ -59,6 +72,9 @@ def _literal_hash(texts: list[str]) -> np.ndarray:
 
 
 _UNIT_HASHES = np.sort(_literal_hash(UNITS))
+_COMMON_HASHES = np.sort(_literal_hash(COMMON))
+#: Number of readings that ``canonical`` gives.
+READINGS = 3
 
 
 def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -68,12 +84,12 @@ def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def canonical(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens of a block: (template value, literal hash, document)."""
+def canonical(buf: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Template tokens of a block in each reading: (template value, literal hash, document)."""
     n = len(buf)
     none = np.zeros(0, np.int64)
     if not n:
-        return none.astype(U64), none.astype(U64), none
+        return [(none.astype(U64), none.astype(U64), none)] * READINGS
     digit, letter = _DIGIT[buf], _LETTER[buf]
     if n > 2:  # points and commas between digits belong to the number
         digit[1:-1] |= ((buf[1:-1] == 46) | (buf[1:-1] == 44)) & digit[:-2] & digit[2:]
@@ -99,16 +115,18 @@ def canonical(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first = buf[starts]
     second = buf[np.minimum(starts + 1, n - 1)]
     capital = (first >= 65) & (first <= 90) & (ends - starts > 1) & ~((second >= 65) & (second <= 90))
-    name = capital & inside & ~number
     after_number = np.concatenate(([False], number[:-1])) & same if len(number) else number
     unit = ~number & after_number & _member(literal, _UNIT_HASHES)
-    template = literal.copy()
-    template[name], template[unit], template[number] = NAME, UNIT, NUMBER
-    # a name of several words is one slot
-    again = np.zeros(len(name), bool)
-    again[1:] = name[1:] & name[:-1] & inside[1:]
-    keep = ~again
-    return template[keep], literal[keep], doc[keep]
+    out = []
+    for name in (capital & inside & ~number, capital & ~number & ~_member(literal, _COMMON_HASHES)):
+        template = literal.copy()
+        template[name], template[unit], template[number] = NAME, UNIT, NUMBER
+        # a name of several words is one slot
+        again = np.zeros(len(name), bool)
+        again[1:] = name[1:] & name[:-1] & inside[1:]
+        keep = ~again
+        out.append((template[keep], literal[keep], doc[keep]))
+    return [*out, (literal, literal, doc)]
 
 
 def windows(template: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,10 +145,9 @@ def windows(template: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 @dataclass
-class Chunk:
-    """Window table of some benchmark items, sorted by hash."""
+class Reading:
+    """Window table of some benchmark items in one reading, sorted by hash."""
 
-    items: list
     template: np.ndarray
     literal: np.ndarray
     begin: np.ndarray
@@ -138,15 +155,28 @@ class Chunk:
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # width: hash, item number, position
 
 
+@dataclass
+class Chunk:
+    """Some benchmark items in all readings."""
+
+    items: list
+    readings: list[Reading]
+
+
 def compile_chunk(rows: list[tuple], window: int, shortest: int) -> Chunk:
     """Benchmark rows (item_id, text) to window tables."""
     column = pa.array([t for _, t in rows], pa.string())
-    parts = []
-    for at, end, buf, offs in B.blocks(column):
-        t, x, d = canonical(buf, offs)
-        parts.append((t, x, d + at))
-    template, literal, doc = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64))
-    length = np.bincount(doc, minlength=len(rows))
+    parts = [[(t, x, d + at) for t, x, d in canonical(buf, offs)] for at, end, buf, offs in B.blocks(column)]
+    none = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64)
+    readings = []
+    for r in range(READINGS):
+        template, literal, doc = (np.concatenate(x) for x in zip(*(p[r] for p in parts), strict=True)) if parts else none
+        readings.append(_compile(template, literal, doc, len(rows), window, shortest))
+    return Chunk([i for i, _ in rows], readings)
+
+
+def _compile(template: np.ndarray, literal: np.ndarray, doc: np.ndarray, n_items: int, window: int, shortest: int) -> Reading:
+    length = np.bincount(doc, minlength=n_items)
     begin = np.cumsum(length) - length
     tables = {}
     for width in sorted({window} | {int(x) for x in length if shortest <= x < window}):
@@ -157,7 +187,7 @@ def compile_chunk(rows: list[tuple], window: int, shortest: int) -> Chunk:
         order = np.argsort(h, kind="stable")
         at, h = at[order], h[order]
         tables[width] = h, doc[at], at - begin[doc[at]]
-    return Chunk([i for i, _ in rows], template, literal, begin, length, tables)
+    return Reading(template, literal, begin, length, tables)
 
 
 _LEAKS = pa.schema([
@@ -180,9 +210,18 @@ def _consistent(pairs: list[tuple[int, int, int]]) -> float:
 
 def _leaks_of_block(chunk: Chunk, buf: np.ndarray, offs: np.ndarray, coverage: float, consistency: float):
     """Leaks in a block: (document, item id, coverage, windows, slots, slot consistency, verbatim)."""
-    template, literal, doc = canonical(buf, offs)
+    best = {}
+    for reading, tokens in zip(chunk.readings, canonical(buf, offs), strict=True):
+        for d, i, *found in _leaks_of_reading(reading, *tokens, coverage, consistency):
+            if (d, i) not in best or found[0] > best[d, i][0]:
+                best[d, i] = found
+    return [(d, chunk.items[i], *found) for (d, i), found in sorted(best.items())]
+
+
+def _leaks_of_reading(own: Reading, template: np.ndarray, literal: np.ndarray, doc: np.ndarray, coverage: float, consistency: float):
+    """Leaks of one reading, with item numbers in place of ids."""
     hits = []
-    for width, (table, item, place) in chunk.tables.items():
+    for width, (table, item, place) in own.tables.items():
         pos, h = windows(template, doc, width)
         left = np.searchsorted(table, h, "left")
         some = np.flatnonzero(table[np.minimum(left, len(table) - 1)] == h) if len(table) else np.zeros(0, np.int64)
@@ -195,9 +234,9 @@ def _leaks_of_block(chunk: Chunk, buf: np.ndarray, offs: np.ndarray, coverage: f
     pos, item, place, width = (np.concatenate(x) for x in zip(*hits, strict=True))
     order = np.lexsort((pos, pos - place, item, doc[pos]))
     pos, item, place, width = pos[order], item[order], place[order], width[order]
-    for k, a, b in zip(*B.splits(doc[pos] * len(chunk.items) + item), strict=True):
-        d, i = divmod(int(k), len(chunk.items))
-        size = int(chunk.length[i])
+    for k, a, b in zip(*B.splits(doc[pos] * len(own.length) + item), strict=True):
+        d, i = divmod(int(k), len(own.length))
+        size = int(own.length[i])
         covered = np.zeros(size, bool)
         partner = np.full(size, -1, np.int64)
         for j in range(a, b):  # the first alignment of a token counts
@@ -209,13 +248,13 @@ def _leaks_of_block(chunk: Chunk, buf: np.ndarray, offs: np.ndarray, coverage: f
         if share < coverage:
             continue
         mine = np.flatnonzero(covered)
-        own = chunk.begin[i] + mine
-        slot = np.isin(chunk.template[own], _TYPES)
-        x, y = chunk.literal[own], literal[partner[mine]]
-        pairs = list(zip(chunk.template[own][slot].tolist(), x[slot].tolist(), y[slot].tolist(), strict=True))
+        at = own.begin[i] + mine
+        slot = np.isin(own.template[at], _TYPES)
+        x, y = own.literal[at], literal[partner[mine]]
+        pairs = list(zip(own.template[at][slot].tolist(), x[slot].tolist(), y[slot].tolist(), strict=True))
         agree = _consistent(pairs)
         if agree >= consistency:
-            yield d, chunk.items[i], share, int(b - a), len(pairs), agree, bool((x == y).all())
+            yield d, i, share, int(b - a), len(pairs), agree, bool((x == y).all())
 
 
 def _leaks(chunk: Chunk, coverage: float, consistency: float):
@@ -246,7 +285,7 @@ def _chunks(benchmark: DataFrame, item_col: str, item_text_col: str, window: int
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
     # bytes / 2 bounds the number of tokens
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_chunks = max(1, math.ceil(total / 2 / chunk_tokens))
+    n_chunks = max(1, math.ceil(READINGS * total / 2 / chunk_tokens))
     for c in range(n_chunks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_chunks)) == c)
         part = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
