@@ -8,13 +8,16 @@ sides are read in three ways: names are capitalised words inside a sentence; nam
 are all capitalised words but the function words in ``COMMON``, whatever stands
 before; or every token is literal, so a copy always joins.  Windows of ``window``
 template tokens are hashed; document windows are joined with benchmark windows of
-the same reading by hash, and matches are gathered by (document, item).
+the same reading by hash, and matches are gathered by (document, item, distance of
+their positions).
 
 A document leaks an item when its matched windows cover at least ``coverage`` of
 the item's tokens, and the aligned placeholder values are *consistent*: an item
 value always meets the same document value, and two item values of a type never
-meet the same one, in at least ``consistency`` of the aligned slots.  Each reading
-is judged by itself and the one that covers most is told.  Windows made of
+meet the same one, in at least ``consistency`` of the aligned slots.  Each distance
+is judged by itself, then all together with the longest first (a copy with words put
+in has several); each reading is, too, and the match that covers most is told.  A run
+of ``VERBATIM`` tokens copied word for word leaks the item whatever its share.  Windows made of
 placeholders alone match nothing.  An item shorter than a window is one window
 if it has at least ``shortest`` tokens; shorter items match nothing.
 
@@ -73,6 +76,8 @@ def _literal_hash(texts: list[str]) -> np.ndarray:
 
 _UNIT_HASHES = np.sort(_literal_hash(UNITS))
 _COMMON_HASHES = np.sort(_literal_hash(COMMON))
+#: Fixed value: a copied run of so many tokens is a leak by itself.
+VERBATIM = 13
 #: Number of readings that ``canonical`` gives.
 READINGS = 3
 
@@ -236,25 +241,50 @@ def _leaks_of_reading(own: Reading, template: np.ndarray, literal: np.ndarray, d
     pos, item, place, width = pos[order], item[order], place[order], width[order]
     for k, a, b in zip(*B.splits(doc[pos] * len(own.length) + item), strict=True):
         d, i = divmod(int(k), len(own.length))
-        size = int(own.length[i])
-        covered = np.zeros(size, bool)
-        partner = np.full(size, -1, np.int64)
-        for j in range(a, b):  # the first alignment of a token counts
-            t = np.arange(width[j])
-            fresh = ~covered[place[j] + t]
-            partner[place[j] + t[fresh]] = pos[j] + t[fresh]
-            covered[place[j] + t] = True
-        share = float(covered.sum() / size)
-        if share < coverage:
-            continue
-        mine = np.flatnonzero(covered)
-        at = own.begin[i] + mine
-        slot = np.isin(own.template[at], _TYPES)
-        x, y = own.literal[at], literal[partner[mine]]
-        pairs = list(zip(own.template[at][slot].tolist(), x[slot].tolist(), y[slot].tolist(), strict=True))
-        agree = _consistent(pairs)
-        if agree >= consistency:
-            yield d, i, share, int(b - a), len(pairs), agree, bool((x == y).all())
+        gap = pos[a:b] - place[a:b]
+        _, s, e = B.splits(gap)
+        order = np.argsort(s - e, kind="stable")  # distances with most windows first
+        groups = [np.arange(a + s[g], a + e[g]) for g in order]
+        best = None
+        for j, group in enumerate([*groups, np.concatenate(groups)] if len(groups) > 1 else groups):
+            reach = len(group) + int(width[group].max()) - 1  # tokens of a run of these windows
+            if j < len(groups) - 1 and reach < VERBATIM and int(width[group].sum()) < coverage * own.length[i]:
+                continue
+            found = _judge(own, i, pos[group], place[group], width[group], literal, coverage, consistency)
+            if found is not None and (best is None or found[0] > best[0]):
+                best = found
+        if best is not None:
+            yield d, i, *best
+
+
+def _judge(own: Reading, i: int, pos: np.ndarray, place: np.ndarray, width: np.ndarray, literal: np.ndarray, coverage: float, consistency: float):
+    """(coverage, windows, slots, slot consistency, verbatim) of an alignment that is a leak, or None."""
+    size = int(own.length[i])
+    partner = np.full(size, -1, np.int64)
+    each = B.ranges(place, width)
+    there = B.ranges(pos, width)
+    partner[each[::-1]] = there[::-1]  # the first alignment of a token counts
+    mine = np.flatnonzero(partner >= 0)
+    share = len(mine) / size
+    at = own.begin[i] + mine
+    x, y = own.literal[at], literal[partner[mine]]
+    if share < coverage and _longest_run(mine, partner[mine], x == y) < VERBATIM:
+        return None
+    slot = np.isin(own.template[at], _TYPES)
+    pairs = list(zip(own.template[at][slot].tolist(), x[slot].tolist(), y[slot].tolist(), strict=True))
+    agree = _consistent(pairs)
+    if agree < consistency and _longest_run(mine, partner[mine], x == y) < VERBATIM:
+        return None
+    return share, len(pos), len(pairs), agree, bool((x == y).all())
+
+
+def _longest_run(mine: np.ndarray, there: np.ndarray, same: np.ndarray) -> int:
+    """Length of the longest run of tokens that follow each other on both sides and are equal."""
+    mine, there = mine[same], there[same]
+    if not len(mine):
+        return 0
+    breaks = np.flatnonzero((np.diff(mine) != 1) | (np.diff(there) != 1))
+    return int(np.diff(np.concatenate(([-1], breaks, [len(mine) - 1]))).max())
 
 
 def _leaks(chunk: Chunk, coverage: float, consistency: float):
