@@ -2,12 +2,17 @@
 
 Three patterns give the base spans (``assign``, ``access``, ``hex``), leftmost and
 non-overlapping for each kind.  The token-efficiency test adds ``random`` spans: a run of
-key characters that holds letters and digits (or changes case often) is taken for
-a random string when a byte-pair vocabulary spends a token on fewer than
-``max_ratio`` characters of it.  Words and identifiers of any
-language compress better; what may not is excluded by shape: hexadecimal digests
-of the usual lengths, subresource-integrity digests, UUIDs, and identifiers whose
-parts (between ``/ _ = + -``) are each letters only or digits only.  A run that
+at least ``min_length`` key characters is taken for a random string when a byte-pair
+vocabulary spends a token on fewer than ``max_ratio`` characters of it.  Words and
+identifiers of any language compress better; what may not is excluded by shape:
+hexadecimal digests of the usual lengths, subresource-integrity digests, UUIDs,
+runs of few different characters, and identifiers whose parts (between ``/ _ = + -``)
+are each letters only or digits only, if the letter parts compress like words, are
+single lower-case tokens, or are under ``FEW_LETTERS`` letters together.  A run of one case is read in lower case, too.
+A shorter run is random if a part of it with ``SHORT`` characters or more mixes digits
+into letters or changes case often and compresses below ``SHORT_RATIO``; hexadecimal
+ones are not.  Shorter keys and keys of digits only look like other
+numbers and words, and are found by the base patterns alone.  A run that
 overlaps a base span adds nothing.
 
 Offsets are code points, ends exclusive.  Null text is empty and has no spans.
@@ -36,6 +41,8 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "random")
 _KEYWORDS = ("passw", "secret", "token", "api")
 
+SHORT, SHORT_RATIO = 12, 1.8
+FEW_LETTERS, FEW_KINDS = 8, 8
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 _DIGEST = re.compile(r"[0-9a-fA-F]+")
@@ -68,21 +75,55 @@ def default_vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def _ratio(parts: list[str], vocabulary: str) -> float:
+    """Characters a token; text of one case as it is or in lower case."""
+    encode = _encoding(vocabulary).encode_ordinary
+    tokens = 0
+    for p in parts:
+        n = len(encode(p))
+        tokens += min(n, len(encode(p.lower()))) if p[1:].isupper() else n
+    return sum(map(len, parts)) / max(tokens, 1)
+
+
 def _excluded(s: str) -> bool:
-    """Digests and identifiers by their shape."""
+    """Digests by their shape."""
     if _DIGEST.fullmatch(s) and len(s) in DIGEST_LENGTHS:
         return True
-    if _INTEGRITY.match(s) or _UUID.search(s):
-        return True
-    return all(not p or p.isalpha() or p.isdigit() for p in _PARTS.split(s))
+    return bool(_INTEGRITY.match(s) or _UUID.search(s))
 
 
-def _mixed(s: str) -> bool:
-    digits = sum(c.isdigit() for c in s)
-    letters = sum(c.isalpha() for c in s)
-    if digits and letters:
-        return True
-    return sum(a.isupper() != b.isupper() for a, b in zip(s, s[1:], strict=False) if a.isalpha() and b.isalpha()) >= 6
+def _identifier(s: str, vocabulary: str, max_ratio: float) -> bool:
+    """Parts of letters and parts of digits, where the letters are words."""
+    parts = [p for p in _PARTS.split(s) if p]
+    if not all(p.isalpha() or p.isdigit() for p in parts):
+        return False
+    letters = [p for p in parts if p.isalpha()]
+    if all(p[1:].islower() and len(_encoding(vocabulary).encode_ordinary(p)) == 1 for p in letters):
+        return True  # words or codes of the vocabulary
+    return sum(map(len, letters)) < FEW_LETTERS or len(set("".join(parts))) < FEW_KINDS or _ratio(letters, vocabulary) >= max_ratio
+
+
+def _changes(s: str) -> int:
+    """Changes of case between neighbouring letters."""
+    return sum(a.isupper() != b.isupper() for a, b in zip(s, s[1:], strict=False) if a.isalpha() and b.isalpha())
+
+
+def _short_random(s: str, vocabulary: str, max_ratio: float) -> bool:
+    for p in _PARTS.split(s):
+        if len(p) < SHORT or _DIGEST.fullmatch(p):
+            continue
+        digits, letters = sum(c.isdigit() for c in p), sum(c.isalpha() for c in p)
+        if (letters >= 4 and digits >= 2 or _changes(p) >= 4) and _ratio([p], vocabulary) < min(max_ratio, SHORT_RATIO):
+            return True
+    return False
+
+
+def _random(s: str, vocabulary: str, min_length: int, max_ratio: float) -> bool:
+    if _excluded(s):
+        return False
+    if len(s) < min_length:
+        return _short_random(s, vocabulary, max_ratio)
+    return not _identifier(s, vocabulary, max_ratio) and _ratio([s], vocabulary) < max_ratio
 
 
 def spans_of(text: str, vocabulary: str, min_length: int = 20, max_ratio: float = 2.2, long_hex: bool = True, long_key: bool = True) -> list[tuple[int, int, int]]:
@@ -99,12 +140,10 @@ def spans_of(text: str, vocabulary: str, min_length: int = 20, max_ratio: float
         base = sorted((s, e) for s, _, e in out)
         for m in CANDIDATE.finditer(text):
             s, e = m.span()
-            if e - s < min_length or any(a < e and s < b for a, b in base):
+            if e - s < min(min_length, SHORT) or any(a < e and s < b for a, b in base):
                 continue
             value = m[0].strip("=-_/+")
-            if len(value) < min_length or not _mixed(value) or _excluded(value):
-                continue
-            if len(value) < max_ratio * len(_encoding(vocabulary).encode_ordinary(value)):
+            if len(value) >= min(min_length, SHORT) and _random(value, vocabulary, min_length, max_ratio):
                 out.append((s, 3, e))
     return sorted(out)
 
@@ -131,7 +170,7 @@ def _scan(vocabulary: str, min_length: int, max_ratio: float):
             column = batch.column(batch.schema.get_field_index("scan_text"))
             for at, end, buf, offs in B.blocks(column):
                 long_hex = _has_run(_IS_HEX[buf], offs, MIN_HEX)
-                long_key = _has_run(_IS_KEY[buf], offs, min_length)
+                long_key = _has_run(_IS_KEY[buf], offs, min(min_length, SHORT))
                 found = []
                 for i, text in enumerate(column.slice(at, end - at).to_pylist()):
                     spans = spans_of(text or "", vocabulary, min_length, max_ratio, bool(long_hex[i]), bool(long_key[i]))
@@ -172,7 +211,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", voca
             out = column.to_pylist()
             for at, _, buf, offs in B.blocks(column):
                 long_hex = _has_run(_IS_HEX[buf], offs, MIN_HEX)
-                long_key = _has_run(_IS_KEY[buf], offs, min_length)
+                long_key = _has_run(_IS_KEY[buf], offs, min(min_length, SHORT))
                 for i in range(len(offs) - 1):
                     text = out[at + i]
                     if text:
