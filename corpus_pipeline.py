@@ -1,9 +1,9 @@
 """Training-corpus pipeline: language ID, near duplicates, decontamination, secrets, packing.
 
 Each stage works on all that its predecessor kept and returns the columns of
-``documents``; only the last returns packed pieces.  Ids name documents: rows
-without an id leave at the near-duplicate stage, and of rows that share an id one
-stays there.
+``documents``; only the last returns packed pieces.  Ids need not name documents:
+they may be null or shared, and a row leaves at the near-duplicate stage only if
+another row of its group stays.
 """
 from __future__ import annotations
 
@@ -27,10 +27,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    found = near_duplicate_components(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each group of near duplicates: that with the smallest id (null last, ties by row key)."""
+    # rows are told apart by all their columns, so equal rows are one
+    every = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    keyed = docs.withColumn("_row_key", F.xxhash64(*every))
+    found = near_duplicate_components(keyed, id_col="_row_key").select("_row_key", "component_id").distinct()
+    ids = keyed.select("_row_key", F.col("doc_id").isNull().alias("no_id"), "doc_id").distinct()
+    first = found.join(ids, "_row_key").groupBy("component_id").agg(F.min(F.struct("no_id", "doc_id", "_row_key")).alias("row"))
+    kept = first.select(F.col("row._row_key").alias("_row_key"))
+    return keyed.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
