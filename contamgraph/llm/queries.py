@@ -78,7 +78,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contamgraph.llm.substring_dedup import repeated_spans
 
     out = repeated_spans(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("n_passage").alias("n_passage_bytes"))
 
 
 def op10_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
