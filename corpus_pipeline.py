@@ -22,8 +22,8 @@ from contamgraph.plans.lineage import cut, read_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a known main language; those without one go."""
-    return keep_identified(docs, held_out(4))
+    """Documents in a known language, which ``lang`` then names; those in none go."""
+    return keep_identified(docs, held_out(4), write_lang=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
