@@ -1,22 +1,33 @@
 """Quality classifier by co-training.
 
-Two views of a page see different evidence: the *text view* (statistics of its
-characters, words and lines) and the *metadata view* (source, language, length).
-Each has its own logistic classifier.  In every round both score all documents,
-each names its most confident unlabelled ones, and those pseudo-labels join the
-other view's training rows.  Afterwards each view is calibrated on labelled rows
-that trained neither, the calibrated views are combined there, and every document
-is scored.
-
-Training rows are a bounded sample of the labelled ones (``max_labelled``, the
-smallest hashes of the id; a fifth of them is kept for calibration) and
-``exchange`` pseudo-labels of each class, view and round; both bounds are
-parameters and do not depend on the corpus.  Scoring covers every row.
-
-Null text is empty, null metadata is a value of its own.  Rows may repeat; rows
-without an id are scored like others and never train.  Labels other than 0 and 1
-are ignored, of several labels of an id the smallest counts.  Where the labels
-hold no row of a class, every score is the share of class 1 (0.5 without labels).
+Two views of a page see different evidence: the *text view* (its words, hashed to
+``2**16`` cells, and binned statistics of characters, words and lines) and the
+*metadata view* (source, language, length).  Each is a naive Bayes model over the
+cells that a row has; cells whose log-odds do not stand ``LEAST_Z`` standard errors
+from zero count nothing.  Its statistics are class counts, so learning from any
+number of rows is one distributed sum.
+
+Round 0 learns from all labelled rows but a fifth, which is kept for calibration.
+In every round both views, calibrated, judge all rows of the pool (rows without a
+label); rows that a view is confident of leave the pool for good, and their
+pseudo-labels are added to the counts of the *other* view, where they stay.  No
+bound cuts the exchange.  A row that was named before is recognised by the earlier
+rounds' models, which travel along, so a round is one pass and one sum.  At last
+the calibrated views are combined on the calibration rows and score every document.
+
+Equal rows (same text and metadata) are one row from the first shuffle on, so
+copies weigh once, and their scores are joined back by a 64-bit key.  The driver
+holds the models (``2**16`` counts for each class, view and label) and at most
+``max_labelled`` calibration rows, the ones with the smallest hashes of the key.
+
+Several labels (such as quality and toxicity) are learned in the same passes, each
+with its own models and pool.
+
+Null text is empty, null metadata is a value of its own.  Ids are integers; rows
+may repeat, rows without an id are scored like others and never train.  Labels other
+than 0 and 1 are ignored, of several labels of an id, or of equal rows, the smallest
+counts.  Where the training or the calibration rows hold no row of a class, every
+score is the share of class 1 (0.5 without labels).
 """
 from __future__ import annotations
 
@@ -28,6 +39,12 @@ from pyspark.sql import functions as F
 from contamgraph.llm import blocks as B
 from contamgraph.plans.lineage import cut
 
+#: Cells of the words, and of each statistic.
+WORD_CELLS, BINS = 1 << 16, 16
+#: Standard errors that a cell's log-odds must stand from zero.
+LEAST_Z = 3.0
+#: Hash slots from which the calibration rows are cut.
+_SLOTS = 4096
 #: Hash cells of the metadata view for each metadata column.
 META_CELLS = 32
 _CLASSES = {
@@ -94,30 +111,66 @@ def _by_doc(value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return d[at], np.diff(np.append(at, len(v)))
 
 
-def _features(meta: list[str]):
-    schema = pa.schema([("id", pa.int64()), ("x", pa.binary()), ("z", pa.binary())])
-    width = len(meta) * META_CELLS + 1
+_LOGS = (_N_KINDS, _N_KINDS + 1, _N_KINDS + 6)  # statistics that are logarithms, the rest are rates
+N_X = WORD_CELLS + N_TEXT * BINS
+
+
+def text_cells(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells of each document of a block, sorted: (document, cell)."""
+    m = len(offs) - 1
+    word, of, _ = B.words(buf, offs)
+    code = np.unique(of * N_X + (word >> np.uint64(48)).astype(np.int64))
+    stats = text_features(buf, offs)
+    scale = np.full(N_TEXT, BINS - 0.001)
+    scale[list(_LOGS)] = 1
+    binned = np.clip(np.floor(stats * scale), 0, BINS - 1).astype(np.int64)
+    more = (np.arange(m)[:, None] * N_X + WORD_CELLS + np.arange(N_TEXT) * BINS + binned).ravel()
+    code = np.sort(np.concatenate((code, more)))
+    return code // N_X, code % N_X
+
+
+_ROWS = pa.schema([("key", pa.int64()), ("x", pa.binary()), ("z", pa.binary())])
+
+
+def _distinct_rows(n_meta: int):
+    """Cells of both views, once for each distinct row of a task."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
-            ids, text, size = get("id"), get("text"), get("size")
-            cells = [np.array(get(f"m{j}").to_pylist(), np.int64) for j in range(len(meta))]
-            sizes = np.array([np.log1p(max(v or 0, 0)) / 10 for v in size.to_pylist()], np.float32)
-            for at, end, buf, offs in B.blocks(text):
-                m = end - at
-                x = text_features(buf, offs)
-                z = np.zeros((m, width), np.float32)
-                for j, c in enumerate(cells):
-                    z[np.arange(m), j * META_CELLS + c[at:end]] = 1
-                z[:, -1] = sizes[at:end]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, m), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in z], pa.binary())], schema=schema
-                )
+            keys = get("key").to_pylist()
+            fresh = []
+            for i, k in enumerate(keys):
+                if k not in seen:
+                    seen.add(k)
+                    fresh.append(i)
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            size = np.log2(np.maximum(np.array(get("size").to_pylist(), np.int64), 0) + 1).astype(np.int64)
+            z = np.stack([np.array(get(f"m{j}").to_pylist(), np.int64) + j * META_CELLS for j in range(n_meta)] + [size + n_meta * META_CELLS], 1).astype("<u4")
+            for at, end, buf, offs in B.blocks(get("text")):
+                doc, cell = text_cells(buf, offs)
+                edge = np.searchsorted(doc, np.arange(end - at + 1))
+                cell = cell.astype("<u4")
+                x = [cell[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([get("key").slice(at, end - at), pa.array(x, pa.binary()), pa.array([r.tobytes() for r in z[at:end]], pa.binary())], schema=_ROWS)
 
     return run
 
 
+def _once(batches):
+    """One row a key; equal keys lie in one partition."""
+    seen: set[int] = set()
+    for batch in batches:
+        keys = batch.column(batch.schema.get_field_index("key")).to_pylist()
+        fresh = []
+        for i, k in enumerate(keys):
+            if k not in seen:
+                seen.add(k)
+                fresh.append(i)
+        yield batch.take(pa.array(fresh, pa.int64()))
+
+
 class Logistic:
     """Ridge-penalised logistic regression by Newton steps on standardised columns."""
 
@@ -146,99 +199,219 @@ def _sigmoid(t: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(t, -40, 40)))
 
 
-_RAW_DDL = "id long, x binary, z binary"
+def _cells(column) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of all cells of some rows."""
+    raw = [bytes(r) for r in (column.to_pylist() if hasattr(column, "to_pylist") else column)]
+    return np.repeat(np.arange(len(raw)), [len(r) // 4 for r in raw]), np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+
+
+class View:
+    """Naive Bayes over the cells of one view, with its calibration."""
+
+    def __init__(self, counts: np.ndarray, totals: np.ndarray):
+        share = (counts + 0.5) / (totals[:, None] + 1)
+        odds = np.log(share[1] / share[0])
+        error = np.sqrt((1 / (counts + 0.5) - 1 / (totals[:, None] + 1)).sum(0))
+        self.weight = np.where(np.abs(odds) >= LEAST_Z * error, odds, 0).astype(np.float32)
+        self.platt: Logistic | None = None
+
+    def raw(self, row: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(row, weights=self.weight[cell], minlength=n)
+
+    def calibrate(self, row: np.ndarray, cell: np.ndarray, y: np.ndarray) -> None:
+        self.platt = Logistic(self.raw(row, cell, len(y))[:, None], y)
+
+    def logit(self, row: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
+        return self.platt.logit(self.raw(row, cell, n)[:, None])
+
+
+def named(views: tuple[View, View], x: tuple, z: tuple, n: int, confident: float) -> tuple[np.ndarray, np.ndarray]:
+    """Class that each view is confident of, by row: 0, 1, or -1 for none."""
+    out = []
+    for view, (row, cell) in zip(views, (x, z), strict=True):
+        p = _sigmoid(view.logit(row, cell, n))
+        out.append(np.where(p >= confident, 1, np.where(p <= 1 - confident, 0, -1)))
+    return out[0], out[1]
 
 
-def _matrix(column) -> np.ndarray:
-    rows = column.to_pylist() if hasattr(column, "to_pylist") else column
-    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1)
+_SUMS = pa.schema([("label", pa.int32()), ("view", pa.int32()), ("y", pa.int32()), ("cells", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+_SUMS_DDL = "label int, view int, y int, cells array<int>, counts array<long>"
 
 
-def _score(text_view: Logistic, meta_view: Logistic, join: Logistic | None, calibrate: list[Logistic] | None):
-    schema = pa.schema([("id", pa.int64()), ("p_text", pa.float64()), ("p_meta", pa.float64()), ("score", pa.float64())])
+def _tally(n_labels: int, widths: tuple[int, int], past: list[list[tuple[View, View] | None]], confident: float):
+    """Class counts of the rows that are to be learned: the labelled ones, or those that
+    the last of the ``past`` rounds' views name first.  The cell -1 counts rows."""
 
     def run(batches):
+        total = {}
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
             get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
-            t, m = text_view.logit(_matrix(get("x"))), meta_view.logit(_matrix(get("z")))
-            if calibrate is not None:
-                t, m = calibrate[0].logit(t[:, None]), calibrate[1].logit(m[:, None])
-            s = join.logit(np.stack((t, m), 1)) if join is not None else t + m
-            yield pa.RecordBatch.from_arrays([get("id"), *(pa.array(_sigmoid(v)) for v in (t, m, s))], schema=schema)
+            sides = (_cells(get("x")), _cells(get("z")))
+            held = np.array(get("held").to_pylist(), bool)
+            for label in range(n_labels):
+                y = np.array([-1 if v is None else v for v in get(f"y{label}").to_pylist()], np.int64)
+                if not past:
+                    learn = (np.where(held, -1, y),) * 2
+                elif past[-1][label] is None:
+                    continue
+                else:
+                    pool = y < 0
+                    for views in past:
+                        text, meta = named(views[label], *sides, n, confident)
+                        learn = (np.where(pool, meta, -1), np.where(pool, text, -1))  # each view learns from the other
+                        pool &= (text < 0) & (meta < 0)
+                for view, ((row, cell), want) in enumerate(zip(sides, learn, strict=True)):
+                    for c in (0, 1):
+                        own = want == c
+                        if own.any():
+                            counts = total.setdefault((label, view, c), np.zeros(widths[view] + 1, np.int64))
+                            counts[:-1] += np.bincount(cell[own[row]], minlength=widths[view])
+                            counts[-1] += own.sum()
+        out = {f.name: [] for f in _SUMS}
+        for (label, view, c), counts in total.items():
+            used = np.flatnonzero(counts)
+            cells = np.where(used == widths[view], -1, used)
+            for name, v in zip(_SUMS.names, (label, view, c, cells, counts[used]), strict=True):
+                out[name].append(v)
+        yield B.table(out, _SUMS)
 
-    return run, "id long, p_text double, p_meta double, score double"
-
-
-def _both(y: np.ndarray) -> bool:
-    return len(y) > 0 and 0 < y.sum() < len(y)
+    return run
 
 
-def classify(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"),
-    size_col: str = "n_chars", label_col: str = "quality", rounds: int = 3, exchange: int = 500, confident: float = 0.9,
-    max_labelled: int = 10_000, keep_above: float = 0.5,
-) -> DataFrame:
-    """(id, p_text, p_meta, score, keep) for every row of ``docs``."""
-    own = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(size_col).cast("long").alias("size"),
-        *(F.pmod(F.xxhash64(F.lit(j), F.coalesce(F.col(c).cast("string"), F.lit("\0null"))), F.lit(META_CELLS)).alias(f"m{j}") for j, c in enumerate(meta_cols)),
-    )
-    features = cut(own.mapInArrow(_features(list(meta_cols)), _RAW_DDL))
-    wanted = (
-        labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("id is not null and y in (0, 1)")
-        .groupBy("id").agg(F.min("y").cast("double").alias("y"))
-    )
-    sample = features.join(wanted, "id").orderBy(F.xxhash64("id"), "id", "x", "z").limit(max_labelled).collect()
-    x, z = (_matrix([bytes(r[c]) for r in sample]) if sample else np.zeros((0, 1), np.float32) for c in ("x", "z"))
-    y = np.array([r["y"] for r in sample])
-    fold = np.arange(len(y)) % 5 == 4
-    if not (_both(y[fold]) and _both(y[~fold])):
-        share = float(y.mean()) if len(y) else 0.5
-        flat = F.lit(share)
-        return features.select(F.col("id").alias(id_col), flat.alias("p_text"), flat.alias("p_meta"), flat.alias("score"), (flat >= keep_above).alias("keep"))
-    train = {"text": (x[~fold], y[~fold]), "meta": (z[~fold], y[~fold])}
-    fit = lambda: (Logistic(*train["text"]), Logistic(*train["meta"]))
-    views = fit()
-    unlabelled = features.join(wanted.select("id"), "id", "left_anti").where("id is not null")
-    for _ in range(rounds):
-        run, ddl = _with_features(*views)
-        scored = unlabelled.mapInArrow(run, ddl)
-        # one pass names each view's most confident rows of each class
-        named = None
-        for view in ("text", "meta"):
-            p = F.col(f"p_{view}")
-            for label, order, sure in ((1.0, p.desc(), p >= confident), (0.0, p.asc(), p <= 1 - confident)):
-                part = scored.where(sure).orderBy(order, "id", "x").limit(exchange).select(F.lit(view).alias("view"), F.lit(label).alias("y"), "x", "z")
-                named = part if named is None else named.unionByName(part)
-        fresh = named.collect()  # at most 4 * exchange rows
-        for view, other, column in (("text", "meta", "z"), ("meta", "text", "x")):
-            rows = [r for r in fresh if r["view"] == view]
-            if rows:
-                base = (x if other == "text" else z)[~fold]
-                more = _matrix([bytes(r[column]) for r in rows])
-                train[other] = (np.concatenate((base, more)), np.concatenate((y[~fold], [r["y"] for r in rows])))
-        views = fit()
-    held_t, held_m, held_y = views[0].logit(x[fold]), views[1].logit(z[fold]), y[fold]
-    calibrate = [Logistic(held_t[:, None], held_y), Logistic(held_m[:, None], held_y)]
-    pair = np.stack((calibrate[0].logit(held_t[:, None]), calibrate[1].logit(held_m[:, None])), 1)
-    run, ddl = _score(*views, Logistic(pair, held_y), calibrate)
-    out = features.mapInArrow(run, ddl)
-    return out.select(F.col("id").alias(id_col), "p_text", "p_meta", "score", (F.col("score") >= keep_above).alias("keep"))
-
-
-def _with_features(text_view: Logistic, meta_view: Logistic):
-    schema = pa.schema([("id", pa.int64()), ("x", pa.binary()), ("z", pa.binary()), ("p_text", pa.float64()), ("p_meta", pa.float64())])
+class Counts:
+    """Class counts of both views of one label."""
+
+    def __init__(self, widths: tuple[int, int]):
+        self.cells = [np.zeros((2, w)) for w in widths]
+        self.rows = [np.zeros(2), np.zeros(2)]
+
+    def add(self, sums: pa.Table, label: int, least: int = 0) -> None:
+        """Add a round's sums; a class of which a view named fewer than ``least`` rows is left out."""
+        col = {c: sums.column(c).to_numpy() for c in ("label", "view", "y", "cell", "n")}
+        for view in (0, 1):
+            for c in (0, 1):
+                own = (col["label"] == label) & (col["view"] == view) & (col["y"] == c)
+                cell, n = col["cell"][own], col["n"][own]
+                rows = n[cell < 0].sum()
+                if rows >= max(least, 1):
+                    self.cells[view][c][cell[cell >= 0]] += n[cell >= 0]
+                    self.rows[view][c] += rows
+
+    def views(self, x: tuple, z: tuple, y: np.ndarray) -> tuple[View, View] | None:
+        """Calibrated views; none where a class is missing."""
+        if not all((r > 0).all() for r in self.rows) or not _both(y):
+            return None
+        out = []
+        for view, side in enumerate((x, z)):
+            model = View(self.cells[view], self.rows[view])
+            model.calibrate(*side, y)
+            out.append(model)
+        return out[0], out[1]
+
+
+def _score(final: list, shares: list[float]):
+    schema = pa.schema([("key", pa.int64()), ("p", pa.list_(pa.float64()))])
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
             get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays(
-                [get("id"), get("x"), get("z"), pa.array(_sigmoid(text_view.logit(_matrix(get("x"))))), pa.array(_sigmoid(meta_view.logit(_matrix(get("z")))))],
-                schema=schema,
-            )
+            x, z = _cells(get("x")), _cells(get("z"))
+            p = np.empty((n, 3 * len(final)))
+            for j, made in enumerate(final):
+                if made is None:
+                    p[:, 3 * j : 3 * j + 3] = shares[j]
+                else:
+                    (text, meta), join = made
+                    t, m = text.logit(*x, n), meta.logit(*z, n)
+                    p[:, 3 * j : 3 * j + 3] = _sigmoid(np.stack((t, m, join.logit(np.stack((t, m), 1))), 1))
+            yield pa.RecordBatch.from_arrays([get("key"), pa.array(list(p), pa.list_(pa.float64()))], schema=schema)
+
+    return run
 
-    return run, "id long, x binary, z binary, p_text double, p_meta double"
+
+def _both(y: np.ndarray) -> bool:
+    return len(y) > 0 and 0 < y.sum() < len(y)
+
+
+def _calibration_rows(rows: DataFrame, n_labels: int, bound: int) -> pa.Table:
+    """Rows of the calibration fold in the first hash slots that hold at most ``bound`` rows."""
+    held = rows.where("held")
+    slots = held.groupBy(F.pmod(F.xxhash64(F.lit(2), "key"), F.lit(_SLOTS)).alias("slot")).count().collect()
+    total, edge = 0, 0
+    for r in sorted(slots, key=lambda r: r["slot"]):
+        total += r["count"]
+        if total > bound:
+            break
+        edge = r["slot"] + 1
+    return held.where(F.pmod(F.xxhash64(F.lit(2), "key"), F.lit(_SLOTS)) < edge).select("key", "x", "z", *(f"y{j}" for j in range(n_labels))).orderBy("key").toArrow()
+
+
+def cotrain(
+    docs: DataFrame, labels: DataFrame, label_cols: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"),
+    size_col: str = "n_chars", rounds: int = 3, exchange: int = 1, confident: float = 0.95, max_labelled: int = 10_000,
+) -> DataFrame:
+    """(id, p) for every row of ``docs``; p holds, for each label, the calibrated
+    probabilities of the text view, of the metadata view, and of both combined.
+
+    Fewer than ``exchange`` rows of a class that a view names in a round are left out
+    of the other view's counts, as too few to learn from (1: all are learned).
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text, size = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(size_col).cast("long"), F.lit(-1))
+    meta = [F.pmod(F.xxhash64(F.lit(j), F.coalesce(F.col(c).cast("string"), F.lit("\0null"))), F.lit(META_CELLS)) for j, c in enumerate(meta_cols)]
+    key = F.xxhash64(text, size, *meta).alias("key")
+    ids = docs.select(F.col(id_col).cast("long").alias("id"), key)
+    plain = docs.select(key, text.alias("text"), F.greatest(size, F.lit(0)).alias("size"), *(m.alias(f"m{j}") for j, m in enumerate(meta)))
+    n = len(label_cols)
+    y = [F.min(F.when(F.col(c).isin(0, 1), F.col(c).cast("int"))).alias(f"y{j}") for j, c in enumerate(label_cols)]
+    known = labels.select(F.col(id_col).cast("long").alias("id"), *label_cols).where("id is not null")
+    known = ids.join(known, "id").groupBy("key").agg(*y)
+    distinct = plain.mapInArrow(_distinct_rows(len(meta_cols)), "key long, x binary, z binary").repartition(parts, "key").mapInArrow(_once, "key long, x binary, z binary")
+    labelled = F.coalesce(*(F.col(f"y{j}") for j in range(n))).isNotNull()
+    rows = cut(distinct.join(known, "key", "left").withColumn("held", labelled & (F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(5)) == 4)))
+
+    widths = (N_X, len(meta_cols) * META_CELLS + 64)
+    held = _calibration_rows(rows, n, max_labelled)
+    hx, hz = held.column("x").to_pylist(), held.column("z").to_pylist()
+    counts, past = [Counts(widths) for _ in range(n)], []
+
+    def summed() -> pa.Table:
+        out = rows.mapInArrow(_tally(n, widths, past, confident), _SUMS_DDL).select("label", "view", "y", F.posexplode("cells").alias("i", "cell"), "counts")
+        return out.groupBy("label", "view", "y", "cell").agg(F.sum(F.element_at("counts", F.col("i") + 1)).alias("n")).toArrow()
+
+    side = []
+    for j in range(n):
+        own = [i for i, v in enumerate(held.column(f"y{j}").to_pylist()) if v is not None]
+        side.append((_cells([hx[i] for i in own]), _cells([hz[i] for i in own]), np.array([held.column(f"y{j}")[i].as_py() for i in own], float)))
+    for r in range(rounds + 1):
+        sums = summed()
+        for j in range(n):
+            counts[j].add(sums, j, exchange if r else 0)
+        past.append([counts[j].views(*side[j]) for j in range(n)])
+    final = []
+    for j, views in enumerate(past[-1]):
+        if views is None:
+            final.append(None)
+            continue
+        x, z, y = side[j]
+        final.append((views, Logistic(np.stack((views[0].logit(*x, len(y)), views[1].logit(*z, len(y))), 1), y)))
+    have = [rows.agg(F.avg(f"y{j}")).first()[0] if final[j] is None else 0.0 for j in range(n)]
+    scored = rows.mapInArrow(_score(final, [0.5 if s is None else float(s) for s in have]), "key long, p array<double>")
+    return ids.join(scored, "key").select(F.col("id").alias(id_col), "p")
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", flag_col: str | None = None, keep_above: float = 0.5, **options) -> DataFrame:
+    """(id, p_text, p_meta, score, keep) for every row of ``docs``; with ``flag_col``, a
+    second label, also (flag)_score and whether it is at least one half."""
+    cols = (label_col,) if flag_col is None else (label_col, flag_col)
+    p = lambda i: F.element_at("p", i)
+    out = cotrain(docs, labels, cols, id_col=id_col, **options)
+    flags = [] if flag_col is None else [p(6).alias(f"{flag_col}_score"), (p(6) >= 0.5).alias(flag_col)]
+    return out.select(id_col, p(1).alias("p_text"), p(2).alias("p_meta"), p(3).alias("score"), (p(3) >= keep_above).alias("keep"), *flags)

@@ -48,7 +48,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contamgraph.llm.cotrain import classify
 
-    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), flag_col="toxic")
 
 
 def op7_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
