@@ -1,13 +1,15 @@
 """Quality classifier by co-training.
 
-Two views of a page see different evidence: the *text view* (its words, hashed to
-``2**16`` cells, and binned statistics of characters, words and lines) and the
-*metadata view* (source, language, length).  Each is a naive Bayes model over the
-cells that a row has; cells whose log-odds do not stand ``LEAST_Z`` standard errors
-from zero count nothing.  Its statistics are class counts, so learning from any
-number of rows is one distributed sum.
-
-Round 0 learns from all labelled rows but a fifth, which is kept for calibration.
+Two views of a page see different evidence: the *text view* (its words and their
+first bytes, hashed to ``2**16`` cells each, and statistics of characters, words and
+lines) and the *metadata view* (source, language, length).  Each has class counts of
+the cells that rows have, as in naive Bayes; cells whose log-odds do not stand
+``LEAST_Z`` standard errors from zero count nothing.  Counts can be summed, so learning
+from any number of rows is one distributed sum.  A row's evidence (its log-odds added
+up, for a text beside its statistics) becomes a probability by a logistic regression
+on calibration rows, which are kept out of the counts.
+
+Round 0 learns from all labelled rows but a fifth, the calibration rows.
 In every round both views, calibrated, judge all rows of the pool (rows without a
 label); rows that a view is confident of leave the pool for good, and their
 pseudo-labels are added to the counts of the *other* view, where they stay.  No
@@ -17,7 +19,7 @@ the calibrated views are combined on the calibration rows and score every docume
 
 Equal rows (same text and metadata) are one row from the first shuffle on, so
 copies weigh once, and their scores are joined back by a 64-bit key.  The driver
-holds the models (``2**16`` counts for each class, view and label) and at most
+holds the models (``2**17`` counts for each class, view and label) and at most
 ``max_labelled`` calibration rows, the ones with the smallest hashes of the key.
 
 Several labels (such as quality and toxicity) are learned in the same passes, each
@@ -39,8 +41,10 @@ from pyspark.sql import functions as F
 from contamgraph.llm import blocks as B
 from contamgraph.plans.lineage import cut
 
-#: Cells of the words, and of each statistic.
-WORD_CELLS, BINS = 1 << 16, 16
+#: Cells of the words (as many again are those of their first STEM bytes).
+WORD_CELLS, STEM = 1 << 16, 5
+#: Log-odds that count as strong by themselves.
+STRONG = 2.0
 #: Standard errors that a cell's log-odds must stand from zero.
 LEAST_Z = 3.0
 #: Hash slots from which the calibration rows are cut.
@@ -111,21 +115,16 @@ def _by_doc(value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return d[at], np.diff(np.append(at, len(v)))
 
 
-_LOGS = (_N_KINDS, _N_KINDS + 1, _N_KINDS + 6)  # statistics that are logarithms, the rest are rates
-N_X = WORD_CELLS + N_TEXT * BINS
+N_X = 2 * WORD_CELLS
 
 
 def text_cells(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct cells of each document of a block, sorted: (document, cell)."""
-    m = len(offs) - 1
-    word, of, _ = B.words(buf, offs)
-    code = np.unique(of * N_X + (word >> np.uint64(48)).astype(np.int64))
-    stats = text_features(buf, offs)
-    scale = np.full(N_TEXT, BINS - 0.001)
-    scale[list(_LOGS)] = 1
-    binned = np.clip(np.floor(stats * scale), 0, BINS - 1).astype(np.int64)
-    more = (np.arange(m)[:, None] * N_X + WORD_CELLS + np.arange(N_TEXT) * BINS + binned).ravel()
-    code = np.sort(np.concatenate((code, more)))
+    word, of, start = B.words(buf, offs)
+    end = B.word_windows(buf, offs, np.ones(len(offs) - 1, bool), 1)[1]
+    stem = B.range_hash(B.rolling(buf, lower=True), start, np.minimum(start + STEM, end)) if len(start) else word
+    cell = lambda h: (h >> np.uint64(48)).astype(np.int64)
+    code = np.unique(np.concatenate((of * N_X + cell(word), of * N_X + WORD_CELLS + cell(stem))))
     return code // N_X, code % N_X
 
 
@@ -152,7 +151,8 @@ def _distinct_rows(n_meta: int):
                 doc, cell = text_cells(buf, offs)
                 edge = np.searchsorted(doc, np.arange(end - at + 1))
                 cell = cell.astype("<u4")
-                x = [cell[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)]
+                stats = text_features(buf, offs).astype("<f4")
+                x = [own.tobytes() + cell[a:b].tobytes() for own, a, b in zip(stats, edge, edge[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([get("key").slice(at, end - at), pa.array(x, pa.binary()), pa.array([r.tobytes() for r in z[at:end]], pa.binary())], schema=_ROWS)
 
     return run
@@ -199,41 +199,70 @@ def _sigmoid(t: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(t, -40, 40)))
 
 
-def _cells(column) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell) of all cells of some rows."""
-    raw = [bytes(r) for r in (column.to_pylist() if hasattr(column, "to_pylist") else column)]
-    return np.repeat(np.arange(len(raw)), [len(r) // 4 for r in raw]), np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+class Side:
+    """Cells and statistics of some rows in one view."""
+
+    def __init__(self, column, n_stats: int):
+        raw = [bytes(r) for r in (column.to_pylist() if hasattr(column, "to_pylist") else column)]
+        self.n = len(raw)
+        count = np.array([len(r) // 4 for r in raw], np.int64)
+        flat = np.frombuffer(b"".join(raw), "<u4")
+        start = np.cumsum(count) - count
+        self.stats = flat[start[:, None] + np.arange(n_stats)].view("<f4").astype(float)
+        own = np.ones(len(flat), bool)
+        own[(start[:, None] + np.arange(n_stats)).ravel()] = False
+        self.row = np.repeat(np.arange(self.n), count)[own]
+        self.cell = flat[own].astype(np.int64)
+
+
+#: Statistics before the cells, and blocks of cells, of the text and of the metadata view.
+_STATS = (N_TEXT, 0)
+_BLOCKS = ((0, WORD_CELLS, N_X), (0,))
 
 
 class View:
-    """Naive Bayes over the cells of one view, with its calibration."""
+    """Class counts of one view as log-odds, with its calibration."""
 
-    def __init__(self, counts: np.ndarray, totals: np.ndarray):
+    def __init__(self, counts: np.ndarray, totals: np.ndarray, blocks: tuple[int, ...]):
         share = (counts + 0.5) / (totals[:, None] + 1)
         odds = np.log(share[1] / share[0])
         error = np.sqrt((1 / (counts + 0.5) - 1 / (totals[:, None] + 1)).sum(0))
         self.weight = np.where(np.abs(odds) >= LEAST_Z * error, odds, 0).astype(np.float32)
+        self.blocks = blocks if len(blocks) > 1 else (0, len(odds))
         self.platt: Logistic | None = None
 
-    def raw(self, row: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(row, weights=self.weight[cell], minlength=n)
+    def evidence(self, side: Side) -> np.ndarray:
+        """For each block of cells: mean log-odds, and logarithms of the strong odds for and against."""
+        columns = [side.stats]
+        for low, high in zip(self.blocks, self.blocks[1:], strict=False):
+            own = (side.cell >= low) & (side.cell < high)
+            row, w = side.row[own], self.weight[side.cell[own]]
+            n = np.maximum(np.bincount(row, minlength=side.n), 1)
+            add = lambda v: np.bincount(row, weights=v, minlength=side.n)  # noqa: E731, B023
+            columns.append(np.stack((add(w) / np.sqrt(n), np.log1p(add(w * (w >= STRONG))), np.log1p(add(-w * (w <= -STRONG)))), 1))
+        return np.concatenate(columns, 1)
 
-    def calibrate(self, row: np.ndarray, cell: np.ndarray, y: np.ndarray) -> None:
-        self.platt = Logistic(self.raw(row, cell, len(y))[:, None], y)
+    def calibrate(self, side: Side, y: np.ndarray) -> None:
+        self.platt = Logistic(self.evidence(side), y)
 
-    def logit(self, row: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
-        return self.platt.logit(self.raw(row, cell, n)[:, None])
+    def logit(self, side: Side) -> np.ndarray:
+        return self.platt.logit(self.evidence(side))
 
 
-def named(views: tuple[View, View], x: tuple, z: tuple, n: int, confident: float) -> tuple[np.ndarray, np.ndarray]:
+def named(views: tuple[View, View], sides: tuple[Side, Side], confident: float) -> tuple[np.ndarray, np.ndarray]:
     """Class that each view is confident of, by row: 0, 1, or -1 for none."""
     out = []
-    for view, (row, cell) in zip(views, (x, z), strict=True):
-        p = _sigmoid(view.logit(row, cell, n))
+    for view, side in zip(views, sides, strict=True):
+        p = _sigmoid(view.logit(side))
         out.append(np.where(p >= confident, 1, np.where(p <= 1 - confident, 0, -1)))
     return out[0], out[1]
 
 
+def _sides(batch) -> tuple[Side, Side]:
+    x, z = (Side(batch.column(batch.schema.get_field_index(c)), n) for c, n in zip("xz", _STATS, strict=True))
+    return x, z
+
+
 _SUMS = pa.schema([("label", pa.int32()), ("view", pa.int32()), ("y", pa.int32()), ("cells", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 _SUMS_DDL = "label int, view int, y int, cells array<int>, counts array<long>"
 
@@ -245,11 +274,10 @@ def _tally(n_labels: int, widths: tuple[int, int], past: list[list[tuple[View, V
     def run(batches):
         total = {}
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
             get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
-            sides = (_cells(get("x")), _cells(get("z")))
+            sides = _sides(batch)
             held = np.array(get("held").to_pylist(), bool)
             for label in range(n_labels):
                 y = np.array([-1 if v is None else v for v in get(f"y{label}").to_pylist()], np.int64)
@@ -260,15 +288,15 @@ def _tally(n_labels: int, widths: tuple[int, int], past: list[list[tuple[View, V
                 else:
                     pool = y < 0
                     for views in past:
-                        text, meta = named(views[label], *sides, n, confident)
+                        text, meta = named(views[label], sides, confident)
                         learn = (np.where(pool, meta, -1), np.where(pool, text, -1))  # each view learns from the other
                         pool &= (text < 0) & (meta < 0)
-                for view, ((row, cell), want) in enumerate(zip(sides, learn, strict=True)):
+                for view, (side, want) in enumerate(zip(sides, learn, strict=True)):
                     for c in (0, 1):
                         own = want == c
                         if own.any():
                             counts = total.setdefault((label, view, c), np.zeros(widths[view] + 1, np.int64))
-                            counts[:-1] += np.bincount(cell[own[row]], minlength=widths[view])
+                            counts[:-1] += np.bincount(side.cell[own[side.row]], minlength=widths[view])
                             counts[-1] += own.sum()
         out = {f.name: [] for f in _SUMS}
         for (label, view, c), counts in total.items():
@@ -300,14 +328,14 @@ class Counts:
                     self.cells[view][c][cell[cell >= 0]] += n[cell >= 0]
                     self.rows[view][c] += rows
 
-    def views(self, x: tuple, z: tuple, y: np.ndarray) -> tuple[View, View] | None:
+    def views(self, sides: tuple[Side, Side], y: np.ndarray) -> tuple[View, View] | None:
         """Calibrated views; none where a class is missing."""
         if not all((r > 0).all() for r in self.rows) or not _both(y):
             return None
         out = []
-        for view, side in enumerate((x, z)):
-            model = View(self.cells[view], self.rows[view])
-            model.calibrate(*side, y)
+        for view, side in enumerate(sides):
+            model = View(self.cells[view], self.rows[view], _BLOCKS[view])
+            model.calibrate(side, y)
             out.append(model)
         return out[0], out[1]
 
@@ -320,17 +348,16 @@ def _score(final: list, shares: list[float]):
             n = batch.num_rows
             if not n:
                 continue
-            get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
-            x, z = _cells(get("x")), _cells(get("z"))
+            sides = _sides(batch)
             p = np.empty((n, 3 * len(final)))
             for j, made in enumerate(final):
                 if made is None:
                     p[:, 3 * j : 3 * j + 3] = shares[j]
                 else:
                     (text, meta), join = made
-                    t, m = text.logit(*x, n), meta.logit(*z, n)
+                    t, m = text.logit(sides[0]), meta.logit(sides[1])
                     p[:, 3 * j : 3 * j + 3] = _sigmoid(np.stack((t, m, join.logit(np.stack((t, m), 1))), 1))
-            yield pa.RecordBatch.from_arrays([get("key"), pa.array(list(p), pa.list_(pa.float64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("key")), pa.array(list(p), pa.list_(pa.float64()))], schema=schema)
 
     return run
 
@@ -389,7 +416,7 @@ def cotrain(
     side = []
     for j in range(n):
         own = [i for i, v in enumerate(held.column(f"y{j}").to_pylist()) if v is not None]
-        side.append((_cells([hx[i] for i in own]), _cells([hz[i] for i in own]), np.array([held.column(f"y{j}")[i].as_py() for i in own], float)))
+        side.append(((Side([hx[i] for i in own], _STATS[0]), Side([hz[i] for i in own], _STATS[1])), np.array([held.column(f"y{j}")[i].as_py() for i in own], float)))
     for r in range(rounds + 1):
         sums = summed()
         for j in range(n):
@@ -400,8 +427,8 @@ def cotrain(
         if views is None:
             final.append(None)
             continue
-        x, z, y = side[j]
-        final.append((views, Logistic(np.stack((views[0].logit(*x, len(y)), views[1].logit(*z, len(y))), 1), y)))
+        sides, y = side[j]
+        final.append((views, Logistic(np.stack([v.logit(s) for v, s in zip(views, sides, strict=True)], 1), y)))
     have = [rows.agg(F.avg(f"y{j}")).first()[0] if final[j] is None else 0.0 for j in range(n)]
     scored = rows.mapInArrow(_score(final, [0.5 if s is None else float(s) for s in have]), "key long, p array<double>")
     return ids.join(scored, "key").select(F.col("id").alias(id_col), "p")

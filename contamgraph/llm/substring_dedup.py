@@ -144,31 +144,6 @@ def _deepen(bucket: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray,
     return out, many
 
 
-def word_windows(buf: np.ndarray, offs: np.ndarray, edge: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document) of each run of ``words`` whole words inside a document.
-
-    ``edge`` tells whether a document's first byte can start a word.
-    """
-    n = len(buf)
-    none = np.zeros(0, np.int64)
-    if not n:
-        return none, none, none
-    inside = ~B.IS_SPACE[buf]
-    some = offs[:-1] < offs[1:]
-    first, last = np.ones(n, bool), np.ones(n, bool)
-    first[1:] = ~inside[:-1]
-    first[offs[:-1][some]] = edge[some]
-    last[:-1] = ~inside[1:]
-    last[offs[1:][some] - 1] = True
-    start, end = np.flatnonzero(first & inside), np.flatnonzero(last & inside) + 1
-    to = np.searchsorted(end, start, "right") + words - 1
-    start, to = start[to < len(end)], to[to < len(end)]
-    end = end[to]
-    doc = np.searchsorted(offs, start, "right") - 1
-    own = end <= offs[doc + 1]
-    return start[own], end[own], doc[own]
-
-
 def _covered(start: np.ndarray, end: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     """Bytes of each document under its intervals (both ends rise within a document)."""
     from_ = start.copy()
@@ -202,7 +177,7 @@ def _fingerprints(least: int, length: int, gram: int, words: int):
                 size = np.diff(offs)
                 passage = np.zeros(m, np.int64)
                 if ((size >= least) & (size < length)).any():
-                    s, e, of = word_windows(buf, offs, np.ones(m, bool), words)
+                    s, e, of = B.word_windows(buf, offs, np.ones(m, bool), words)
                     wide = e - s >= least
                     passage = _covered(s[wide], e[wide], of[wide], m)
                 fresh = np.zeros(m, bool)
@@ -361,7 +336,7 @@ def _repeated_runs(least: int, length: int, q: int, words: int):
             head = np.flatnonzero(new)
             emit(BYTES, p[head], p[np.append(head[1:], len(p)) - 1] + length)
         if least < length:
-            a, b, of = word_windows(buf, offset, np.array([k[3] for k in merged], bool), words)
+            a, b, of = B.word_windows(buf, offset, np.array([k[3] for k in merged], bool), words)
             keep = live[a] & (b - a >= least) & (b - a < length)
             a, b, of = a[keep], b[keep], of[keep]
             first, last, size = short[a], short[b - least], b - a

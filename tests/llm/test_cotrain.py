@@ -69,15 +69,16 @@ def plain_rounds(rows, labels, rounds, confident):
     """The same method row by row: models of both views after some rounds of exchange."""
     import math
     from contamgraph.llm import blocks as B
-    from contamgraph.llm.cotrain import LEAST_Z, text_cells
+    from contamgraph.llm.cotrain import LEAST_Z, WORD_CELLS, text_cells
 
     distinct = {r["key"]: r for r in rows}
-    data = []
+    data, stats = [], {}
     for key in sorted(distinct):
         r = distinct[key]
         raw = (r["text"] or "").encode()
         x = text_cells(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[1].tolist()
-        assert {int(w >> np.uint64(48)) for w in B.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]} == {c for c in x if c < 1 << 16}
+        stats[key] = text_features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].astype(float)
+        assert {int(w >> np.uint64(48)) for w in B.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]} == {c for c in x if c < WORD_CELLS}
         z = [r["m0"], 32 + r["m1"], 64 + int(math.log2((r["n_chars"] or 0) + 1))]
         own = [labels[q["doc_id"]] for q in rows if q["key"] == key and labels.get(q["doc_id"]) in (0, 1)]
         data.append((key, (x, z), min(own) if own else None, r["fold"] == 4))
@@ -88,20 +89,23 @@ def plain_rounds(rows, labels, rounds, confident):
     def fit(view):
         own = [(d[1][view], learned[view][d[0]]) for d in data if d[0] in learned[view]]
         n = [sum(y == c for _, y in own) for c in (0, 1)]
-        weight = {}
-        for cell in {c for cells, _ in own for c in cells}:
-            k = [sum(cell in cells for cells, y in own if y == c) for c in (0, 1)]
+
+        def odds_of(k):
             odds = math.log((k[1] + 0.5) / (n[1] + 1) * (n[0] + 1) / (k[0] + 0.5))
             error = math.sqrt(sum(1 / (k[c] + 0.5) - 1 / (n[c] + 1) for c in (0, 1)))
-            if abs(odds) >= LEAST_Z * error:
-                weight[cell] = odds
-        unseen = math.log((n[0] + 1) / (n[1] + 1))
-        error = math.sqrt(sum(1 / 0.5 - 1 / (n[c] + 1) for c in (0, 1)))
-        rest = unseen if abs(unseen) >= LEAST_Z * error else 0.0
-        known = {c for cells, _ in own for c in cells}
-        raw = lambda cells: sum(weight.get(c, 0.0) if c in known else rest for c in cells)
-        platt = Logistic(np.array([[raw(d[1][view])] for d in held]), np.array([d[2] for d in held], float))
-        return lambda cells: 1 / (1 + math.exp(-max(-40, min(40, float(platt.logit(np.array([[raw(cells)]]))[0])))))
+            return odds if abs(odds) >= LEAST_Z * error else 0.0
+
+        weight = {c: odds_of([sum(c in cells for cells, y in own if y == v) for v in (0, 1)]) for c in {c for cells, _ in own for c in cells}}
+
+        def evidence(d):
+            out = list(stats[d[0]]) if view == 0 else []
+            for block in (0, 1) if view == 0 else (0,):
+                w = [weight.get(c, odds_of([0, 0])) for c in d[1][view] if view or c // WORD_CELLS == block]
+                out += [sum(w) / math.sqrt(max(len(w), 1)), math.log1p(sum(x for x in w if x >= 2)), math.log1p(sum(-x for x in w if x <= -2))]
+            return out
+
+        platt = Logistic(np.array([evidence(d) for d in held]), np.array([d[2] for d in held], float))
+        return lambda d: 1 / (1 + math.exp(-max(-40, min(40, float(platt.logit(np.array([evidence(d)]))[0])))))
 
     for _ in range(rounds):
         views = fit(0), fit(1)
@@ -109,13 +113,13 @@ def plain_rounds(rows, labels, rounds, confident):
         for d in data:
             if d[0] in pool:
                 for view in (0, 1):
-                    p = views[view](d[1][view])
+                    p = views[view](d)
                     if p >= confident or p <= 1 - confident:
                         learned[1 - view][d[0]] = int(p >= confident)
                         gone.add(d[0])
         pool -= gone
     views = fit(0), fit(1)
-    return {d[0]: (views[0](d[1][0]), views[1](d[1][1])) for d in data}
+    return {d[0]: (views[0](d), views[1](d)) for d in data}
 
 
 def test_equals_plain_co_training(spark):
@@ -135,7 +139,7 @@ def test_equals_plain_co_training(spark):
         by = {r["doc_id"]: want[r["key"]] for r in seen}
         got = cotrain(df, known, ("quality",), rounds=rounds, confident=0.8).collect()
         assert len(got) == len(rows)
-        assert all(abs(r["p"][v] - by[r["doc_id"]][v]) < 1e-6 for r in got for v in (0, 1))
+        assert all(abs(r["p"][v] - by[r["doc_id"]][v]) < 1e-4 for r in got for v in (0, 1))
 
 
 def test_a_second_label(spark):
