@@ -9,6 +9,11 @@ other terms only while its score so far and the bounds left still reach the k-th
 Each block of a shard raises the threshold for the next; the shards' lists are
 merged by (score, smaller id).
 
+Shards are packed once and stay where they are.  Queries, a stated part of the rows,
+are packed too and go to all shards in groups of at most ``GROUP_BYTES``, by broadcast;
+each further group is one more pass over the shards.  The first shard is searched
+before the others, and its k-th best scores are the thresholds that all start from.
+
 Every row takes part with the integers ``floor(scale * x)``, exactly: sums that
 may leave the exact range of a double are taken in arbitrary precision (and held
 to the range of a long).  Vectors that are null, empty, or hold null or non-finite
@@ -23,8 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contamgraph.plans.lineage import cut
+
 SHARD_ROWS = 8192
 QUERY_ROWS = 1024
+#: Bytes of queries that are broadcast at a time.
+GROUP_BYTES = 64 << 20
 _BLOCK = 2048
 _PACKED = pa.schema([("part", pa.string()), ("ids", pa.binary()), ("values", pa.binary()), ("dims", pa.int32())])
 _PACKED_DDL = "part string, ids binary, values binary, dims int"
@@ -58,8 +67,11 @@ def _pack(tag: str, rows: int):
     return run
 
 
-def top_of_shard(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, vector id, score) of each query's best k in this shard."""
+def top_of_shard(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, floors: list[int | None] | None = None) -> list[tuple[int, int, int]]:
+    """(query id, vector id, score) of each query's best k in this shard.
+
+    With ``floors``, scores below a query's floor may be left out.
+    """
     dims = max(queries.shape[1], vectors.shape[1])
     fill = lambda m: np.pad(m, ((0, 0), (0, dims - m.shape[1])))
     queries, vectors = fill(queries), fill(vectors)
@@ -72,7 +84,7 @@ def top_of_shard(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
         columns, queries = (np.frompyfunc(int, 1, 1)(m) for m in (columns, queries))
     low, high = columns.min(1), columns.max(1)
     out = []
-    for q, own in zip(queries, query_ids.tolist(), strict=True):
+    for q, own, floor in zip(queries, query_ids.tolist(), floors or [None] * len(queries), strict=True):
         least, most = np.minimum(q * low, q * high), np.maximum(q * low, q * high)
         bound, base = most - least, least.sum()
         by = np.argsort(-bound.astype(float), kind="stable")
@@ -81,7 +93,7 @@ def top_of_shard(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
         best_i: list = []
         for at in range(0, len(ids), _BLOCK):
             end = min(at + _BLOCK, len(ids))
-            need = best_s[k - 1] - base if len(best_s) >= k else None
+            need = max((x - base for x in (floor, best_s[k - 1] if len(best_s) >= k else None) if x is not None), default=None)
             # essential: up to where the remaining bounds alone cannot reach the threshold
             essential = dims if need is None else int(np.flatnonzero(rest < need)[0]) if (rest < need).any() else dims
             score = np.zeros(end - at, columns.dtype)
@@ -113,21 +125,46 @@ def top_of_shard(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
     return out
 
 
-def _search(k: int):
+def _matrix(raw, dims: int) -> np.ndarray:
+    return np.frombuffer(raw).reshape(-1, dims)
+
+
+def _search(k: int, group):
+    """Best rows of each shard for a broadcast group of (ids, values, dims, floors)."""
+
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                m = lambda v, d: np.frombuffer(v).reshape(-1, d)
-                hits = top_of_shard(
-                    m(r["q_values"], r["q_dims"]), np.frombuffer(r["q_ids"], np.int64), m(r["values"], r["dims"]), np.frombuffer(r["ids"], np.int64), k
-                )
-                cols = list(zip(*hits, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_HITS)
+                ids, vectors = np.frombuffer(r["ids"], np.int64), _matrix(r["values"], r["dims"])
+                for q_ids, q_values, q_dims, floors in group.value:
+                    hits = top_of_shard(_matrix(q_values, q_dims), np.frombuffer(q_ids, np.int64), vectors, ids, k, floors)
+                    cols = list(zip(*hits, strict=True)) or [[], [], []]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_HITS)
 
     return run
 
 
+def _groups(blocks: DataFrame, first: tuple | None, k: int):
+    """Query blocks with their floors, in groups of at most ``GROUP_BYTES`` (or one block)."""
+    held, size = [], 0
+    for r in blocks.toLocalIterator():
+        ids, values, dims = bytes(r["ids"]), bytes(r["values"]), r["dims"]
+        if held and size + len(values) > GROUP_BYTES:
+            yield held
+            held, size = [], 0
+        numbers = np.frombuffer(ids, np.int64)
+        best: dict[int, list[int]] = {}
+        # a repeated query id has several vectors: its rows are searched apart
+        hits = [top_of_shard(_matrix(values, dims)[i : i + 1], numbers[i : i + 1], *first, k) for i in range(len(numbers))]
+        for i, own in enumerate(hits):
+            best[i] = [s for _, _, s in own]
+        held.append((ids, values, dims, [best[i][k - 1] if len(best[i]) >= k else None for i in range(len(numbers))]))
+        size += len(values)
+    if held:
+        yield held
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each row whose id ``every`` divides."""
     spark = vectors.sparkSession
@@ -137,20 +174,17 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         .where(F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0)).where(finite)
         .select("id", F.transform("x", lambda c: F.floor(c * scale).cast("double")).alias("v"))
     )
-    asks = rows.where(F.pmod("id", F.lit(every)) == 0).distinct()
     n = rows.count()
-    parts = max(1, -(-n // SHARD_ROWS))
-    shards = rows.repartition(parts, F.xxhash64("id")).mapInArrow(_pack("s", SHARD_ROWS), _PACKED_DDL)
-    blocks = asks.repartition(max(1, -(-n // every // QUERY_ROWS)), F.xxhash64("id")).mapInArrow(_pack("q", QUERY_ROWS), _PACKED_DDL)
-    from contamgraph.plans.lineage import cut
-
-    shards = cut(shards)
-    names = shards.select("part")
-    blocks = blocks.select(F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.col("dims").alias("q_dims"))
-    # each query block goes to every shard: a stated query set against all rows, in blocks
-    dealt = blocks.join(names.agg(F.collect_list("part").alias("parts")), F.lit(True)).select("q_ids", "q_values", "q_dims", F.explode("parts").alias("part"))
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = shards.join(dealt, "part").repartition(spread, F.xxhash64("part", F.crc32("q_ids")))
-    hits = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    place = F.xxhash64("id", "v")
+    shards = cut(rows.repartition(max(1, -(-n // SHARD_ROWS)), place).mapInArrow(_pack("s", SHARD_ROWS), _PACKED_DDL))
+    asks = rows.where(F.pmod("id", F.lit(every)) == 0).distinct()
+    blocks = cut(asks.repartition(max(1, -(-n // every // QUERY_ROWS)), place).mapInArrow(_pack("q", QUERY_ROWS), _PACKED_DDL))
+    seed = shards.limit(1).collect()
+    hits = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    if seed:
+        first = (_matrix(bytes(seed[0]["values"]), seed[0]["dims"]), np.frombuffer(bytes(seed[0]["ids"]), np.int64))
+        for group in _groups(blocks, first, k):
+            sent = spark.sparkContext.broadcast(group)
+            hits = hits.unionByName(shards.mapInArrow(_search(k, sent), "query_id long, vec_id long, score long"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias("vec_id"), "score")
