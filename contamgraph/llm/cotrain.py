@@ -18,7 +18,8 @@ rounds' models, which travel along, so a round is one pass and one sum.  At last
 the calibrated views are combined on the calibration rows and score every document.
 
 Equal rows (same text and metadata) are one row from the first shuffle on, so
-copies weigh once, and their scores are joined back by a 64-bit key.  The driver
+copies weigh once, and their scores are joined back by a 64-bit key.  Labels join
+their rows in that shuffle, too, so features move once.  The driver
 holds the models (``2**17`` counts for each class, view and label) and at most
 ``max_labelled`` calibration rows, the ones with the smallest hashes of the key.
 
@@ -146,29 +147,43 @@ def _distinct_rows(n_meta: int):
                     fresh.append(i)
             batch = batch.take(pa.array(fresh, pa.int64()))
             size = np.log2(np.maximum(np.array(get("size").to_pylist(), np.int64), 0) + 1).astype(np.int64)
-            z = np.stack([np.array(get(f"m{j}").to_pylist(), np.int64) + j * META_CELLS for j in range(n_meta)] + [size + n_meta * META_CELLS], 1).astype("<u4")
+            z = np.stack([np.array(get(f"m{j}").to_pylist(), np.int64) + j * META_CELLS for j in range(n_meta)] + [size + n_meta * META_CELLS], 1).astype("<u2")
             for at, end, buf, offs in B.blocks(get("text")):
                 doc, cell = text_cells(buf, offs)
                 edge = np.searchsorted(doc, np.arange(end - at + 1))
-                cell = cell.astype("<u4")
-                stats = text_features(buf, offs).astype("<f4")
-                x = [own.tobytes() + cell[a:b].tobytes() for own, a, b in zip(stats, edge, edge[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([get("key").slice(at, end - at), pa.array(x, pa.binary()), pa.array([r.tobytes() for r in z[at:end]], pa.binary())], schema=_ROWS)
+                words = np.bincount(doc[cell < WORD_CELLS], minlength=end - at)
+                low = (cell % WORD_CELLS).astype("<u2")
+                stats = text_features(buf, offs)
+                x = [_packed(low[a:b], n, own) for own, n, a, b in zip(stats, words.tolist(), edge, edge[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([get("key").slice(at, end - at), pa.array(x, pa.binary()), pa.array([_packed(r, len(r)) for r in z[at:end]], pa.binary())], schema=_ROWS)
 
     return run
 
 
-def _once(batches):
-    """One row a key; equal keys lie in one partition."""
-    seen: set[int] = set()
-    for batch in batches:
-        keys = batch.column(batch.schema.get_field_index("key")).to_pylist()
-        fresh = []
-        for i, k in enumerate(keys):
-            if k not in seen:
-                seen.add(k)
-                fresh.append(i)
-        yield batch.take(pa.array(fresh, pa.int64()))
+def _packed(cells: np.ndarray, first: int, stats: np.ndarray | None = None) -> bytes:
+    """Number of cells in the first block, statistics, and cells in two bytes each."""
+    return first.to_bytes(4, "little") + (b"" if stats is None else stats.astype("<f4").tobytes()) + cells.tobytes()
+
+
+def _merged(n_labels: int):
+    """Rows sorted by key, features or labels: one row for each key."""
+    schema = pa.schema([*_ROWS, *((f"y{j}", pa.int32()) for j in range(n_labels))])
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in schema.names), strict=True):
+                if last is not None and last[0] == row[0]:
+                    last = tuple(b if a is None else a for a, b in zip(last, row, strict=True))
+                else:
+                    out += [] if last is None else [last]
+                    last = row
+            yield B.table({c: [r[i] for r in out] for i, c in enumerate(schema.names)}, schema)
+        if last is not None:
+            yield B.table({c: [last[i]] for i, c in enumerate(schema.names)}, schema)
+
+    return run
 
 
 class Logistic:
@@ -205,14 +220,15 @@ class Side:
     def __init__(self, column, n_stats: int):
         raw = [bytes(r) for r in (column.to_pylist() if hasattr(column, "to_pylist") else column)]
         self.n = len(raw)
-        count = np.array([len(r) // 4 for r in raw], np.int64)
-        flat = np.frombuffer(b"".join(raw), "<u4")
+        count = np.array([len(r) // 2 for r in raw], np.int64)
+        flat = np.frombuffer(b"".join(raw), "<u2")
         start = np.cumsum(count) - count
-        self.stats = flat[start[:, None] + np.arange(n_stats)].view("<f4").astype(float)
-        own = np.ones(len(flat), bool)
-        own[(start[:, None] + np.arange(n_stats)).ravel()] = False
+        first = flat[start[:, None] + np.arange(2)].view("<u4").ravel()
+        self.stats = flat[start[:, None] + 2 + np.arange(2 * n_stats)].view("<f4").astype(float)
+        place = np.arange(len(flat)) - np.repeat(start + 2 + 2 * n_stats, count)
+        own = place >= 0
         self.row = np.repeat(np.arange(self.n), count)[own]
-        self.cell = flat[own].astype(np.int64)
+        self.cell = flat[own].astype(np.int64) + WORD_CELLS * (place[own] >= first[self.row])
 
 
 #: Statistics before the cells, and blocks of cells, of the text and of the metadata view.
@@ -400,9 +416,11 @@ def cotrain(
     y = [F.min(F.when(F.col(c).isin(0, 1), F.col(c).cast("int"))).alias(f"y{j}") for j, c in enumerate(label_cols)]
     known = labels.select(F.col(id_col).cast("long").alias("id"), *label_cols).where("id is not null")
     known = ids.join(known, "id").groupBy("key").agg(*y)
-    distinct = plain.mapInArrow(_distinct_rows(len(meta_cols)), "key long, x binary, z binary").repartition(parts, "key").mapInArrow(_once, "key long, x binary, z binary")
-    labelled = F.coalesce(*(F.col(f"y{j}") for j in range(n))).isNotNull()
-    rows = cut(distinct.join(known, "key", "left").withColumn("held", labelled & (F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(5)) == 4)))
+    features = plain.mapInArrow(_distinct_rows(len(meta_cols)), "key long, x binary, z binary")
+    ys = [f"y{j}" for j in range(n)]
+    both = features.unionByName(known, allowMissingColumns=True).repartition(parts, "key").sortWithinPartitions("key")
+    rows = both.mapInArrow(_merged(n), "key long, x binary, z binary, " + ", ".join(f"{c} int" for c in ys))
+    rows = cut(rows.withColumn("held", F.coalesce(*ys).isNotNull() & (F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(5)) == 4)))
 
     widths = (N_X, len(meta_cols) * META_CELLS + 64)
     held = _calibration_rows(rows, n, max_labelled)
