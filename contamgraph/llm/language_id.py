@@ -82,31 +82,27 @@ def _count(batches):
     for batch in batches:
         lang, text = (batch.column(batch.schema.get_field_index(c)) for c in ("lang", "text"))
         for at, end, buf, offs in B.blocks(text):
-            if not len(buf):
-                continue
             number = np.array([row.setdefault(x, len(row)) for x in lang.slice(at, end - at).to_pylist()])
             if len(total) < len(row) * CELLS:
                 total = np.concatenate((total, np.zeros(len(row) * CELLS - len(total), np.int64)))
-            cell, word, doc = trigram_cells(buf, offs)
-            np.add.at(total, number[doc][word] * CELLS + cell, 1)
+            if len(buf):
+                cell, word, doc = trigram_cells(buf, offs)
+                np.add.at(total, number[doc][word] * CELLS + cell, 1)
     total = total.reshape(-1, CELLS)
-    used = [np.flatnonzero(x) for x in total]
-    names = [x for x, i in row.items() if i < len(used)]
-    yield B.table({"lang": names, "cells": used, "counts": [x[i] for x, i in zip(total, used, strict=True)]}, schema)
+    used = [np.union1d(np.flatnonzero(x), [0]) for x in total]  # cell 0 names languages without a trigram, too
+    yield B.table({"lang": list(row), "cells": used, "counts": [x[i] for x, i in zip(total, used, strict=True)]}, schema)
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities (cells x languages) from every row that has a language."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counted = rows.mapInArrow(_count, "lang string, cells array<int>, counts array<long>").select("lang", F.posexplode("cells").alias("i", "cell"), "counts")
-    model = counted.groupBy("lang", "cell").agg(F.sum(F.element_at("counts", F.col("i") + 1)).alias("n"))
-    model = rows.select("lang").distinct().join(model, "lang", "left").toArrow()  # languages x 2**16 rows at most
-    names = sorted(set(model.column("lang").to_pylist()))
+    model = counted.groupBy("lang", "cell").agg(F.sum(F.element_at("counts", F.col("i") + 1)).alias("n")).toArrow()  # languages x 2**16 rows at most
+    langs = model.column("lang").to_pylist()
+    names = sorted(set(langs))
+    place = {x: j for j, x in enumerate(names)}
     counts = np.zeros((CELLS, len(names)))
-    known = model.filter(model.column("cell").is_valid())
-    if known.num_rows:
-        place = {x: j for j, x in enumerate(names)}
-        counts[known.column("cell").to_numpy(), [place[x] for x in known.column("lang").to_pylist()]] = known.column("n").to_numpy()
+    counts[model.column("cell").to_numpy(), np.array([place[x] for x in langs], np.int64)] = model.column("n").to_numpy()
     return names, np.log((counts + SMOOTH) / (counts.sum(0) + SMOOTH * CELLS)).astype(np.float32)
 
 
