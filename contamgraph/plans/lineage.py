@@ -1,8 +1,9 @@
 """Lineage cuts that survive lost executors.
 
 Every cut goes to the folder named by ``spark.checkpoint.dir`` (shared storage on
-a cluster).  Only where that setting is absent, as in tests on one machine, a
-temporary folder is created for the session.
+a cluster).  Only where that setting is absent and Spark runs on one machine alone,
+as in tests, a temporary folder is created for the session; on a cluster its
+absence is an error.  Cuts stay until ``drop_cuts``: results are lazy and read them.
 """
 from __future__ import annotations
 
@@ -11,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+_tables: list[str] = []
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for lineage cuts; read from the session, set only where unset."""
@@ -19,6 +23,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="contamgraph-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -33,6 +40,7 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,4 +56,15 @@ def cut_bucketed(df: DataFrame, key: str, codec: str = "zstd") -> DataFrame:
     name = f"cut_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.option("compression", codec).bucketBy(buckets, key).saveAsTable(name)
+    _tables.append(name)
     return spark.table(name)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete all cuts made by this process; call it when their results have been read."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    while _made:
+        path = path_of(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
