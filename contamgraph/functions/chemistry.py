@@ -55,3 +55,40 @@ def featurize(smiles: Column) -> Column:
     """All features of a molecule from one parse, as a struct."""
     backend()
     return F.pandas_udf(_featurize, FEATURES)(smiles)
+
+
+def _sizes(smiles: pd.Series) -> pd.Series:
+    Chem = backend()
+
+    def size(s):
+        if not s:
+            return 0
+        mol = Chem.MolFromSmiles(s)
+        return -1 if mol is None else mol.GetNumHeavyAtoms()
+
+    return smiles.map(size)
+
+
+def heavy_atoms(smiles: Column) -> Column:
+    """Heavy atoms of a molecule: 0 for empty text, -1 for one that cannot be parsed."""
+    backend()
+    return F.pandas_udf(_sizes, "long")(smiles)
+
+
+def _flat(smiles: pd.Series) -> pd.Series:
+    Chem = backend()
+
+    def flat(s):
+        mol = Chem.MolFromSmiles(s) if s is not None else None
+        if mol is None:
+            return s if s is None else s.translate(str.maketrans("", "", "/\\@"))
+        Chem.RemoveStereochemistry(mol)
+        return Chem.MolToSmiles(mol)
+
+    return smiles.map(flat)
+
+
+def stereo_free(smiles: Column) -> Column:
+    """Canonical text without stereochemistry."""
+    backend()
+    return F.pandas_udf(_flat, "string")(smiles)

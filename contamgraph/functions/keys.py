@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_UNIPROT = r"^([OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9][A-Z][A-Z0-9]{2}[0-9]|[A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){2})$"
+#: Fixed value: the published pattern of accessions.
+_UNIPROT = r"^([OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){1,2})$"
 
 
 def ligand_id(canonical: Column) -> Column:
@@ -62,3 +63,13 @@ def pair(a: Column, b: Column) -> tuple[Column, Column]:
 def pocket_entry(pocket: Column) -> Column:
     """Entry name of a pocket construct ``ENTRY_ORG_start_end[_n]``; other ids unchanged."""
     return F.coalesce(F.nullif(F.regexp_extract(pocket, r"^([A-Za-z0-9]+_[A-Za-z0-9]+)_\d+_\d+(_\d+)?$", 1), F.lit("")), pocket)
+
+
+def pocket_name(pocket: Column) -> Column:
+    """Entry name of a pocket construct of at least five parts whose last three are numbers; null for other ids."""
+    return F.nullif(F.regexp_extract(pocket, r"^([^_]*_[^_]*)(_[^_]*)*_\d+_\d+_\d+$", 1), F.lit(""))
+
+
+def stereo_free_text(smiles: Column) -> Column:
+    """Molecule text without its stereo marks (for texts that cannot be parsed)."""
+    return F.translate(smiles, "/\\@", "")

@@ -31,9 +31,10 @@ def any_of(column: Column | str, *fields: str) -> Column:
     return F.coalesce(*(text(column, f) for f in fields))
 
 
-def spliced(column: Column, fields: dict[str, Column]) -> Column:
-    """JSON object with more fields appended; null if a new value is null."""
-    add = F.concat(*[x for i, (k, v) in enumerate(fields.items()) for x in (F.lit(("," if i else "") + f'"{k}":"'), v, F.lit('"'))])
+def spliced(column: Column, fields: dict[str, Column], quoted: bool = True) -> Column:
+    """JSON object with more fields appended, as strings or as they are; null if a new value is null."""
+    q = '"' if quoted else ""
+    add = F.concat(*[x for i, (k, v) in enumerate(fields.items()) for x in (F.lit(("," if i else "") + f'"{k}":{q}'), v, F.lit(q))])
     return F.when(column == EMPTY, F.concat(F.lit("{"), add, F.lit("}"))).otherwise(
         F.concat(F.regexp_replace(column, r"\}$", ""), F.lit(","), add, F.lit("}"))
     )

@@ -59,21 +59,21 @@ def compose(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def partition_proof(whole: DataFrame, parts: list[DataFrame], key: list[str]) -> DataFrame:
-    """(check, n_bad): the parts are disjoint, cover the whole and add no row."""
-    union = parts[0].select(*key)
-    for p in parts[1:]:
-        union = union.unionByName(p.select(*key))
-    keyed = whole.select(*key)
-    checks = {
-        "overlap": union.groupBy(*key).count().where("count > 1"),
-        "missing": keyed.join(union, key, "left_anti"),
-        "extra": union.join(keyed, key, "left_anti"),
+    """(check, n_bad): the parts are disjoint, cover the whole and add no row.
+
+    One aggregation by key; null keys are keys like others.
+    """
+    rows = whole.select(*key, F.lit(1).alias("_w"), F.lit(0).alias("_p"))
+    for part in parts:
+        rows = rows.unionByName(part.select(*key, F.lit(0).alias("_w"), F.lit(1).alias("_p")))
+    n = rows.groupBy(*key).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"))
+    bad = {
+        "overlap": F.count_if(F.col("_p") > 1),
+        "missing": F.sum(F.when(F.col("_p") == 0, F.col("_w")).otherwise(0)),
+        "extra": F.sum(F.when(F.col("_w") == 0, F.col("_p")).otherwise(0)),
     }
-    out = None
-    for name, bad in checks.items():
-        row = bad.agg(F.count("*").alias("n_bad")).select(F.lit(name).alias("check"), "n_bad")
-        out = row if out is None else out.unionByName(row)
-    return out
+    total = n.agg(*(F.coalesce(c, F.lit(0)).cast("long").alias(k) for k, c in bad.items()))
+    return total.select(F.inline(F.array(*(F.struct(F.lit(k).alias("check"), F.col(k).alias("n_bad")) for k in bad))))
 
 
 def stratified_sample(df: DataFrame, key: str, one_in: int) -> DataFrame:

@@ -93,6 +93,33 @@ def list_tables(path: str) -> list[str]:
         return [r[0] for r in con.execute("select name from sqlite_master where type = 'table' order by name")]
 
 
+def _columns(df: DataFrame, **names: str) -> DataFrame:
+    """Columns by their names here; null where the file has no such column."""
+    have = set(df.columns)
+    return df.select(*(F.col(c).alias(n) if c in have else F.lit(None).cast("string").alias(n) for n, c in names.items()))
+
+
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """Publications: keys, identifiers, year, journal and title."""
+    return _columns(table(spark, path, "docs"), doc_id="doc_id", document_chembl_id="chembl_id", pubmed_id="pubmed_id", doi="doi", year="year", journal="journal", title="title")
+
+
+def assays(spark: SparkSession, path: str) -> DataFrame:
+    """Assays with their type, publication and target."""
+    return _columns(table(spark, path, "assays"), assay_id="assay_id", assay_chembl_id="chembl_id", assay_type="assay_type", description="description", doc_id="doc_id", tid="tid")
+
+
+def targets(spark: SparkSession, path: str) -> DataFrame:
+    """Targets: name, kind and organism."""
+    return _columns(table(spark, path, "target_dictionary"), tid="tid", target_chembl_id="chembl_id", pref_name="pref_name", target_type="target_type", organism="organism")
+
+
+def activities(spark: SparkSession, path: str, partitions: int = 8) -> DataFrame:
+    """Measured activities, read in parallel by activity id."""
+    names = ("activity_id", "molregno", "assay_id", "standard_type", "standard_relation", "standard_value", "standard_units", "pchembl_value", "doc_id")
+    return _columns(table(spark, path, "activities", key="activity_id", partitions=partitions), **{c: c for c in names})
+
+
 def molecules(spark: SparkSession, path: str) -> DataFrame:
     """Molecules with their structures, where they have one."""
     return table(spark, path, "molecule_dictionary").join(table(spark, path, "compound_structures"), "molregno", "left")

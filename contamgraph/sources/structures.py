@@ -7,25 +7,29 @@ from pyspark.sql import functions as F
 #: Residue names and letters.
 RESIDUES = {
     "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L",
-    "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V", "MSE": "M",
+    "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V", "SEC": "U", "PYL": "O", "MSE": "M",
 }
 
 
 def ca_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """(file, chain, sequence) of the longest chain of each structure file, from its C-alpha atoms.
+    """(file, chain, sequence) of the longest chain of each structure file, from the C-alpha
+    atoms of its polymer and hetero records.
 
-    Residues in order of number; unknown residues are X; of equally long chains the first by name.
+    Residues in order of number; names that stand for no residue are skipped, the last
+    record of a number counts; of equally long chains the first in the file.
     """
-    line = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where("substr(value, 1, 6) = 'ATOM  ' and trim(substr(value, 13, 4)) = 'CA'")
     letters = F.create_map(*[F.lit(x) for kv in RESIDUES.items() for x in kv])
-    atom = line.select(
-        "file", F.substring("value", 22, 1).alias("chain"), F.expr("try_cast(trim(substr(value, 23, 4)) as int)").alias("no"),
-        F.coalesce(F.try_element_at(letters, F.trim(F.substring("value", 18, 3))), F.lit("X")).alias("aa"),
-    ).where("no is not null")
-    residue = atom.groupBy("file", "chain", "no").agg(F.min("aa").alias("aa"))
-    chain = residue.groupBy("file", "chain").agg(F.array_sort(F.collect_list(F.struct("no", "aa"))).alias("r"))
-    chain = chain.select("file", "chain", F.array_join(F.transform("r", lambda x: x["aa"]), "").alias("sequence"))
-    return chain.groupBy("file").agg(F.min_by(F.struct("chain", "sequence"), F.struct(-F.length("sequence"), F.col("chain"))).alias("c")).select("file", "c.*")
+    field = lambda at, n: F.trim(F.substring("value", at, n))
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("i"))
+    line = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
+    atom = line.where(F.rtrim(F.substring("value", 1, 6)).isin("ATOM", "HETATM") & (field(13, 4) == "CA")).select(
+        "file", "place", F.substring("value", 22, 1).alias("chain"), field(23, 4).try_cast("int").alias("no"), F.try_element_at(letters, F.upper(field(18, 3))).alias("aa"),
+    ).where("no is not null and aa is not null")
+    residue = atom.groupBy("file", "chain", "no").agg(F.max_by("aa", "place").alias("aa"), F.min("place").alias("place"))
+    chain = residue.groupBy("file", "chain").agg(F.array_sort(F.collect_list(F.struct("no", "aa"))).alias("r"), F.min("place").alias("place"))
+    chain = chain.select("file", "chain", "place", F.array_join(F.transform("r", lambda x: x["aa"]), "").alias("sequence"))
+    best = F.min_by(F.struct("chain", "sequence"), F.struct(-F.length("sequence"), F.col("place")))
+    return chain.groupBy("file").agg(best.alias("c")).select("file", "c.*")
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:

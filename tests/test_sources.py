@@ -32,19 +32,69 @@ def test_directory_loaders(spark, tmp_path):
     assert [(r["label"], r["label_type"]) for r in rows] == [(1, "active"), (0, "decoy"), (-1, "unknown"), (-1, "unknown")]
 
 
-def test_published_split_matches_whole_rows(spark, tmp_path):
+@pytest.mark.parametrize("case", ["whole", "missing", "overlap", "extra", "none"])
+def test_published_split(spark, tmp_path, case):
     head = "lig_smiles,uniprot,active,pchembl_value\n"
-    put(tmp_path / "all.csv", head + "C,P1,True,\nC,P2,False,5.5\nN,P1,True,6\nO,P3,False,\n")
-    put(tmp_path / "train.csv", head + "C,P1,True,\nN,P1,True,6\n")
-    put(tmp_path / "test.csv", head + "C,P2,False,5.5\n")
+    rows = ["C,P1,True,\n", "C,P2,False,5.5\n", "N,P1,True,6\n", "O,P3,False,\n"]
+    put(tmp_path / "all.csv", head + "".join(rows))
+    put(tmp_path / "train.csv", head + rows[0] + rows[2] + (rows[1] if case == "overlap" else ""))
+    put(tmp_path / "test.csv", head + rows[1] + ("" if case == "missing" else rows[3]) + ("Q,P4,True,1\n" if case == "extra" else ""))
     cols = ["lig_smiles", "uniprot", "active", "pchembl_value"]
-    read = lambda n: text.csv_rows(spark, str(tmp_path / n), cols)
-    out = text.published_split(read("all.csv"), {"train": read("train.csv"), "test": read("test.csv")}, cols)
-    assert sorted((r["lig_smiles"], r["uniprot"], r["split"]) for r in out.collect()) == [("C", "P1", "train"), ("C", "P2", "test"), ("N", "P1", "train"), ("O", "P3", "unknown")]
+    read = lambda n: text.key_rows(text.csv_rows(spark, str(tmp_path / n), cols)).drop("row_key")
+    parts = {} if case == "none" else {"train": read("train.csv"), "test": read("test.csv")}
+    if case in ("missing", "overlap", "extra"):
+        say = {"missing": "1 rows are in no part", "overlap": "1 rows are in more than one part", "extra": "1 rows of the parts are in no input"}
+        with pytest.raises(ValueError, match=say[case]):
+            text.published_split(read("all.csv"), parts, cols)
+        return
+    out = text.published_split(read("all.csv"), parts, cols)
+    want = ["train", "test", "train", "test"] if case == "whole" else ["unknown"] * 4
+    assert out.columns == [*cols, "split"]
+    assert sorted((r["lig_smiles"], r["uniprot"], r["split"]) for r in out.collect()) == sorted(zip("CCNO", ("P1", "P2", "P1", "P3"), want, strict=True))
     m = text.measured_csv(spark, str(tmp_path / "all.csv")).collect()
     assert sorted((r["target"], r["label"], r["pchembl_value"]) for r in m if r["pchembl_value"]) == [("P1", 1, 6.0), ("P2", 0, 5.5)]
 
 
+def test_measured_and_random(spark, tmp_path):
+    put(tmp_path / "test/AKT1/actives.csv", "lig_smiles,uniprot,pchembl_value\nCCO,P1,7.5\nCC,P1,\n")
+    put(tmp_path / "test/AKT1/random.csv", "LIG_SMILES,pocket\nN,x\n")
+    put(tmp_path / "val/GBA/actives.csv", "")
+    put(tmp_path / "val/GBA/random.csv", "name,pocket\nN,x\n")
+    rows = text.measured_and_random(spark, str(tmp_path)).collect()
+    key = ("split", "target", "smiles_input", "label", "label_type", "uniprot", "pocket", "source_file")
+    assert sorted((tuple(r[k] for k in key) for r in rows), key=str) == [
+        ("test", "AKT1", "CC", 1, "active", "P1", None, "actives.csv"), ("test", "AKT1", "CCO", 1, "active", "P1", None, "actives.csv"), ("test", "AKT1", "N", 0, "random", None, "x", "random.csv"),
+    ]
+
+
+def test_full_sets_and_archives(spark, tmp_path):
+    import tarfile
+
+    put(tmp_path / "raw/TP53/actives.smi", "C 1\nCC 2\n")
+    put(tmp_path / "raw/TP53/inactives.smi", "N 3\n")
+    put(tmp_path / "raw/TP53/1abc_ligand.mol2", "x")
+    with tarfile.open(tmp_path / "full.tgz", "w:gz") as t:
+        t.add(tmp_path / "raw/TP53", "TP53")
+    root = text.unpack(str(tmp_path / "full.tgz"), str(tmp_path / "out"))
+    assert root == text.unpack(str(tmp_path / "gone.tgz"), root)
+    with pytest.raises(FileNotFoundError):
+        text.unpack(str(tmp_path / "gone.tgz"), str(tmp_path / "other"))
+    assert sorted((r["smiles_input"], r["label"], r["split"]) for r in text.full_sets(spark, root).collect()) == [("C", 1, "unknown"), ("CC", 1, "unknown"), ("N", 0, "unknown")]
+    assert [tuple(r) for r in text.query_structures(spark, root).collect()] == [("TP53", "1abc")]
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    put(tmp_path / "a.smi", "".join(f"C{i} id{i}\n" if i % 7 else "# note\n" for i in range(3000)))
+    put(tmp_path / "b.smi", "N x\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = [(r["line_no"], r["smiles_input"]) for r in text.tokens(spark, [str(tmp_path / "a.smi"), str(tmp_path / "b.smi")]).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got) == sorted([(0, "N"), *enumerate(f"C{i}" for i in range(3000) if i % 7)])
+
+
 def test_affinity_records(spark, tmp_path):
     names = list(text.RECORD_COLUMNS)
     put(tmp_path / "r.tsv", "\t".join(names) + "\n" + "\t".join(f"v{i}" for i in range(len(names))) + "\nshort\trow\n")
@@ -53,9 +103,9 @@ def test_affinity_records(spark, tmp_path):
 
 
 def test_structure_and_fasta(spark, tmp_path):
-    atom = lambda no, name, res, chain: f"ATOM  {no:>5}  {name:<3} {res} {chain}{no:>4}      0.0 0.0 0.0\n"
-    put(tmp_path / "p.pdb", "HEADER\n" + atom(2, "CA", "GLY", "A") + atom(1, "CA", "ALA", "A") + atom(1, "N", "ALA", "A") + atom(3, "CA", "XXX", "A") + atom(1, "CA", "TRP", "B"))
-    assert [tuple(r)[1:] for r in structures.ca_sequences(spark, str(tmp_path / "p.pdb")).collect()] == [("A", "AGX")]
+    atom = lambda no, name, res, chain, kind="ATOM": f"{kind:<6}{no:>5}  {name:<3} {res} {chain}{no:>4}      0.0 0.0 0.0\n"
+    put(tmp_path / "p.pdb", "HEADER\n" + atom(2, "CA", "MSE", "A", "HETATM") + atom(1, "CA", "ALA", "A") + atom(1, "N", "ALA", "A") + atom(4, "CA", "XXX", "A") + atom(3, "CA", "SEC", "A") + atom(5, "CA", "GLY", "A") + atom(1, "CA", "TRP", "B"))
+    assert [tuple(r)[1:] for r in structures.ca_sequences(spark, str(tmp_path / "p.pdb")).collect()] == [("A", "AMUG")]
     put(tmp_path / "s.fasta", ">sp|P12345|NAME_X text\nMK\nLV\n>plain other\nAAA\n")
     got = sorted((r["accession"], r["sequence"]) for r in structures.fasta(spark, str(tmp_path / "s.fasta")).collect())
     assert got == [("P12345", "MKLV"), ("plain", "AAA")]
@@ -83,6 +133,18 @@ def test_sqlite(spark, database):
     assert sorted(r[0] for r in q.collect()) == ["C8", "C9"]
     keys = spark.createDataFrame([], "molregno long")
     assert sqlite.activities_of(m, keys).count() == 0
+    with sqlite3.connect(database) as con:
+        con.execute("create table docs (doc_id integer, chembl_id text, year integer)")
+        con.execute("create table assays (assay_id integer, chembl_id text, assay_type text, doc_id integer, tid integer)")
+        con.execute("create table target_dictionary (tid integer, chembl_id text, pref_name text)")
+        con.execute("create table activities (activity_id integer, molregno integer, assay_id integer, standard_value real)")
+        con.execute("insert into docs values (1, 'D1', 1999)")
+        con.execute("insert into assays values (5, 'A5', 'B', 1, 2)")
+        con.execute("insert into target_dictionary values (2, 'T2', 'name')")
+        con.executemany("insert into activities values (?, ?, 5, 1.5)", [(i, i) for i in range(20)])
+    assert [sqlite.documents(spark, database).first()[c] for c in ("document_chembl_id", "year", "title")] == ["D1", 1999, None]
+    assert sqlite.assays(spark, database).first()["assay_type"] == "B" and sqlite.targets(spark, database).first()["target_chembl_id"] == "T2"
+    assert sqlite.activities(spark, database, 3).agg({"molregno": "sum"}).first()[0] == 190
 
 
 def graph(spark, extra=()):
