@@ -4,7 +4,7 @@
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contamgraph import schema
@@ -34,13 +34,19 @@ def normalise_proteins(nodes: DataFrame, edges: DataFrame) -> Graph:
     return apply_id_map(nodes, edges, mapping)
 
 
-def apply_id_map(nodes: DataFrame, edges: DataFrame, mapping: DataFrame) -> Graph:
-    """Rename nodes and both ends of edges; nodes that meet are one."""
+def apply_id_map(nodes: DataFrame, edges: DataFrame, mapping: DataFrame, node_type: str | None = None) -> Graph:
+    """Rename nodes and both ends of edges; nodes that meet are one.  Renamed nodes become ``node_type``, if given."""
     m = mapping.groupBy("old_id").agg(F.min("new_id").alias("new_id"))
-    n = nodes.join(m, nodes["node_id"] == m["old_id"], "left").withColumn("node_id", F.coalesce("new_id", "node_id")).select("node_id", "node_type", "label", "props")
+    kind = F.col("node_type") if node_type is None else F.when(F.col("new_id").isNotNull(), node_type).otherwise(F.col("node_type"))
+    n = nodes.join(m, nodes["node_id"] == m["old_id"], "left").select(F.coalesce("new_id", "node_id").alias("node_id"), kind.alias("node_type"), "label", "props")
     return stable_distinct(n, ["node_id"]).select("node_id", "node_type", "label", "props"), rewrite_ids(edges, m)
 
 
+def apply_protein_map(nodes: DataFrame, edges: DataFrame, mapping: DataFrame) -> Graph:
+    """Targets and malformed protein ids to their proteins."""
+    return apply_id_map(nodes, edges, mapping, "Protein")
+
+
 def add_clusters(nodes: DataFrame, edges: DataFrame, clusters: DataFrame) -> Graph:
     """Cluster nodes and edges from ``(protein_id, cluster_id, resolution)`` for known proteins."""
     c = clusters.join(nodes.where("node_type = 'Protein'").select(F.col("node_id").alias("protein_id")), "protein_id", "left_semi")
@@ -122,20 +128,29 @@ def prune_dangling(nodes: DataFrame, edges: DataFrame) -> Graph:
     return nodes, e.select("src", "dst", "edge_type", "props")
 
 
-def split_relation(nodes: DataFrame, edges: DataFrame) -> Graph:
-    """Targets that an example's ligand was measured on become ligand_measured_protein facts of the ligand."""
-    target = edges.where("edge_type = 'example_has_protein'").select(F.col("src").alias("ex"), F.col("dst").alias("protein"))
-    ligand = edges.where("edge_type = 'example_has_ligand'").select(F.col("src").alias("ex"), F.col("dst").alias("ligand"))
-    active = nodes.where("node_type = 'Example'").where(props.text("props", "label") == "1").select(F.col("node_id").alias("ex"))
-    measured = target.join(active, "ex", "left_semi").join(ligand, "ex").select(F.col("ligand").alias("src"), F.col("protein").alias("dst")).distinct()
-    e = measured.select("src", "dst", F.lit("ligand_measured_protein").alias("edge_type"), props.props(source=F.lit("corpus")).alias("props"))
-    return nodes, edges.unionByName(e)
+def split_relation(nodes: DataFrame, edges: DataFrame, mapping: DataFrame) -> Graph:
+    """Two relations in example_has_protein come apart: an example's target, and what its ligand was measured on.
+
+    ``mapping(old_id, new_id)`` names the protein of each target.  Of an example whose target it
+    holds, edges to other proteins move to ligand_measured_protein of the example's ligand;
+    edges of examples whose target it does not hold stay.
+    """
+    m = mapping.groupBy(F.col("old_id").alias("_target")).agg(F.min("new_id").alias("_protein"))
+    is_target = F.col("edge_type") == "example_has_protein"
+    part = lambda i: F.split_part("src", F.lit(":"), F.lit(i))
+    named = edges.where(is_target).withColumn("_target", keys.target_id(part(2), part(3))).join(m, "_target", "left")
+    own = F.col("_protein").isNull() | (F.col("dst") == F.col("_protein"))
+    ligand = edges.where("edge_type = 'example_has_ligand'").select("src", F.col("dst").alias("_ligand"))
+    moved = named.where(~own).select("src", "dst").join(ligand, "src").select(F.col("_ligand").alias("src"), "dst").distinct()
+    moved = moved.select("src", "dst", F.lit("ligand_measured_protein").alias("edge_type"), props.empty().alias("props"))
+    return nodes, edges.where(~is_target).unionByName(named.where(own).select(*edges.columns)).unionByName(moved)
 
 
 def drop_placeholders(nodes: DataFrame, edges: DataFrame, placeholders: DataFrame) -> Graph:
-    """Publications listed as placeholders ``(node_id)`` go."""
-    p = placeholders.select("node_id").distinct()
-    return nodes.join(p, "node_id", "left_anti"), edges.join(p, edges["dst"] == p["node_id"], "left_anti").join(p, edges["src"] == p["node_id"], "left_anti")
+    """Publication edges of examples to the placeholders ``(node_id)`` go; nothing else does."""
+    p = placeholders.select(F.col("node_id").alias("dst")).distinct()
+    named = F.col("edge_type") == "example_from_publication"
+    return nodes, edges.where(~named).unionByName(edges.where(named).join(p, "dst", "left_anti").select(*edges.columns))
 
 
 def drop_orphans(nodes: DataFrame, edges: DataFrame, pinned: tuple[str, ...] = ("DatasetSource", "DecoyProtocol")) -> Graph:
@@ -168,6 +183,19 @@ def enrich_examples(nodes: DataFrame, edges: DataFrame, strict: bool = True) ->
     return nodes.where("node_type <> 'Example'").unionByName(done.select(*nodes.columns)), edges
 
 
+def with_scaffold_size(nodes: DataFrame, edges: DataFrame, size: Column) -> Graph:
+    """``n_heavy_atoms`` of each scaffold into its props; ``size`` is computed from its label."""
+    body = props.spliced(F.col("props"), {"n_heavy_atoms": size.cast("string")}, quoted=False)
+    return nodes.withColumn("props", F.when(F.col("node_type") == "Scaffold", F.coalesce(body, "props")).otherwise(F.col("props"))), edges
+
+
+def one_example_protein(nodes: DataFrame, edges: DataFrame) -> Graph:
+    """example_has_protein once for each pair, whatever its props."""
+    own = F.col("edge_type") == "example_has_protein"
+    kept = stable_distinct(edges.where(own).select("src", "dst", "edge_type", "props"), ["src", "dst", "edge_type"])
+    return nodes, edges.where(~own).unionByName(kept.select(*edges.columns))
+
+
 def with_degree(nodes: DataFrame, edges: DataFrame) -> Graph:
     """In plus out count of every node; 0 where no edge names it."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("degree"))
@@ -176,15 +204,22 @@ def with_degree(nodes: DataFrame, edges: DataFrame) -> Graph:
 
 
 #: The stages that need no side tables, in order.
-STAGES = (map_schema, normalise_proteins, one_scaffold, split_exact_similarity, sort_pairs, drop_without_ligand, prune_dangling, split_relation, drop_orphans, merge_sources, enrich_examples, with_degree)
+STAGES = (map_schema, normalise_proteins, one_scaffold, split_exact_similarity, sort_pairs, drop_without_ligand, prune_dangling, one_example_protein, drop_orphans, merge_sources, enrich_examples, with_degree)
+
 
+def canonicalise(nodes: DataFrame, edges: DataFrame, protein_map: DataFrame | None = None) -> Graph:
+    """All stages, with lineage cut where the edges are smallest and before the degree count.
 
-def canonicalise(nodes: DataFrame, edges: DataFrame) -> Graph:
-    """All stages, with lineage cut where the edges are smallest and before the degree count."""
+    With ``protein_map(old_id, new_id)``, proteins are renamed and example_has_protein is split by it.
+    """
     from contamgraph.plans.lineage import cut
 
     for stage in STAGES:
         nodes, edges = stage(nodes, edges)
+        if stage is normalise_proteins and protein_map is not None:
+            nodes, edges = apply_protein_map(nodes, edges, protein_map)
+        if stage is prune_dangling and protein_map is not None:
+            nodes, edges = split_relation(nodes, edges, protein_map)
         if stage in (prune_dangling, merge_sources):
             nodes, edges = cut(nodes), cut(edges)
     return nodes, edges

@@ -29,30 +29,30 @@ def with_ids(examples: DataFrame) -> DataFrame:
     )
 
 
-def _node(node_id: str, kind: str, label: Column, body: Column) -> Column:
-    return F.struct(F.col(node_id).alias("node_id"), F.lit(kind).alias("node_type"), F.coalesce(label, F.lit("")).alias("label"), body.alias("props"))
-
-
 def emit_nodes(examples: DataFrame) -> DataFrame:
     """All nodes, one row an id.
 
-    Dimension nodes (few, repeated on every example) collapse in a hash aggregation
-    before anything is sorted; only example nodes, which seldom repeat, go to the
-    ordered dedup in number.
+    Dimension nodes (few, repeated on every example) collapse as raw keys in a hash
+    aggregation before their properties are written; only example nodes, which
+    seldom repeat, go to the ordered dedup in number.
     """
     e = with_ids(examples)
-    scaffold = F.coalesce(F.col("scaffold"), F.lit(""))
+    c = F.col
+    scaffold = F.coalesce(c("scaffold"), F.lit(""))
+    raw = lambda i, kind, label, v=None: F.struct(c(i).alias("node_id"), F.lit(kind).alias("node_type"), F.coalesce(label, F.lit("")).alias("label"), (F.lit(None).cast("string") if v is None else v).alias("v"))
     shared = F.array(
-        _node("ligand_id", "Ligand", F.col("entity"), props.props(scaffold_smiles=scaffold)),
-        _node("scaffold_id", "Scaffold", scaffold, props.props(is_empty=scaffold == "")),
-        _node("target_id", "ProteinTarget", F.col("target"), props.props(source=F.col("source"))),
-        _node("source_id", "DatasetSource", F.col("source"), props.empty()),
-        _node("split_id", "Split", F.col("split"), props.empty()),
-        _node("label_type_id", "LabelType", F.col("label_type"), props.empty()),
-    )
-    dimension = e.select(F.explode(shared).alias("n")).select("n.*").where("node_id is not null").distinct()
-    own = _node("example_id", "Example", F.col("ext_id"), props.props(label=F.col("label"), target=F.col("target"), source=F.col("source")))
-    example = e.select(own.alias("n")).select("n.*").where("node_id is not null")
+        raw("ligand_id", "Ligand", c("entity"), scaffold), raw("scaffold_id", "Scaffold", scaffold), raw("target_id", "ProteinTarget", c("target"), c("source")),
+        raw("source_id", "DatasetSource", c("source")), raw("split_id", "Split", c("split")), raw("label_type_id", "LabelType", c("label_type")),
+    )
+    told = (
+        F.when(c("node_type") == "Ligand", props.props(scaffold_smiles=c("v"))).when(c("node_type") == "Scaffold", props.props(is_empty=c("label") == ""))
+        .when(c("node_type") == "ProteinTarget", props.props(source=c("v"))).otherwise(props.empty())
+    )
+    dimension = e.select(F.inline(shared)).where("node_id is not null").distinct().select("node_id", "node_type", "label", told.alias("props"))
+    example = e.where("example_id is not null").select(
+        c("example_id").alias("node_id"), F.lit("Example").alias("node_type"), F.coalesce("ext_id", F.lit("")).alias("label"),
+        props.props(label=c("label"), target=c("target"), source=c("source")).alias("props"),
+    )
     columns = ("node_id", "node_type", "label", "props")
     return stable_distinct(example, ["node_id", "node_type"]).select(*columns).unionByName(stable_distinct(dimension, ["node_id", "node_type"]).select(*columns))
 

@@ -9,6 +9,7 @@ equi-join and the exact test runs inside the JVM.
 """
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -31,7 +32,7 @@ def jaccard_pairs(sets: DataFrame, threshold: float = schema.SIMILARITY_FLOOR) -
     own = sets.select("id", F.array_distinct("tokens").alias("tokens")).where(F.size("tokens") > 0)
     token = own.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = token.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = (
+    ranked = cut(
         token.join(df, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
         .select("id", "n", F.transform("r", lambda x: x["token"]).alias("tokens"))
         .withColumn("p", (F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1).cast("int"))
@@ -69,18 +70,36 @@ _TILE_ROWS, _TILE_COLUMNS = 16, 1024
 
 
 def _pack_block(piece: pa.Table) -> pa.Table:
-    """Rows of a (band, block) to one row: ids, popcounts and the bit matrix, by popcount."""
+    """Rows of a block to one row: ids, popcounts and the bit matrix, by popcount."""
     pop = piece.column("pop").to_numpy()
     order = np.argsort(pop, kind="stable")
     lanes = piece.column("fp").combine_chunks().flatten().to_numpy().reshape(len(pop), -1)[order]
     return pa.table(
         {
-            "band": piece.column("band")[:1], "block": piece.column("block")[:1], "ids": pa.array([piece.column("id").take(pa.array(order)).to_pylist()], pa.list_(piece.schema.field("id").type)),
+            "block": piece.column("block")[:1], "ids": pa.array([piece.column("id").take(pa.array(order)).to_pylist()], pa.list_(piece.schema.field("id").type)),
             "pops": pa.array([pop[order].astype(np.int32).tobytes()], pa.binary()), "bits": pa.array([np.ascontiguousarray(lanes).astype("<i8").tobytes()], pa.binary()),
         }
     )
 
 
+def _deal_blocks(counts: dict[int, int], block_rows: int, threshold: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Blocks of about ``block_rows`` rows in order of popcount: (popcount, its first block,
+    number of its blocks), and for each block the last one that holds a partner."""
+    dealt, ends, held = [], [], 0
+    for pop in sorted(counts):
+        n = -(-counts[pop] // block_rows)
+        if n > 1 or held + counts[pop] > block_rows or not ends:
+            dealt.append((pop, len(ends), n))
+            ends += [[pop, pop] for _ in range(n)]
+            held = counts[pop] if n == 1 else block_rows
+        else:
+            dealt.append((pop, len(ends) - 1, 1))
+            ends[-1][1] = pop
+            held += counts[pop]
+    lows = [low for low, _ in ends]
+    return dealt, [(i, bisect.bisect_right(lows, math.floor(high / threshold + 1e-9)) - 1) for i, (_, high) in enumerate(ends)]
+
+
 def compare_blocks(pop_a: np.ndarray, a: np.ndarray, pop_b: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of a, row of b, Tanimoto) of pairs that reach the threshold; popcounts are sorted.
 
@@ -132,23 +151,25 @@ def _compare(threshold: float):
 def tanimoto_block_pairs(prints: DataFrame, threshold: float = schema.SIMILARITY_FLOOR, block_rows: int = 4096) -> DataFrame:
     """Like ``tanimoto_pairs``, for large tables: packed blocks compared by a popcount kernel.
 
-    Popcount bands are salted into blocks of about ``block_rows`` rows, so a band that
-    most fingerprints share is many small tasks; a block meets the blocks of its own
-    band and of the next one up.
+    Blocks of about ``block_rows`` rows are dealt in order of popcount from its histogram (one
+    number for each popcount), so each block meets only the run of blocks that its popcounts
+    can reach; a popcount that most fingerprints share is many blocks.  Pairs of block numbers
+    are listed first and fetch their blocks, one side in place.
     """
+    spark = prints.sparkSession
     kind = prints.schema["id"].dataType.simpleString()
-    step = math.log(1 / threshold) or 1e-3
     pop = F.aggregate(F.transform("fp", F.bit_count), F.lit(0), lambda s, x: s + x)
-    p = prints.select("id", "fp", pop.alias("pop")).where("pop > 0").withColumn("band", F.floor(F.log(F.col("pop").cast("double")) / step).cast("int"))
-    p = cut(p)
-    size = p.groupBy("band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n"))
-    dealt = p.join(size, "band").select("id", "fp", "pop", "band", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("block"))
-    packed = dealt.groupBy("band", "block").applyInArrow(_pack_block, f"band int, block int, ids array<{kind}>, pops binary, bits binary")
-    packed = cut(packed)
-    other = packed.select(F.col("band").alias("o_band"), F.col("block").alias("o_block"), F.col("ids").alias("o_ids"), F.col("pops").alias("o_pops"), F.col("bits").alias("o_bits"))
-    meets = packed.withColumn("o_band", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(other, "o_band").where("o_band <> band or block <= o_block")
-    meets = meets.select("ids", "pops", "bits", "o_ids", "o_pops", "o_bits", ((F.col("band") == F.col("o_band")) & (F.col("block") == F.col("o_block"))).alias("same"))
-    hits = meets.repartition(F.xxhash64("pops", "o_pops")).mapInArrow(_compare(threshold), f"a {kind}, b {kind}, tanimoto double")
+    p = cut(prints.select("id", "fp", pop.cast("int").alias("pop")).where("pop > 0"))
+    counts = {r["pop"]: r["count"] for r in p.groupBy("pop").count().collect()}
+    dealt, last = _deal_blocks(counts, block_rows, threshold)
+    place = spark.createDataFrame(dealt, "pop int, first long, n long")
+    own = p.join(F.broadcast(place), "pop").select("id", "fp", "pop", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("n"))).alias("block"))
+    packed = cut(own.groupBy("block").applyInArrow(_pack_block, f"block long, ids array<{kind}>, pops binary, bits binary"))
+    other = packed.select(F.col("block").alias("o_block"), F.col("ids").alias("o_ids"), F.col("pops").alias("o_pops"), F.col("bits").alias("o_bits"))
+    pairs = spark.createDataFrame(last, "block long, last long").select("block", F.explode(F.sequence("block", "last")).alias("o_block"))
+    meets = pairs.join(packed, "block").join(other.hint("merge"), "o_block")
+    meets = meets.select("ids", "pops", "bits", "o_ids", "o_pops", "o_bits", (F.col("block") == F.col("o_block")).alias("same"))
+    hits = meets.mapInArrow(_compare(threshold), f"a {kind}, b {kind}, tanimoto double")
     return hits.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "tanimoto")
 
 
@@ -177,14 +198,12 @@ def max_to_set(queries: DataFrame, pairs: DataFrame, value: str = "similarity")
 def entity_set_fingerprint(ids: DataFrame, column: str = "node_id") -> DataFrame:
     """(n, fingerprint): a digest of a set of ids that no order or layout changes.
 
-    Sums of two hashes over distinct ids; nothing is collected or sorted.
+    Exclusive or, and sum, of parts of a digest of each distinct id; nothing is collected or sorted.
     """
-    one = ids.select(column).distinct()
+    one = ids.select(F.md5(F.col(column).cast("string")).alias("m")).distinct()
+    part = lambda at: F.conv(F.substring("m", at, 15), 16, 10).cast("long")
+    none = F.lit(0).cast("decimal(38,0)")
     return one.agg(
         F.count("*").alias("n"),
-        F.concat_ws(
-            "-",
-            F.hex(F.coalesce(F.bit_xor(F.xxhash64(column)), F.lit(0).cast("long"))),
-            F.hex(F.coalesce(F.sum(F.pmod(F.xxhash64(column, F.lit(1)), F.lit(1 << 31))), F.lit(0).cast("long"))),
-        ).alias("fingerprint"),
+        F.concat_ws("-", F.coalesce(F.bit_xor(part(1)), F.lit(0)).cast("string"), F.coalesce(F.sum(part(17).cast("decimal(28,0)")), none).cast("string")).alias("fingerprint"),
     )

@@ -242,11 +242,13 @@ def gr_identity_star(spark, d):
     return emit.identity_star(e, "key")
 
 
-@query(f"""WITH {DOCS}, x AS (SELECT DISTINCT ex, md5(parent) AS p, md5(entity) AS k FROM doc_id_ WHERE parent IS NOT NULL),
+@query(f"""WITH {DOCS}, x AS (SELECT DISTINCT ex, md5(scaffold) AS p, md5(entity) AS k FROM doc_id_ WHERE entity IS NOT NULL AND scaffold <> ''),
 a AS (SELECT p, min(ex) AS m FROM x GROUP BY p), b AS (SELECT a.p, a.m, x.k AS mk FROM a JOIN x ON a.m = x.ex)
 SELECT m AS src, ex AS dst, x.p AS parent_key FROM x JOIN b ON x.p = b.p WHERE ex <> m AND k <> mk""")
 def gr_parent_star(spark, d):
-    e = emit.with_ids(A.text_examples(spark, d)).select(F.col("example_id").alias("node_id"), F.md5("parent").alias("parent_key"), F.md5("entity").alias("full_key"))
+    e = emit.with_ids(A.text_examples(spark, d).where("entity is not null")).select(
+        F.col("example_id").alias("node_id"), F.md5(F.nullif("scaffold", F.lit(""))).alias("parent_key"), F.md5("entity").alias("full_key")
+    )
     return emit.identity_star(e, "parent_key", full_key="full_key").select("src", "dst", "parent_key")
 
 
@@ -371,18 +373,17 @@ def gr_prune_dangling(spark, d):
     return canonical.prune_dangling(nodes, emit.emit_edges(x))[1].groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
-def _hops(spark, d, whole=False):
-    """Example to ligand, ligand to assay (of every fourth order, or of all), assay to publication, ligand to protein (star schema)."""
+def _hops(spark, d):
+    """Example to ligand, ligand to assay, assay to publication, assay to protein (star schema)."""
     e = emit.with_ids(A.star_examples(spark, d))
     has = e.select(F.col("example_id").alias("src"), F.col("ligand_id").alias("dst")).distinct()
-    in_assay = e.select(F.col("ligand_id").alias("src"), F.concat(F.lit("chembl_asy:"), F.col("o_orderkey")).alias("dst"), "o_orderkey")
-    in_assay = in_assay.where(F.lit(whole) | (F.col("o_orderkey") % 4 == 0)).select("src", "dst").distinct()
+    in_assay = e.select(F.col("ligand_id").alias("src"), F.concat(F.lit("chembl_asy:"), F.col("o_orderkey")).alias("dst")).distinct()
     in_doc = e.select(F.concat(F.lit("chembl_asy:"), F.col("o_orderkey")).alias("src"), F.concat(F.lit("chembl_doc:"), F.col("o_custkey")).alias("dst")).distinct()
     measured = e.select(F.concat(F.lit("chembl_asy:"), F.col("o_orderkey")).alias("src"), F.concat(F.lit("protein:"), F.col("target")).alias("dst")).distinct()
     return has, in_assay, in_doc, measured
 
 
-_HOPS = f"""{STAR}, has AS (SELECT DISTINCT ex, lig FROM star_id), asy AS (SELECT DISTINCT lig, 'chembl_asy:' || o_orderkey AS asy FROM star_id WHERE o_orderkey % 4 = 0),
+_HOPS = f"""{STAR}, has AS (SELECT DISTINCT ex, lig FROM star_id), asy AS (SELECT DISTINCT lig, 'chembl_asy:' || o_orderkey AS asy FROM star_id),
 docs AS (SELECT DISTINCT 'chembl_asy:' || o_orderkey AS asy, 'chembl_doc:' || o_custkey AS doc FROM star_id), meas AS (SELECT DISTINCT 'chembl_asy:' || o_orderkey AS asy, 'protein:' || target AS prot FROM star_id)"""
 
 
@@ -404,11 +405,18 @@ def gr_wire_measured(spark, d):
     return provenance.wire([asy, measured], "ligand_measured_protein", "star")
 
 
-@query(f"WITH {STAR} SELECT DISTINCT lig AS src, tgt AS dst FROM star_id WHERE label = 1")
+@query(f"""WITH {STAR}, m AS (SELECT DISTINCT tgt AS old_id, 'protein:' || (CAST(target AS BIGINT) % 7) AS p FROM star_id WHERE CAST(target AS BIGINT) % 3 > 0),
+t AS (SELECT DISTINCT ex, lig, tgt, 'protein:' || (CAST(entity AS BIGINT) % 7) AS other, p FROM star_id LEFT JOIN m ON tgt = old_id),
+e AS (SELECT ex, lig, p, coalesce(p, tgt) AS dst FROM t UNION SELECT ex, lig, p, other FROM t)
+SELECT ex AS src, dst, 'example_has_protein' AS edge_type FROM e WHERE p IS NULL OR dst = p UNION SELECT lig, dst, 'ligand_measured_protein' FROM e WHERE dst <> p""")
 def gr_split_relation(spark, d):
+    """Two of three targets are mapped; each example also has an edge to a protein that its ligand was measured on."""
     x = A.star_examples(spark, d)
+    mapping = emit.with_ids(x).where("cast(target as bigint) % 3 > 0").select(F.col("target_id").alias("old_id"), F.concat(F.lit("protein:"), F.col("target").cast("long") % 7).alias("new_id")).distinct()
     n, e = canonical.map_schema(emit.emit_nodes(x), emit.emit_edges(x))
-    return canonical.split_relation(n, e)[1].where("edge_type = 'ligand_measured_protein'").select("src", "dst")
+    measured = emit.with_ids(x).select(F.col("example_id").alias("src"), F.concat(F.lit("protein:"), F.col("entity").cast("long") % 7).alias("dst"), F.lit("example_has_protein").alias("edge_type"), props.empty().alias("props"))
+    own = relational.rewrite_ids(e.where("edge_type in ('example_has_ligand', 'example_has_protein')").unionByName(measured), mapping)
+    return canonical.split_relation(n, own, mapping)[1].where("edge_type <> 'example_has_ligand'").select("src", "dst", "edge_type")
 
 
 @query("SELECT 'c:' || c_custkey AS node_id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'src:' || r_name FROM region")
@@ -502,7 +510,8 @@ def sim_fingerprint_pairs(spark, d):
     return similarity.tanimoto_block_pairs(A.word_prints(spark, d)).withColumn("tanimoto", F.round("tanimoto", 6))
 
 
-@query()
+@query(f"""WITH {STAR}, m AS (SELECT DISTINCT md5(lig) AS m FROM star_id) SELECT count(*) AS n, CAST(coalesce(bit_xor(CAST('0x' || substr(m, 1, 15) AS BIGINT)), 0) AS VARCHAR) || '-' ||
+  CAST(coalesce(sum(CAST('0x' || substr(m, 17, 15) AS BIGINT)), 0) AS VARCHAR) AS fingerprint FROM m""")
 def sim_entity_fingerprint(spark, d):
     return similarity.entity_set_fingerprint(emit.emit_nodes(A.star_examples(spark, d)).where("node_type = 'Ligand'"))
 
@@ -510,21 +519,17 @@ def sim_entity_fingerprint(spark, d):
 # ---- components, clusters ----
 
 
-def _links(spark, d, whole=False):
-    o = read_table(spark, d, "orders").where(F.lit(whole) | F.expr("o_orderkey % 3 = 0"))
-    return o.select(F.concat(F.lit("ex:"), F.col("o_orderkey")).alias("src"), F.concat(F.lit("c:"), F.col("o_custkey")).alias("dst")), o
+def _links(spark, d):
+    o = read_table(spark, d, "orders")
+    return o.select(F.concat(F.lit("ex:"), F.col("o_orderkey")).alias("src"), F.concat(F.lit("c:"), F.col("o_custkey")).alias("dst"))
 
 
-_GROUPS = """l AS (SELECT 'ex:' || o_orderkey AS src, 'c:' || o_custkey AS dst FROM orders WHERE o_orderkey % 3 = 0), g AS (SELECT dst, min(src) AS m, count(*) AS n FROM l GROUP BY dst)"""
+_GROUPS = """l AS (SELECT 'ex:' || o_orderkey AS src, 'c:' || o_custkey AS dst FROM orders), g AS (SELECT dst, min(src) AS m, count(*) AS n FROM l GROUP BY dst)"""
 
 
-@query(f"WITH {_GROUPS} SELECT src AS node, least(m, 'c:' || '') AS prefix_ok, n AS size FROM l JOIN g USING (dst)".replace("least(m, 'c:' || '') AS prefix_ok, ", ""))
+@query(f"WITH {_GROUPS} SELECT src AS node, n AS size FROM l JOIN g USING (dst)")
 def cc_leakage_groups(spark, d):
-    return _group_sizes(_links(spark, d)[0])
-
-
-def _group_sizes(links):
-    groups = leakage.leakage_groups(links)
+    groups = leakage.leakage_groups(_links(spark, d))
     own = groups.where("node like 'ex:%'")
     size = own.groupBy("component").agg(F.count("*").alias("size"))
     return own.join(size, "component").select("node", "size")
@@ -534,10 +539,7 @@ def _group_sizes(links):
 SELECT cut, n_examples, CAST(coalesce(sum(n) FILTER (WHERE n <= cut), 0) AS BIGINT) AS n_linked, coalesce(max(n) FILTER (WHERE n <= cut), 0) AS largest,
   round(100.0 * coalesce(max(n) FILTER (WHERE n <= cut), 0) / n_examples, 4) AS largest_pct FROM c, t, g GROUP BY cut, n_examples""")
 def cc_degree_curve(spark, d):
-    return _degree_curve(_links(spark, d)[0])
-
-
-def _degree_curve(links):
+    links = _links(spark, d)
     examples = links.select(F.col("src").alias("node_id"))
     nodes = links.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("degree"))
     out = None
@@ -548,21 +550,17 @@ def _degree_curve(links):
     return out
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, -l_suppkey - 1 AS b FROM lineitem WHERE l_orderkey % 50 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-cc(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM s GROUP BY a UNION
-  SELECT s.b, min(cc.component) FROM cc JOIN s ON cc.node = s.a JOIN recurring.cc AS old ON old.node = s.b WHERE cc.component < old.component GROUP BY s.b)
-SELECT node, component FROM cc""")
+@query()  # recursive SQL is too slow on the whole table; tested against brute force
 def cc_components(spark, d):
-    return _part_supplier_components(read_table(spark, d, "lineitem").where("l_orderkey % 50 = 0"))
-
-
-def _part_supplier_components(li):
+    li = read_table(spark, d, "lineitem")
     return connected_components(li.select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst")))
 
 
-@query("SELECT 'x' AS cluster_id, CAST(0 AS BIGINT) AS n_loose WHERE false")
+@query("SELECT CAST(s_suppkey % 7 AS VARCHAR) AS cluster_id, count(DISTINCT s_nationkey) AS n_loose FROM supplier GROUP BY 1 HAVING count(DISTINCT s_nationkey) > 1")
 def cluster_nesting(spark, d):
-    return audit.cluster_nesting(A.star_clusters(spark, d), 90, 50)
+    s = read_table(spark, d, "supplier")
+    level = lambda r, c: s.select(F.col("s_suppkey").cast("string").alias("protein_id"), c.cast("string").alias("cluster_id"), F.lit(r).alias("resolution"))
+    return audit.cluster_nesting(level(90, F.col("s_suppkey") % 7).unionByName(level(50, F.col("s_nationkey"))), 90, 50)
 
 
 @query("""SELECT 'protein:' || s_suppkey AS protein_id, 50 AS resolution, min('protein:' || s_suppkey) OVER (PARTITION BY s_nationkey) AS cluster_id FROM supplier
@@ -582,25 +580,114 @@ def gr_protein_exact(spark, d):
     return leakage.identical_proteins(hits).select(short("src").alias("src"), short("dst").alias("dst"), "pident", "alnlen")
 
 
-@query("""WITH r AS (SELECT s_suppkey % 30 AS target, s_suppkey % 2 AS route, 'P' || (s_suppkey % 3) AS accession, s_acctbal / 10000 AS score FROM supplier),
-b AS (SELECT target, route, arg_max(accession, score) AS accession, max(score) AS score FROM r GROUP BY 1, 2),
-p AS (SELECT target, count(DISTINCT accession) AS n, count(*) AS k, min(accession) AS accession, max(score) AS score FROM b GROUP BY 1)
-SELECT target, accession, CASE WHEN k > 1 THEN 1.0 WHEN score >= 0.9 THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence FROM p WHERE n = 1""")
+_ROUTES = """t AS (SELECT CAST(s_suppkey AS VARCHAR) AS target, CASE WHEN s_suppkey % 4 > 0 THEN 'P' || (s_suppkey % 5) END AS name, CASE WHEN s_suppkey % 7 > 0 THEN 'P' || (s_suppkey % 3) END AS hit,
+  CASE WHEN s_suppkey % 7 > 0 THEN abs(s_acctbal) / 10000 END AS identity, CASE WHEN s_suppkey % 7 > 0 THEN (s_suppkey % 10) / 10 END AS coverage FROM supplier),
+r AS (SELECT *, coalesce(identity >= 0.8 AND coverage >= 0.5, false) AS same FROM t)"""
+
+
+def _routes(spark, d):
+    """Entry names of three in four targets; two sequence hits of six in seven, the better one first."""
+    s, c = read_table(spark, d, "supplier"), F.col("s_suppkey")
+    target = c.cast("string").alias("target")
+    named = s.select(target, F.when(c % 4 > 0, F.concat(F.lit("P"), c % 5)).alias("accession"))
+    hit = lambda accession, factor: s.where(c % 7 > 0).select(target, accession.alias("accession"), (F.abs("s_acctbal") / 10000 * factor).alias("identity"), (c % 10 / 10).alias("coverage"))
+    return s.select(target), named, hit(F.concat(F.lit("P"), c % 3), F.lit(1.0)).unionByName(hit(F.lit("Q1"), F.lit(0.5)))
+
+
+@query(f"""WITH {_ROUTES} SELECT target, CASE WHEN name IS NOT NULL THEN name WHEN same THEN hit END AS accession,
+  CASE WHEN name IS NOT NULL AND NOT same THEN 0.85 WHEN name = hit THEN 1.0 WHEN name IS NOT NULL AND identity >= 0.85 THEN 0.95 WHEN name IS NOT NULL THEN 0.5 WHEN same THEN 0.9 ELSE 0.0 END::DOUBLE AS confidence,
+  CASE WHEN name IS NOT NULL AND NOT same THEN 'entry_name_only' WHEN name = hit THEN 'entry_name+sequence' WHEN name IS NOT NULL AND identity >= 0.85 THEN 'entry_name(ortholog_structure)'
+    WHEN name IS NOT NULL THEN 'CONFLICT' WHEN same THEN 'sequence_only' ELSE 'UNRESOLVED' END AS method FROM r""")
 def gr_resolve_targets(spark, d):
-    s = read_table(spark, d, "supplier")
-    routes = s.select((F.col("s_suppkey") % 30).alias("target"), (F.col("s_suppkey") % 2).alias("route"), F.concat(F.lit("P"), F.col("s_suppkey") % 3).alias("accession"), (F.col("s_acctbal") / 10000).alias("score"))
-    return provenance.resolve_targets(routes)
+    return provenance.resolve_targets(*_routes(spark, d)).drop("evidence")
+
+
+@query(f"""WITH {_ROUTES}, q AS (SELECT *, coalesce(identity >= 0.85 AND coverage >= 0.5, false) AS close FROM r) SELECT target, CASE WHEN close THEN hit ELSE name END AS accession,
+  CASE WHEN close THEN round(identity, 3) WHEN name IS NOT NULL THEN 0.85 ELSE 0.0 END::DOUBLE AS confidence, CASE WHEN close THEN 'sequence' WHEN name IS NOT NULL THEN 'gene_name' ELSE 'UNRESOLVED' END AS method FROM q""")
+def gr_resolve_by_sequence(spark, d):
+    targets, named, hits = _routes(spark, d)
+    return provenance.resolve_by_sequence(targets, hits, named).drop("evidence")
+
+
+@query(f"""WITH {_ROUTES} SELECT target, coalesce(name, hit) AS accession, CASE WHEN name IN (hit, 'Q1') THEN 1.0 WHEN name IS NOT NULL THEN 0.85 WHEN hit IS NOT NULL THEN 0.4 ELSE 0.0 END::DOUBLE AS confidence,
+  CASE WHEN name IN (hit, 'Q1') THEN 'gene+pdb' WHEN name IS NOT NULL THEN 'gene_only' WHEN hit IS NOT NULL THEN 'pdb_only' ELSE 'UNRESOLVED' END AS method FROM t""")
+def gr_resolve_by_structures(spark, d):
+    targets, named, hits = _routes(spark, d)
+    return provenance.resolve_by_structures(targets, named, hits.withColumn("place", -F.col("identity"))).drop("evidence")
+
+
+_CHEMBL = """li AS (SELECT CAST(p_partkey AS VARCHAR) AS smi, CASE WHEN p_partkey % 11 > 0 THEN p_partkey // 2 END AS m FROM part),
+lk AS (SELECT smi, 'lig:' || md5(smi) AS lig, m, 'chembl_lig:CHEMBL' || m AS cid FROM li WHERE m IS NOT NULL AND m % 5 > 0),
+act AS (SELECT 'chembl_act:' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS aid, 'chembl_lig:CHEMBL' || (l_partkey // 2) AS cid, CASE WHEN l_orderkey % 13 > 0 THEN 'chembl_asy:A' || l_orderkey END AS asy, o_orderstatus,
+  CASE WHEN o_custkey % 17 > 0 THEN 'chembl_doc:D' || o_custkey END AS doc, o_custkey % 50 + 1970 AS year, 'chembl_tgt:T' || l_suppkey AS tgt FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def _chembl(spark, d):
+    p, li, o = (read_table(spark, d, t) for t in ("part", "lineitem", "orders"))
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c))
+    links = p.select(F.col("p_partkey").cast("string").alias("canonical_smiles"), F.when(F.col("p_partkey") % 11 > 0, F.expr("p_partkey div 2")).alias("molregno"), F.lit("full_key").alias("match_method"))
+    m = p.select(F.expr("p_partkey div 2").alias("molregno")).distinct()
+    ligands = m.select("molregno", F.when(F.col("molregno") % 5 > 0, text("CHEMBL", "molregno")).alias("molecule_chembl_id"), text("C", "molregno").alias("canonical_smiles"), text("K", "molregno").alias("standard_inchi_key"))
+    act = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("activity_id"), F.concat(F.lit("CHEMBL"), F.expr("l_partkey div 2")).alias("molecule_chembl_id"), F.lit("Ki").alias("standard_type"),
+        F.col("l_extendedprice").alias("standard_value"), F.lit("nM").alias("standard_units"), F.col("l_quantity").alias("pchembl_value"), F.when(F.col("l_orderkey") % 13 > 0, text("A", "l_orderkey")).alias("assay_chembl_id"),
+        F.col("o_orderstatus").alias("assay_type"), F.when(F.col("o_custkey") % 17 > 0, text("D", "o_custkey")).alias("document_chembl_id"), (F.col("o_custkey") % 50 + 1970).alias("year"), text("T", "l_suppkey").alias("target_chembl_id"),
+    )
+    return provenance.chembl_layer(links, ligands, act)
+
+
+@query(f"""WITH {_CHEMBL} SELECT cid AS node_id, 'ChEMBLLigand' AS node_type, 'CHEMBL' || m AS label,
+  min('{{"molregno":' || m || ',"canonical_smiles_chembl":"C' || m || '","canonical_smiles_benchmark":"' || smi || '","inchikey":"K' || m || '"}}') AS props FROM lk GROUP BY cid, m
+UNION ALL SELECT DISTINCT asy, 'ChEMBLAssay', substr(asy, 12), '{{"assay_type":"' || o_orderstatus || '"}}' FROM act WHERE asy IS NOT NULL
+UNION ALL SELECT DISTINCT doc, 'ChEMBLDocument', substr(doc, 12), '{{"year":' || year || '}}' FROM act WHERE doc IS NOT NULL
+UNION ALL SELECT DISTINCT tgt, 'ChEMBLTarget', substr(tgt, 12), '{{}}' FROM act UNION ALL SELECT 'src:ChEMBL35', 'DatasetSource', 'ChEMBL35', '{{}}' UNION ALL SELECT 'dbrel:ChEMBL_35', 'DatabaseRelease', 'ChEMBL_35', '{{}}'""")
+def gr_chembl_nodes(spark, d):
+    return _chembl(spark, d)[0].where("node_type <> 'ChEMBLActivity'")
+
+
+@query(f"""WITH {_CHEMBL} SELECT lig AS src, cid AS dst, 'benchmark_ligand_same_inchikey_as_chembl_ligand' AS edge_type, '{{"match_method":"full_key"}}' AS props FROM lk
+UNION ALL SELECT lig, cid, 'ligand_also_in_chembl', '{{}}' FROM lk UNION ALL SELECT DISTINCT cid, 'src:ChEMBL35', 'chembl_ligand_from_source', '{{}}' FROM lk""")
+def gr_chembl_links(spark, d):
+    return _chembl(spark, d)[1].where("edge_type in ('benchmark_ligand_same_inchikey_as_chembl_ligand', 'ligand_also_in_chembl', 'chembl_ligand_from_source')")
+
+
+@query(f"""WITH {_CHEMBL}, e AS (SELECT aid AS src, cid AS dst, 'chembl_activity_has_ligand' AS edge_type FROM act UNION SELECT aid, asy, 'chembl_activity_has_assay' FROM act UNION SELECT asy, doc, 'chembl_assay_from_document' FROM act
+UNION SELECT aid, doc, 'chembl_activity_has_document' FROM act UNION SELECT doc, 'src:ChEMBL35', 'chembl_document_from_source' FROM act UNION SELECT aid, tgt, 'chembl_activity_has_target' FROM act)
+SELECT src, dst, edge_type FROM e WHERE src IS NOT NULL AND dst IS NOT NULL""")
+def gr_chembl_edges(spark, d):
+    return _chembl(spark, d)[1].where("startswith(edge_type, 'chembl_') and edge_type <> 'chembl_ligand_from_source'").select("src", "dst", "edge_type")
 
 
 # ---- audits ----
 
 
-@query(f"""WITH {STAR_EDGES}, n AS (SELECT DISTINCT ex AS node_id FROM star_id UNION SELECT lig FROM star_id UNION SELECT sca FROM star_id UNION SELECT src_id FROM star_id UNION SELECT spl FROM star_id UNION SELECT lt FROM star_id)
-SELECT * FROM (VALUES ('duplicate_node_id', 0), ('id_without_prefix', 0), ('self_loop', 0), ('dangling_src', 0), ('duplicate_triple', 0), ('orphan', 0)) v("check", n_bad)
-UNION ALL SELECT 'dangling_dst', count(*) FROM edges WHERE dst NOT IN (SELECT node_id FROM n)""")
+# Defects are planted in every audited graph, so that each check has a count of its own to find.
+
+
+def _node(df, i, kind, label=None):
+    return df.select(i.alias("node_id"), F.lit(kind).alias("node_type"), (F.lit("") if label is None else label).alias("label"), props.empty().alias("props"))
+
+
+def _edge(df, src, dst, kind, body=None):
+    return df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("edge_type"), (props.empty() if body is None else body).alias("props"))
+
+
+def _named(prefix, column):
+    return F.concat(F.lit(prefix), F.col(column).cast("string"))
+
+
+@query(f"""WITH {STAR_EDGES}, k AS (SELECT (SELECT count(*) FROM region) AS r, (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM supplier) AS s)
+SELECT 'duplicate_node_id' AS "check", count(DISTINCT lt) AS n_bad FROM star_id UNION ALL SELECT 'id_without_prefix', n FROM k UNION ALL SELECT 'self_loop', r FROM k UNION ALL SELECT 'dangling_src', r FROM k
+UNION ALL SELECT 'dangling_dst', (SELECT r FROM k) + count(*) FROM edges WHERE edge_type = 'example_has_protein_target' UNION ALL SELECT 'duplicate_triple', count(DISTINCT ex || spl) FROM star_id WHERE source = '1-URGENT'
+UNION ALL SELECT 'orphan', n + s FROM k""")
 def au_structural(spark, d):
     nodes, edges = _star_graph(spark, d)
-    return audit.structural(nodes.where("node_type <> 'Protein'"), edges).select("check", "n_bad")
+    region, nation, supplier = (read_table(spark, d, t) for t in ("region", "nation", "supplier"))
+    nodes = nodes.where("node_type <> 'Protein'").unionByName(nodes.where("node_type = 'LabelType'"))
+    nodes = nodes.unionByName(_node(supplier, _named("free:", "s_suppkey"), "Publication")).unionByName(_node(nation, F.col("n_name"), "Publication"))
+    loop = _named("reg:", "r_regionkey")
+    edges = edges.unionByName(_edge(region, loop, loop, "x")).unionByName(edges.where("edge_type = 'example_in_split' and startswith(src, 'ex:1-URGENT:')"))
+    return audit.structural(nodes, edges).select("check", "n_bad")
 
 
 @query(f"""WITH {STAR_EDGES} SELECT edge_type, CASE WHEN starts_with(src, 'ex:') THEN 'Example' ELSE 'Ligand' END AS src_type,
@@ -610,23 +697,117 @@ def au_endpoints(spark, d):
     return audit.endpoint_types(*_star_graph(spark, d))
 
 
-@query("""SELECT * FROM (VALUES ('one_ligand', 0), ('one_source', 0), ('one_protein', 0), ('one_scaffold', 0), ('pairs_sorted', 0), ('weight_declared', 0)) v("check", n_bad)""")
+@query(f"""WITH {STAR} SELECT 'one_ligand' AS "check", count(DISTINCT ex) AS n_bad FROM star_id WHERE source = '2-HIGH' UNION ALL SELECT 'one_source', count(DISTINCT ex) FROM star_id WHERE label = 1
+UNION ALL SELECT 'one_protein', count(DISTINCT ex) FROM star_id WHERE source = '5-LOW' UNION ALL SELECT 'one_scaffold', count(DISTINCT lig) FROM star_id WHERE CAST(entity AS BIGINT) % 2 = 0
+UNION ALL SELECT 'pairs_sorted', count(*) FROM (SELECT 'lig:' || c_custkey AS a, 'lig:' || c_nationkey AS b FROM customer) WHERE a >= b UNION ALL SELECT 'weight_declared', count(*) FROM region""")
 def au_cardinality(spark, d):
-    return audit.cardinality(*_star_graph(spark, d)).select("check", "n_bad")
+    nodes, edges = _star_graph(spark, d)
+    e = emit.with_ids(A.star_examples(spark, d))
+    edges = edges.where("not (edge_type = 'example_has_ligand' and startswith(src, 'ex:2-HIGH:')) and not (edge_type = 'example_has_protein' and startswith(src, 'ex:5-LOW:'))")
+    edges = edges.unionByName(_edge(e.where("label = 1").select("example_id").distinct(), F.col("example_id"), F.lit("src:other"), "example_from_source"))
+    edges = edges.unionByName(_edge(e.where("cast(entity as bigint) % 2 = 0").select("ligand_id").distinct(), F.col("ligand_id"), F.lit("sca:other"), "ligand_scaffold"))
+    edges = edges.unionByName(_edge(read_table(spark, d, "customer"), _named("lig:", "c_custkey"), _named("lig:", "c_nationkey"), "ligand_similar")).unionByName(_edge(read_table(spark, d, "region"), F.lit("a"), F.lit("b"), "odd"))
+    return audit.cardinality(nodes, edges).select("check", "n_bad")
 
 
-@query(f"""WITH {STAR}, c AS (SELECT lig, count(DISTINCT source) AS n FROM star_id GROUP BY lig)
-SELECT * FROM (VALUES ('degree_recount', 0), ('similarity_range', 0), ('fingerprint_floor', 0), ('parent_disjoint_from_exact', 0), ('label_binary', 0), ('label_type_known', 0), ('split_present', 0)) v("check", n_bad)""")
+@query(f"""WITH {STAR} SELECT 'protein_family_visible' AS "check", count(DISTINCT ex) AS n_bad FROM star_id WHERE CAST(target AS BIGINT) % 2 = 1 UNION ALL SELECT 'scaffold_stereo_duplicate', count(*) FROM region
+UNION ALL SELECT 'decoy_links_active', count(DISTINCT ex) FROM star_id WHERE source = '1-URGENT' AND label = 1 UNION ALL SELECT 'class_spans_corpora', 1""")
+def au_semantics(spark, d):
+    nodes, edges = _star_graph(spark, d)
+    e, region = emit.with_ids(A.star_examples(spark, d)), read_table(spark, d, "region")
+    nodes = nodes.unionByName(_node(region, _named("sca:", "r_name"), "Scaffold", F.col("r_name"))).unionByName(_node(region, _named("sca:@", "r_name"), "Scaffold", F.concat("r_name", F.lit("@"))))
+    edges = edges.unionByName(_edge(e.where("cast(target as bigint) % 2 = 0").select("target_id").distinct(), F.col("target_id"), F.lit("ProteinCluster::90::x"), "protein_cluster_90"))
+    edges = edges.unionByName(_edge(e.where("source = '1-URGENT'").select("example_id").distinct(), F.col("example_id"), F.lit("proto:1-URGENT"), "source_decoy_protocol"))
+    edges = edges.unionByName(_edge(region.limit(1), F.lit("proto:1-URGENT"), F.lit("protoclass:x"), "decoy_protocol_in_class"))
+    return audit.semantics(nodes, edges).select("check", "n_bad")
+
+
+@query(f"""WITH {STAR}, c AS (SELECT ex, min(label) AS label, min(label_type) AS label_type FROM star_id GROUP BY ex)
+SELECT 'degree_recount' AS "check", count(DISTINCT lig) AS n_bad FROM star_id UNION ALL SELECT 'similarity_range', count(*) FROM part WHERE p_size / 50 < 0.8 OR p_size / 50 >= 0.9995
+UNION ALL SELECT 'fingerprint_floor', count(*) FROM supplier WHERE s_nationkey / 24 < 0.9995 UNION ALL SELECT 'parent_disjoint_from_exact', count(*) FROM nation WHERE n_regionkey = 1
+UNION ALL SELECT 'label_binary', count(DISTINCT ex) FROM star_id WHERE source = '3-MEDIUM' UNION ALL SELECT 'label_type_known', count(DISTINCT ex) FROM star_id WHERE label_type = 'decoy'
+UNION ALL SELECT 'split_present', count(DISTINCT ex) FROM star_id WHERE source = '5-LOW'""")
 def au_facts(spark, d):
     x = A.star_examples(spark, d)
-    return audit.facts(*canonical.canonicalise(emit.emit_nodes(x), emit.emit_edges(x))).select("check", "n_bad")
+    nodes, edges = canonical.canonicalise(emit.emit_nodes(x), emit.emit_edges(x))
+    body, of = F.col("props"), lambda source: F.startswith("node_id", F.lit(f"ex:{source}:"))
+    body = F.when(of("3-MEDIUM"), F.regexp_replace(body, '"label":[01]', '"label":7')).when(of("5-LOW"), F.regexp_replace(body, ',"split":"[^"]*"', "")).otherwise(body)
+    nodes = nodes.withColumn("props", F.regexp_replace(body, '"label_type":"decoy"', '"label_type":"odd"')).withColumn("degree", F.col("degree") + (F.col("node_type") == "Ligand").cast("int"))
+    part, supplier, nation = (read_table(spark, d, t) for t in ("part", "supplier", "nation"))
+    edges = edges.unionByName(_edge(part, _named("a:", "p_partkey"), _named("b:", "p_partkey"), "ligand_similar", props.props(tanimoto=F.col("p_size") / 50)))
+    edges = edges.unionByName(_edge(supplier, _named("a:", "s_suppkey"), _named("b:", "s_suppkey"), "ligand_fingerprint_exact", props.props(tanimoto=F.col("s_nationkey") / 24)))
+    edges = edges.unionByName(_edge(nation, _named("a:", "n_name"), F.lit("b"), "ligand_parent_exact")).unionByName(_edge(nation.where("n_regionkey = 1"), _named("a:", "n_name"), F.lit("b"), "ligand_exact"))
+    return audit.facts(nodes, edges).select("check", "n_bad")
+
+
+@query(f"""WITH {STAR} SELECT 'endpoints_declared' AS "check", 2 AS n_bad UNION ALL SELECT 'similarity_method_missing', count(*) FROM part WHERE p_size % 4 = 3 UNION ALL SELECT 'similarity_methods', 2
+UNION ALL SELECT 'target_from_reference', count(*) FROM supplier UNION ALL SELECT 'domain_merged', count(*) FROM nation WHERE n_nationkey * 50 > 700
+UNION ALL SELECT 'scaffold_missing', count(DISTINCT lig) FROM star_id WHERE CAST(entity AS BIGINT) % 2 = 0 UNION ALL SELECT 'label_values', 1 UNION ALL SELECT 'label_type_values', 1 UNION ALL SELECT 'attribute_in_axis', 0""")
+def au_contract(spark, d):
+    _, edges = _star_graph(spark, d)
+    e = emit.with_ids(A.star_examples(spark, d))
+    part, supplier, nation, region = (read_table(spark, d, t) for t in ("part", "supplier", "nation", "region"))
+    label = F.when(F.col("source") == "3-MEDIUM", 7).otherwise(F.col("label"))
+    nodes = e.select(F.col("example_id").alias("node_id"), F.lit("Example").alias("node_type"), F.lit("").alias("label"), props.props(label=label, label_type=F.col("label_type")).alias("props"))
+    odd = e.where("cast(entity as bigint) % 2 = 0").select("ligand_id").distinct()
+    nodes = nodes.unionByName(_node(e.select("ligand_id").distinct(), F.col("ligand_id"), "Ligand"))
+    edges = edges.join(odd.withColumnRenamed("ligand_id", "src"), "src", "left_anti").select(*edges.columns)
+    method = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.lit(None).cast("string")), F.col("p_size") % 4 + 1)
+    edges = edges.unionByName(_edge(part, _named("a:", "p_partkey"), _named("b:", "p_partkey"), "ligand_similar", props.props(method=method)))
+    edges = edges.unionByName(_edge(supplier, _named("ex:", "s_suppkey"), F.lit("protein:x"), "example_has_protein", props.props(source=F.lit("BindingDB"))))
+    edges = edges.unionByName(_edge(nation, _named("protein:HIV1:", "n_name"), F.lit("protein:x"), "protein_exact", props.props(alnlen=F.col("n_nationkey") * 50)))
+    edges = edges.unionByName(_edge(region, F.lit("a"), F.lit("b"), "time_overlap")).unionByName(_edge(region, F.lit("a"), F.lit("b"), "example_in_trainset"))
+    return audit.contract(nodes, edges).select("check", "n_bad")
+
+
+@query(f"""WITH {STAR}, {_CHEMBL}, w AS (SELECT 'examples' AS "check", count(DISTINCT ex) AS want FROM star_id UNION ALL SELECT 'example_has_ligand', count(*) FROM (SELECT DISTINCT ex, lig FROM star_id)
+UNION ALL SELECT 'example_has_protein_target', count(*) FROM (SELECT DISTINCT ex, tgt FROM star_id) UNION ALL SELECT 'example_from_source', count(*) FROM (SELECT DISTINCT ex, src_id FROM star_id)
+UNION ALL SELECT 'example_in_split', count(*) FROM (SELECT DISTINCT ex, spl FROM star_id) UNION ALL SELECT 'example_has_label_type', count(*) FROM (SELECT DISTINCT ex, lt FROM star_id)
+UNION ALL SELECT 'linked_ligands', count(DISTINCT smi) FROM li WHERE m IS NOT NULL),
+g AS (SELECT "check", want, want - CASE "check" WHEN 'example_in_split' THEN (SELECT count(*) FROM (SELECT DISTINCT ex, spl FROM star_id WHERE source = '5-LOW')) WHEN 'linked_ligands' THEN want - (SELECT count(*) FROM lk) ELSE 0 END AS got FROM w)
+SELECT "check", want, got, want = got AS passed FROM g""")
+def au_completeness(spark, d):
+    x = A.star_examples(spark, d)
+    edges = emit.emit_edges(x).where("not (edge_type = 'example_in_split' and startswith(src, 'ex:5-LOW:'))")
+    p = read_table(spark, d, "part")
+    links = p.select(F.col("p_partkey").cast("string").alias("canonical_smiles"), F.when(F.col("p_partkey") % 11 > 0, F.expr("p_partkey div 2")).alias("molregno"))
+    return audit.completeness(emit.emit_nodes(x), edges.unionByName(_chembl(spark, d)[1]), x, links)
+
+
+@query("""SELECT 'protein_cluster_' || r AS edge_type, count(DISTINCT c) AS n_clusters, count(DISTINCT c) >= 3 AS passed FROM (SELECT 90 AS r, s_suppkey AS c FROM supplier WHERE s_suppkey IN (1, 2, 3)
+UNION ALL SELECT 50, s_nationkey FROM supplier WHERE s_suppkey IN (1, 2, 3) UNION ALL SELECT 30, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey IN (1, 2, 3)) GROUP BY r""")
+def au_kept_apart(spark, d):
+    c = A.star_clusters(spark, d)
+    nodes = _node(c.select("protein_id").distinct(), F.col("protein_id"), "Protein")
+    return audit.kept_apart(canonical.add_clusters(nodes, spark.createDataFrame([], schema.EDGE_SCHEMA), c)[1], ["protein:1", "protein:2", "protein:3"])
 
 
-@query("""SELECT * FROM (VALUES ('nul_in_nodes', 0), ('nul_in_edges', 0), ('unknown_node_type', 0), ('unknown_edge_type', 0), ('duplicate_node_id', 0), ('dangling', 0)) v("check", n_bad)""")
+@query("""WITH t AS (SELECT unnest([0.8, 0.85, 0.9, 0.95, 1.01]::DOUBLE[]) AS threshold), o AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1),
+g AS (SELECT threshold, CASE WHEN c % 3 = 1 AND 0.8::DOUBLE + ((c - 1) % 10) / 50 >= threshold AND c - 1 IN (SELECT c_custkey FROM customer) THEN c - 1 ELSE c END AS g, sum(n) AS n FROM t, o GROUP BY 1, 2)
+SELECT threshold, CAST(sum(n) AS BIGINT) AS n_examples, CAST(sum(n) AS BIGINT) AS n_linked, CAST(max(n) AS BIGINT) AS largest, round(100.0 * max(n) / sum(n), 4) AS largest_pct FROM g GROUP BY 1""")
+def au_similarity_curve(spark, d):
+    """Orders are examples, customers ligands; every third customer is similar to the next."""
+    o, c = read_table(spark, d, "orders"), read_table(spark, d, "customer").where("c_custkey % 3 = 0")
+    t = F.lit(0.8) + F.col("c_custkey") % 10 / 50
+    edges = _edge(o, _named("ex:", "o_orderkey"), _named("lig:", "o_custkey"), "example_has_ligand")
+    pair = c.select("c_custkey", (F.col("c_custkey") + 1).alias("next"))
+    return audit.similarity_curve(edges.unionByName(_edge(pair, _named("lig:", "c_custkey"), _named("lig:", "next"), "ligand_similar", props.props(tanimoto=t))))
+
+
+@query("""WITH k AS (SELECT (SELECT count(*) FROM region) AS r, (SELECT count(*) FROM nation) AS n) SELECT 'nul_in_nodes' AS "check", r AS n_bad FROM k UNION ALL SELECT 'nul_in_edges', n FROM k UNION ALL SELECT 'unknown_node_type', 2 * r FROM k
+UNION ALL SELECT 'empty_type', r FROM k UNION ALL SELECT 'id_without_prefix', n FROM k UNION ALL SELECT 'unknown_edge_type', n FROM k UNION ALL SELECT 'duplicate_node_id', r FROM k UNION ALL SELECT 'dangling', 2 * n FROM k""")
 def au_write_guard(spark, d):
     x = A.star_examples(spark, d)
-    n, e = canonical.canonicalise(emit.emit_nodes(x), emit.emit_edges(x))
-    return audit.write_guard(n.drop("degree"), e).select("check", "n_bad")
+    nodes, edges = canonical.canonicalise(emit.emit_nodes(x), emit.emit_edges(x))
+    region, nation = read_table(spark, d, "region"), read_table(spark, d, "nation")
+    odd = _node(region, _named("reg:", "r_regionkey"), "Odd", F.char(F.lit(0))).unionByName(_node(region, _named("reg:", "r_regionkey"), "")).unionByName(_node(nation, F.col("n_name"), "Publication"))
+    lost = _edge(nation, _named("lost:", "n_name"), _named("gone:", "n_name"), "odd", F.concat(F.lit("{"), F.char(F.lit(0)), F.lit("}")))
+    return audit.write_guard(nodes.drop("degree").unionByName(odd), edges.unionByName(lost)).select("check", "n_bad")
+
+
+@query("SELECT 'Publication' AS node_type, split_part(n_name, ':', 1) AS prefix, count(*) AS n FROM nation GROUP BY n_name UNION ALL SELECT 'Protein', 'tgt', count(*) FROM (SELECT DISTINCT o_orderpriority, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)")
+def au_foreign_prefixes(spark, d):
+    return audit.foreign_prefixes(canonical.map_schema(emit.emit_nodes(A.star_examples(spark, d)), spark.createDataFrame([], schema.EDGE_SCHEMA))[0].unionByName(_node(read_table(spark, d, "nation"), F.col("n_name"), "Publication")))
 
 
 @query(f"WITH {DOCS} SELECT md5(entity) AS entity_key, count(DISTINCT source) AS n_corpora FROM doc WHERE entity IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) >= 2")
@@ -640,13 +821,10 @@ def au_duplicate_triples(spark, d):
     return audit.label_conflicts(A.star_examples(spark, d), ["source", "target", "entity"])
 
 
-@query("""WITH t AS (SELECT 'c' || (s_suppkey % 3) AS corpus, CAST(s_suppkey AS VARCHAR) AS target, 'protein:' || s_nationkey AS want, 'protein:' || (CASE WHEN s_suppkey % 4 = 0 THEN s_nationkey + 1 ELSE s_nationkey END) AS got FROM supplier WHERE s_suppkey % 5 > 0)
+@query("""WITH t AS (SELECT 'c' || (s_suppkey % 3) AS corpus, CAST(s_suppkey AS VARCHAR) AS target, 'protein:' || s_nationkey AS want, 'protein:' || (CASE WHEN s_suppkey % 4 = 0 THEN s_nationkey + 1 ELSE s_nationkey END) AS got FROM supplier)
 SELECT corpus, target, want, got, want = got AS passed FROM t""")
 def au_truth(spark, d):
-    return _truth(read_table(spark, d, "supplier").where("s_suppkey % 5 > 0"))
-
-
-def _truth(s):
+    s = read_table(spark, d, "supplier")
     corpus, target = F.concat(F.lit("c"), F.col("s_suppkey") % 3), F.col("s_suppkey").cast("string")
     truth = s.select(corpus.alias("corpus"), target.alias("target"), F.col("s_nationkey").cast("string").alias("uniprot"))
     off = F.when(F.col("s_suppkey") % 4 == 0, F.col("s_nationkey") + 1).otherwise(F.col("s_nationkey"))
@@ -691,72 +869,10 @@ def st_windowed_counts(spark, d):
 def top_assays(spark, d):
     """Flagship: the assays that touch most examples, through two hops."""
     has, asy, _, _ = _hops(spark, d)
-    return _most_touched(has, asy)
-
-
-def _most_touched(has, asy):
     wired = provenance.wire([has, asy], "example_from_assay", "star")
     return wired.groupBy(F.col("dst").alias("assay")).agg(F.count("*").alias("n_examples")).orderBy(F.desc("n_examples"), "assay").limit(100)
 
 
-# ---- the same operators over whole tables ----
-
-
-def _whole(name: str, cut: str) -> str:
-    """SQL of a query without its row filter."""
-    sql = QUERIES[name][1]
-    assert cut in sql
-    return sql.replace(cut, "")
-
-
-_THIRD, _QUARTER = " WHERE o_orderkey % 3 = 0", " WHERE o_orderkey % 4 = 0"
-
-
-@query(_whole("gr_wire_assay", _QUARTER))
-def gr_wire_assay_all(spark, d):
-    has, asy, _, _ = _hops(spark, d, whole=True)
-    return provenance.wire([has, asy], "example_from_assay", "star").groupBy("dst").agg(F.count("*").alias("n"))
-
-
-@query(_whole("gr_wire_publication", _QUARTER))
-def gr_wire_publication_all(spark, d):
-    has, asy, doc, _ = _hops(spark, d, whole=True)
-    return provenance.wire([has, asy, doc], "example_from_publication", "star").groupBy("dst").agg(F.count("*").alias("n"))
-
-
-@query(_whole("gr_wire_measured", _QUARTER))
-def gr_wire_measured_all(spark, d):
-    _, asy, _, measured = _hops(spark, d, whole=True)
-    return provenance.wire([asy, measured], "ligand_measured_protein", "star")
-
-
-@query(_whole("cc_leakage_groups", _THIRD))
-def cc_leakage_groups_all(spark, d):
-    return _group_sizes(_links(spark, d, whole=True)[0])
-
-
-@query(_whole("cc_degree_curve", _THIRD))
-def cc_degree_curve_all(spark, d):
-    return _degree_curve(_links(spark, d, whole=True)[0])
-
-
-@query()  # no SQL; tested against brute force
-def cc_components_all(spark, d):
-    return _part_supplier_components(read_table(spark, d, "lineitem"))
-
-
-@query(_whole("au_truth", " WHERE s_suppkey % 5 > 0"))
-def au_truth_all(spark, d):
-    return _truth(read_table(spark, d, "supplier"))
-
-
-@query(_whole("top_assays", _QUARTER))
-def top_assays_all(spark, d):
-    """Flagship: the assays that touch most examples, through two hops."""
-    has, asy, _, _ = _hops(spark, d, whole=True)
-    return _most_touched(has, asy)
-
-
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in QUERIES.items()}
 

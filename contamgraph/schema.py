@@ -41,6 +41,9 @@ EDGES = (
     ("ligand_measured_protein", "Ligand", "Protein", 0.90, ()),
     ("example_in_split", "Example", "Split", 1.00, ()),
     ("example_has_label_type", "Example", "LabelType", 1.00, ()),
+    ("example_has_timebin", None, None, 1.00, ("time",)),
+    ("time_overlap", None, None, 0.40, ("time",)),
+    ("example_in_trainset", None, None, 1.00, ()),
 )
 PAIR_EDGES = ("ligand_exact", "ligand_parent_exact", "ligand_fingerprint_exact", "ligand_similar", "protein_exact")
 #: Corpus-level names of node and edge types, and what the canonical graph calls them.
@@ -51,7 +54,8 @@ LABEL_TYPES = ("active", "inactive", "decoy", "random")
 
 
 def endpoints() -> dict[str, tuple[str, str]]:
-    return {e: (a, b) for e, a, b, _, _ in EDGES}
+    """Endpoint types of the edge types that declare them."""
+    return {e: (a, b) for e, a, b, _, _ in EDGES if a is not None}
 
 
 def weights() -> dict[str, float]:

@@ -139,8 +139,10 @@ def test_small_stages(spark):
     extra = n.unionByName(spark.createDataFrame([("ex:S:T:9", "Example", "", "{}"), ("lig:z", "Ligand", "", "{}")], NODE))
     assert canonical.drop_without_ligand(extra, e)[0].where("node_id = 'ex:S:T:9'").count() == 0
     assert canonical.drop_orphans(extra, e)[0].where("node_id = 'lig:z'").count() == 0
-    pub = spark.createDataFrame([("lig:a",)], "node_id string")
-    assert canonical.drop_placeholders(n, e, pub)[1].where("dst = 'lig:a'").count() == 0
+    pub = spark.createDataFrame([("chembl_doc:9",)], "node_id string")
+    cited = e.unionByName(spark.createDataFrame([("ex:S:T:0", f"chembl_doc:{i}", t, "{}") for i, t in ((9, "example_from_publication"), (8, "example_from_publication"), (9, "other"))], EDGE))
+    kept_n, kept_e = canonical.drop_placeholders(n, cited, pub)
+    assert rows(kept_e.where("dst like 'chembl_doc:%'"), "dst", "edge_type") == [("chembl_doc:8", "example_from_publication"), ("chembl_doc:9", "other")] and kept_n.count() == n.count()
     px = spark.createDataFrame([("tgt:S:Q9Y6K9", "tgt:none", 99.0, 10)], "src string, dst string, pident double, alnlen long")
     assert canonical.add_protein_exact(n, e, px)[1].count() == e.count()
 
@@ -184,7 +186,8 @@ def test_facts_and_guard_can_fail(spark):
 
 
 def test_contract_is_consistent():
-    assert set(schema.endpoints()) == set(schema.weights()) and not set(schema.non_axis()) & {e for es in schema.axes().values() for e in es}
+    assert set(schema.weights()) - set(schema.endpoints()) == {"example_has_timebin", "time_overlap", "example_in_trainset"}
+    assert not set(schema.non_axis()) & {e for es in schema.axes().values() for e in es}
 
 
 def test_unpopulated_axes(spark):
@@ -195,9 +198,62 @@ def test_unpopulated_axes(spark):
 def test_provenance(spark):
     a, b, c = (spark.createDataFrame(x, "src string, dst string") for x in ([("e1", "l1"), ("e2", "l1")], [("l1", "a1"), ("l1", "a2")], [("a1", "d1"), ("a2", "d1")]))
     assert rows(provenance.wire([a, b, c], "t", "S"), "src", "dst") == [("e1", "d1"), ("e2", "d1")]
-    routes = [("t1", "x", "P1", 0.95), ("t1", "y", "P1", 0.5), ("t2", "x", "P1", 0.95), ("t3", "x", "P1", 0.5), ("t4", "x", "P1", 1.0), ("t4", "y", "P2", 1.0), ("t5", "x", None, 1.0)]
-    got = rows(provenance.resolve_targets(spark.createDataFrame(routes, "target string, route string, accession string, score double")))
-    assert got == [("t1", "P1", 1.0), ("t2", "P1", 0.8), ("t3", "P1", 0.5)]
+
+
+def test_target_ladders(spark):
+    targets = spark.createDataFrame([(f"t{i}",) for i in range(8)], "target string")
+    named = spark.createDataFrame([("t0", "P1"), ("t1", "P1"), ("t2", "P1"), ("t3", "P1"), ("t4", "P1"), ("t6", None)], "target string, accession string")
+    hits = [("t0", "P1", 0.9, 0.6), ("t0", "P9", 0.5, 1.0), ("t1", "P1", 0.7, 0.9), ("t2", "P2", 0.86, 0.9), ("t3", "P2", 0.82, 0.9), ("t5", "P2", 0.95, 0.5), ("t6", "P2", 0.95, 0.4), ("t7", None, 1.0, 1.0)]
+    hits = spark.createDataFrame(hits, "target string, accession string, identity double, coverage double")
+    got = {r["target"]: (r["accession"], r["confidence"], r["method"]) for r in provenance.resolve_targets(targets, named, hits).collect()}
+    assert got == {
+        "t0": ("P1", 1.0, "entry_name+sequence"), "t1": ("P1", 0.85, "entry_name_only"), "t2": ("P1", 0.95, "entry_name(ortholog_structure)"), "t3": ("P1", 0.5, "CONFLICT"),
+        "t4": ("P1", 0.85, "entry_name_only"), "t5": ("P2", 0.9, "sequence_only"), "t6": (None, 0.0, "UNRESOLVED"), "t7": (None, 0.0, "UNRESOLVED"),
+    }
+    by = {r["target"]: (r["accession"], r["confidence"]) for r in provenance.resolve_by_sequence(targets, hits, named).collect()}
+    assert by["t0"] == ("P1", 0.9) and by["t1"] == ("P1", 0.85) and by["t5"] == ("P2", 0.95) and by["t7"] == (None, 0.0)
+    held = hits.withColumn("place", F.col("identity"))
+    by = {r["target"]: (r["accession"], r["confidence"], r["method"]) for r in provenance.resolve_by_structures(targets, named, held).collect()}
+    assert by["t1"] == ("P1", 1.0, "gene+pdb") and by["t2"] == ("P1", 0.85, "gene_only") and by["t6"] == ("P2", 0.4, "pdb_only") and by["t7"] == (None, 0.0, "UNRESOLVED")
+
+
+def test_target_edges_are_kept_and_measured_ones_move(spark):
+    n, e = tiny(spark)
+    more = [("ex:S:T:0", "protein:P9", "example_has_protein", "{}"), ("ex:S:U:1", "lig:b", "example_has_ligand", "{}"), ("ex:S:U:1", "protein:P8", "example_has_protein", "{}")]
+    e = e.unionByName(spark.createDataFrame(more, EDGE))
+    mapping = spark.createDataFrame([("tgt:S:T", "tgt:S:Q9Y6K9")], "old_id string, new_id string")
+    _, out = canonical.split_relation(n, e, mapping)
+    assert rows(out.where("edge_type = 'example_has_protein'"), "src", "dst") == [("ex:S:T:0", "tgt:S:Q9Y6K9"), ("ex:S:U:1", "protein:P8")]
+    assert rows(out.where("edge_type = 'ligand_measured_protein'"), "src", "dst", "props") == [("lig:a", "protein:P9", "{}")] and out.count() == e.count()
+    _, whole = canonical.canonicalise(*tiny(spark))
+    assert whole.where("edge_type = 'ligand_measured_protein'").count() == 0
+
+
+def test_protein_map_retypes(spark):
+    n = spark.createDataFrame([("x:1", "Odd", "", "{}"), ("protein:A B", "Protein", "", "{}")], NODE)
+    e = spark.createDataFrame([("x:1", "protein:A B", "t", "{}")], EDGE)
+    m = spark.createDataFrame([("x:1", "protein:X"), ("protein:A B", "protein:A")], "old_id string, new_id string")
+    n2, e2 = canonical.apply_protein_map(n, e, m)
+    assert rows(n2, "node_id", "node_type") == [("protein:A", "Protein"), ("protein:X", "Protein")] and rows(e2, "src", "dst") == [("protein:X", "protein:A")]
+
+
+def test_scaffold_size_and_names(spark):
+    n = spark.createDataFrame([("sca:1", "Scaffold", "CCO", '{"is_empty":false}'), ("lig:1", "Ligand", "CCO", "{}")], NODE)
+    out = canonical.with_scaffold_size(n, n, F.length("label"))[0]
+    assert rows(out, "node_id", "props") == [("lig:1", "{}"), ("sca:1", '{"is_empty":false,"n_heavy_atoms":3}')]
+    p = spark.createDataFrame([("AL1A1_HUMAN_4_501_0", "C[C@@H]/N"), ("AB1_HUMAN_10_200", "C\\C"), ("P12345", None)], "p string, s string")
+    assert [tuple(r) for r in p.select(keys.pocket_name(F.col("p")), keys.stereo_free_text(F.col("s"))).collect()] == [("AL1A1_HUMAN", "C[CH]N"), (None, "CC"), (None, None)]
+
+
+def test_one_target_edge_for_each_pair(spark):
+    n, e = tiny(spark)
+    again = e.unionByName(spark.createDataFrame([("ex:S:T:0", "tgt:S:Q9Y6K9", "example_has_protein", '{"source":"B"}')], EDGE))
+    assert canonical.one_example_protein(n, again)[1].count() == e.count()
+
+
+def test_degree_is_recorded(spark):
+    n, e = canonical.canonicalise(*tiny(spark))
+    assert audit.degree_recorded(n).first()["passed"] and not audit.degree_recorded(n.withColumn("is_hub", F.lit(False))).first()["passed"]
 
 
 def test_leakage(spark):
