@@ -26,7 +26,7 @@ The benchmark is dealt into chunks of about ``chunk_tokens`` tokens in all readi
 benchmark means more passes over the documents and no larger table.  Documents are
 read whole and need no shuffle.
 
-Null and empty texts have no windows.  Rows may repeat, ids may be null; other
+Null and empty texts have no windows.  Ids of documents and items are integers; rows may repeat, ids may be null; other
 columns are ignored.  An empty benchmark leaks nowhere.
 """
 from __future__ import annotations

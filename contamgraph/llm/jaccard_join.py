@@ -12,16 +12,20 @@ joined by shared prefix shingles form families; each family is multiplied block
 by block, accumulating exact overlap counts along inverted columns, and pairs
 below ``t / (1 + t) * (n1 + n2)`` are discarded.
 
-Nothing here grows with the square of a group: documents with equal sets are one
-row from the first pass on, a family is walked breadth first and a document that
-already belongs to a component is never compared with that component again, so a
-group of m near copies costs about m row products.  Families larger than a block
-are dealt as pairs of row blocks.  Only a spanning forest of links is emitted.
+Documents with equal sets are one row from the first pass on, a family is walked
+breadth first and a document that already belongs to a component is never compared
+with that component again, so a group of m near copies costs about m row products.
+Only a spanning forest of links is emitted.
+
+What still grows: families come from shared prefix shingles that are not verified
+yet, so they may hold more than near copies.  A family of B blocks (of
+``BLOCK_ENTRIES`` entries) is dealt as pairs of blocks, each row to B - 1 of them; and
+inside a product a shingle that m unlinked rows of a family share is walked m times.
 
 Sets are identified by a 64-bit fingerprint and shingles by 48 hash bits beside
 the column-block bits; all counts are exact up to hash collisions.
 
-Nulls, empty and white-space-only texts have the empty set, link with nothing and
+Ids are integers.  Nulls, empty and white-space-only texts have the empty set, link with nothing and
 are their own component.  Rows may repeat, ids may repeat or be null: rows are
 matched by their set, and ``component_id`` is the smallest id that carries any
 set of the component (null where no row of it has an id).  Columns beside id and

@@ -24,7 +24,7 @@ no word has probability 0.  Without training tokens every token has the
 probability of the unknown word, 1.
 
 Words are runs without ASCII white space, A-Z lower-cased; each text ends with
-one end token.  Null text is the empty text (one end token).  Ids may be null or
+one end token.  Null text is the empty text (one end token).  Ids are integers, may be null or
 repeat; each row is scored by itself.  Other columns are ignored.  Words are
 told apart by 64-bit hashes, followers of one history by 48 bits of them.
 """

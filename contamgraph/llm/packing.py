@@ -19,13 +19,14 @@ depends on the capacity and the number of groups and not on the number of pieces
 The pieces then take the places of their length by rank.  Ranks are numbered in
 salted shares of each length, so a length that many pieces have is no hot key.
 
-Null text is the empty document (its closing token alone).  Ids may repeat or be
+Null text is the empty document (its closing token alone).  Ids are integers, may repeat or be
 null: each row is packed by itself.  Other columns are ignored, an empty table
 gives an empty result.
 """
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from dataclasses import dataclass
@@ -83,11 +84,32 @@ def chunks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, np.flatnonzero(last & inside) + 1, np.searchsorted(offs, start, "right") - 1
 
 
+#: Fixed value: the pre-tokenizer pattern under which words can be encoded by themselves.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_words(path: str) -> bool:
+    """Whether a vocabulary file folds case, and pre-tokenises by the pattern and nothing else.
+
+    Then no token reaches over white space, and letters stand apart from points and commas.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    parts = lambda x, name: (x or {}).get(name) or ([x] if x else [])
+    normal = [(x["type"], x.get("pattern", {}).get("Regex")) for x in parts(spec.get("normalizer"), "normalizers")]
+    before = parts(spec.get("pre_tokenizer"), "pretokenizers")
+    split = [x for x in before if x["type"] == "Split"]
+    return (
+        ("Lowercase", None) in normal and all(x in (("NFC", None), ("Lowercase", None), ("Replace", r"\s+")) for x in normal)
+        and [x["type"] for x in before] == ["Split", "ByteLevel"] and not before[1].get("add_prefix_space") and not before[1].get("use_regex")
+        and split[0]["pattern"] == {"Regex": _PATTERN} and split[0]["behavior"] == "Removed" and split[0]["invert"] and spec["model"]["type"] == "BPE"
+    )
+
+
 class WordTable:
     """Token ids of words by 64-bit hash, in flat arrays.
 
-    Only for vocabularies whose pre-tokenizer never joins across white space, sets
-    letters apart from points and commas, and folds case.
+    A vocabulary that does not split at words (``splits_at_words``) encodes whole texts instead.
     """
 
     def __init__(self, path: str):
@@ -95,6 +117,7 @@ class WordTable:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = splits_at_words(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a run of letters
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -140,6 +163,10 @@ class WordTable:
     def encode(self, buf: np.ndarray, offs: np.ndarray, closing: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents of a block, each closed, one after the other; ids of each)."""
         m = len(offs) - 1
+        if not self.by_word:
+            raw = buf.tobytes()
+            whole = [self.encode_text(raw[a:b].decode(), closing) for a, b in zip(offs, offs[1:], strict=False)]
+            return np.concatenate(whole), np.array([len(x) for x in whole], np.int64)
         start, end, doc = chunks(buf, offs)
         h = B.range_hash(B.rolling(buf, lower=True), start, end)
         value, first, inverse = np.unique(h, return_index=True, return_inverse=True)

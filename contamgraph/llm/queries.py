@@ -30,7 +30,7 @@ def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contamgraph.llm.katz_lm import katz_scores
 
     out = katz_scores(read_table(spark, sf_dir, "documents"), ~held_out(7))
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("mean_score"))
 
 
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

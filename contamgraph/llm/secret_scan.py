@@ -23,6 +23,7 @@ expressions run only over texts that hold a long enough run.
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import re
 
@@ -137,10 +138,19 @@ def spans_of(text: str, vocabulary: str, min_length: int = 20, max_ratio: float
     if long_hex:
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= MIN_HEX]
     if long_key:
-        base = sorted((s, e) for s, _, e in out)
+        base: list[list[int]] = []  # disjoint, so their ends rise with their starts
+        for s, _, e in sorted(out):
+            if base and s < base[-1][1]:
+                base[-1][1] = max(base[-1][1], e)
+            else:
+                base.append([s, e])
+        ends = [e for _, e in base]
         for m in CANDIDATE.finditer(text):
             s, e = m.span()
-            if e - s < min(min_length, SHORT) or any(a < e and s < b for a, b in base):
+            if e - s < min(min_length, SHORT):
+                continue
+            near = bisect.bisect_right(ends, s)  # the first base span that ends after the run starts
+            if near < len(base) and base[near][0] < e:
                 continue
             value = m[0].strip("=-_/+")
             if len(value) >= min(min_length, SHORT) and _random(value, vocabulary, min_length, max_ratio):

@@ -21,8 +21,9 @@ null: rows meet their verdict by URL, and each distinct URL is judged once.  Oth
 columns of the pages are kept, except that ``host``, ``path``, ``rule``,
 ``verdict`` and ``pattern`` are replaced.
 
-The rules travel by broadcast while they are at most ``BROADCAST_RULES``; beyond that
-the index is joined by a shuffle.
+Rules and their literal tokens travel by broadcast while they are at most
+``BROADCAST_RULES``; beyond that they are joined by a shuffle.  Pages without a URL are
+spread over the tasks of the last join, which they cannot match.
 """
 from __future__ import annotations
 
@@ -117,10 +118,11 @@ def filter_urls(pages: DataFrame, host_rules: list[tuple[str, str, str]], patter
     literals = sorted({t for r in rules for t in r[4]})
     seen = spark.createDataFrame([(t,) for t in literals], "token string")
     # as many rows as the rules have literal tokens
-    count = {r["token"]: r["n"] for r in by_token.join(F.broadcast(seen), "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_RULES else df
+    count = {r["token"]: r["n"] for r in by_token.join(small(seen, len(literals)), "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
     index = [(min(r[4], key=lambda t: (count.get(t, 0), t)) if r[4] else "", *r[:4]) for r in rules]
     table = spark.createDataFrame(index, "token string, kind string, name string, action string, regex string")
-    candidates = by_token.join(F.broadcast(table) if len(index) <= BROADCAST_RULES else table, "token")
+    candidates = by_token.join(small(table, len(index)), "token")
     target = F.when(F.col("kind") == "host", F.col("place")).otherwise(F.col("whole"))
     fits = candidates.where(F.rlike(target, F.col("regex")))
     is_host = F.col("kind") == "host"
@@ -129,7 +131,8 @@ def filter_urls(pages: DataFrame, host_rules: list[tuple[str, str, str]], patter
     pattern = F.struct((~allow).alias("a"), F.col("name").alias("n"), F.col("action").alias("v"))
     verdicts = fits.groupBy("judged_url").agg(F.min(F.when(is_host, order)).alias("r"), F.min(F.when(~is_host, pattern)).alias("p"))
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "pattern")]
-    joined = pages.select(*own).join(verdicts, F.col(url_col) == F.col("judged_url"), "left")
+    key = F.coalesce(url_col, F.concat(F.lit("\0"), F.spark_partition_id()))  # no judged URL is like that
+    joined = pages.select(*own, key.alias("_judged_key")).join(verdicts, F.col("_judged_key") == F.col("judged_url"), "left")
     h, p, _ = split_url(F.col(url_col))
     return joined.select(
         *own, h.alias("host"), p.alias("path"), F.col("r.n").alias("rule"),

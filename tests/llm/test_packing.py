@@ -84,3 +84,22 @@ def test_round_trip(docs, prose):
 
 def test_empty_table(no_docs):
     assert pack(no_docs).count() == 0
+
+
+def test_other_vocabularies_encode_whole_texts(tmp_path):
+    import json
+
+    from contamgraph.llm.packing import WordTable, default_vocabulary, splits_at_words
+
+    spec = json.load(open(default_vocabulary()))
+    assert splits_at_words(default_vocabulary())
+    spec["normalizer"]["normalizers"] = [x for x in spec["normalizer"]["normalizers"] if x["type"] != "Lowercase"]
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as f:
+        json.dump(spec, f)
+    assert not splits_at_words(path)
+    table, raw = WordTable(path), ["The Cat, sat. 12", "", "Été été"]
+    data = [x.encode() for x in raw]
+    ids, lens = table.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), 0)
+    assert lens.tolist() == [len(table.tokenizer.encode(x, add_special_tokens=False).ids) + 1 for x in raw]
+    assert ids.tolist() == [i for x in raw for i in [*table.tokenizer.encode(x, add_special_tokens=False).ids, 0]]

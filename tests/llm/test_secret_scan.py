@@ -65,3 +65,13 @@ def test_redaction(spark):
 
 def test_empty_table(no_docs):
     assert S.scan(no_docs).count() == 0 and S.redact(no_docs).count() == 0
+
+
+def test_many_base_spans_in_one_text(spark):
+    import time
+
+    text = " ".join(f"{i:024x} Zx9Qv{i % 10}LkT2wPq8RmN4sB" for i in range(4000))
+    began = time.time()
+    spans = S.spans_of(text, S.default_vocabulary())
+    assert time.time() - began < 30
+    assert sum(k == 2 for _, k, _ in spans) == 4000 and sum(k == 3 for _, k, _ in spans) > 3000
