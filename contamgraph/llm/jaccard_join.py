@@ -9,8 +9,8 @@ occurring nowhere else exceed that number has no partner at all.  The rarest
 remaining shingles up to the same bound are its *prefix*; two documents that link
 share a prefix shingle (size-derived bound of prefix filtering).  Documents
 joined by shared prefix shingles form families; each family is multiplied block
-by block, accumulating exact overlap counts along inverted columns, and pairs
-below ``t / (1 + t) * (n1 + n2)`` are discarded.
+by block: rows meet along the inverted columns of their prefixes, their overlap is
+counted exactly over all their shingles, and pairs below ``t / (1 + t) * (n1 + n2)`` are discarded.
 
 Documents with equal sets are one row from the first pass on, a family is walked
 breadth first and a document that already belongs to a component is never compared
@@ -19,8 +19,9 @@ Only a spanning forest of links is emitted.
 
 What still grows: families come from shared prefix shingles that are not verified
 yet, so they may hold more than near copies.  A family of B blocks (of
-``BLOCK_ENTRIES`` entries) is dealt as pairs of blocks, each row to B - 1 of them; and
-inside a product a shingle that m unlinked rows of a family share is walked m times.
+``BLOCK_ENTRIES`` entries) is dealt as pairs of blocks, each row to B - 1 of them.
+Shingles that many rows share stand last in a row's order, so they are walked only
+for rows that consist of such.
 
 Sets are identified by a 64-bit fingerprint and shingles by 48 hash bits beside
 the column-block bits; all counts are exact up to hash collisions.
@@ -203,22 +204,25 @@ def _gather_rows(percent: int):
     return run
 
 
-def link_forest(fps: np.ndarray, ns: np.ndarray, counts: np.ndarray, tokens: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def link_forest(fps: np.ndarray, ns: np.ndarray, counts: np.ndarray, tokens: np.ndarray, percent: int, first: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning forest of the links among the given rows: (row, root) positions.
 
-    Breadth-first row products along inverted columns; rows that have joined a
-    component leave the columns, so no pair inside a component is counted again.
+    Breadth-first row products; a row meets the rows that share one of the ``first`` entries
+    of both (all, by default), and its overlap with those is counted over all entries.  Rows
+    that have joined a component leave the columns, so no pair inside one is counted again.
     """
     m = len(fps)
+    first = counts if first is None else first
     ptr = np.concatenate(([0], np.cumsum(counts)))
     _, col = np.unique(tokens, return_inverse=True)
     row = np.repeat(np.arange(m), counts)
     n_cols = int(col.max()) + 1 if len(col) else 0
-    order = np.argsort(col, kind="stable")
-    post = row[order]
-    width = np.bincount(col, minlength=n_cols)
+    lead = np.arange(len(col)) - ptr[row] < first[row]
+    order = np.argsort(col[lead], kind="stable")
+    post = row[lead][order]
+    width = np.bincount(col[lead], minlength=n_cols)
     head = np.concatenate(([0], np.cumsum(width)))[:-1]
-    free = np.ones(m, bool)
+    free, mine = np.ones(m, bool), np.zeros(n_cols, bool)
     left, gone = m, 0
     forest = []
     for seed in range(m):
@@ -236,15 +240,15 @@ def link_forest(fps: np.ndarray, ns: np.ndarray, counts: np.ndarray, tokens: np.
                 width = np.bincount(col_of, minlength=n_cols)
                 head = np.concatenate(([0], np.cumsum(width)))[:-1]
                 gone = 0
-            own = col[ptr[x] : ptr[x + 1]]
+            own = col[ptr[x] : ptr[x] + first[x]]
             near = post[B.ranges(head[own], width[own])]
-            near = near[free[near]]
-            if not len(near):
+            cand = np.unique(near[free[near]])
+            if not len(cand):
                 continue
-            low = int(near.min())
-            overlap = np.bincount(near - low)
-            cand = np.flatnonzero(overlap) + low
-            overlap = overlap[cand - low]
+            mine[col[ptr[x] : ptr[x + 1]]] = True
+            hit = mine[col[B.ranges(ptr[cand], counts[cand])]]
+            overlap = np.add.reduceat(hit, np.cumsum(counts[cand]) - counts[cand], dtype=np.int64)
+            mine[col[ptr[x] : ptr[x + 1]]] = False
             linked = cand[100 * overlap >= percent * (ns[x] + ns[cand] - overlap)]
             if len(linked):
                 free[linked] = False
@@ -273,7 +277,8 @@ def _multiply(percent: int):
             tokens = [np.frombuffer(raw[i], U64) for i in at]
             counts = np.array([len(x) for x in tokens])
             n = part.column("n").to_numpy()[at]
-            pairs += [(fp[a], fp[b]) for a, b in link_forest(fp, n, counts, np.concatenate(tokens), percent)]
+            lead = part.column("lead").to_numpy()[at]
+            pairs += [(fp[a], fp[b]) for a, b in link_forest(fp, n, counts, np.concatenate(tokens), percent, lead)]
         src, dst = zip(*pairs, strict=True) if pairs else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], schema=schema)
 
@@ -315,7 +320,7 @@ def shingle_links(docs: DataFrame, k: int = 5, percent: int = 75) -> tuple[DataF
     anchor = entry.groupBy("token").agg(F.min("fp").alias("anchor"), F.count("*").alias("c")).where("c > 1")
     coarse = entry.join(anchor, "token").where("fp <> anchor").select(F.col("fp").alias("src"), F.col("anchor").alias("dst")).distinct()
     family = cut(connected_components(coarse))
-    rows = family.join(sets.select("fp", "n", "tokens"), family["node"] == sets["fp"]).select("component", "fp", "n", "tokens")
+    rows = family.join(sets.select("fp", "n", F.size("prefix").alias("lead"), "tokens"), family["node"] == sets["fp"]).select("component", "fp", "n", "lead", "tokens")
     size = (
         family.join(sets.select("fp", F.length("tokens").alias("bytes")), family["node"] == F.col("fp"))
         .groupBy("component").agg(F.sum("bytes").alias("bytes"))
@@ -327,7 +332,7 @@ def shingle_links(docs: DataFrame, k: int = 5, percent: int = 75) -> tuple[DataF
     dealt = dealt.where("n_blocks <= 2 or o <> b or n_blocks = 1").select(
         F.when(F.col("n_blocks") <= 1, F.xxhash64("component"))
         .otherwise(F.xxhash64("component", F.least("b", "o"), F.greatest("b", "o")))
-        .alias("block"), "fp", "n", "tokens",
+        .alias("block"), "fp", "n", "lead", "tokens",
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = dealt.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_multiply(percent), "src long, dst long")

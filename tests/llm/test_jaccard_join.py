@@ -84,3 +84,26 @@ def test_forest_matches_all_pairs():
             if 100 * o >= 75 * (n[i] + n[j] - o):
                 merge(i, j)
     assert got == label
+
+
+def test_prefix_columns_find_the_same_links():
+    rng = np.random.default_rng(8)
+    common = rng.integers(0, 2**40, 30).astype(np.uint64)  # a passage that every row has
+    base = [np.unique(rng.integers(0, 2**40, 200).astype(np.uint64)) for _ in range(12)]
+    rows = [np.unique(np.concatenate((common, b[: len(b) - k * 7], rng.integers(0, 2**40, k * 4).astype(np.uint64)))) for b in base for k in range(5)]
+    flat = np.concatenate(rows)
+    value, df = np.unique(flat, return_counts=True)
+    order = [r[np.lexsort((r, df[np.searchsorted(value, r)]))] for r in rows]
+    n = np.array([len(r) for r in rows])
+    lead = n - (75 * n + 99) // 100 + 1
+    fps = np.arange(len(rows)).astype(np.uint64)
+
+    def groups(pairs):
+        root = list(range(len(rows)))
+        for a, b in pairs:
+            a, b = root[a], root[b]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+        return root
+
+    every = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(np.intersect1d(rows[i], rows[j])) >= 75 * len(np.union1d(rows[i], rows[j]))]
+    assert every and groups(J.link_forest(fps, n, n, np.concatenate(order), 75, lead)) == groups(every) == groups(J.link_forest(fps, n, n, np.concatenate(order), 75))
