@@ -227,6 +227,12 @@ def nul_rows(df: DataFrame) -> DataFrame:
     return agg.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("n_bad")) for c in names))).alias("r")).select("r.*")
 
 
+def bad_json(df: DataFrame, column: str = "props") -> DataFrame:
+    """(n_rows, n_bad): rows whose text is no JSON object."""
+    kind = F.coalesce(F.json_object_keys(column).isNotNull(), F.lit(False))
+    return df.agg(F.count("*").alias("n_rows"), F.count_if(~kind).alias("n_bad"))
+
+
 def write_guard(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """What must hold before a graph is written."""
     c = F.col

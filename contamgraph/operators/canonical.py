@@ -66,11 +66,16 @@ def add_protein_exact(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> G
     return nodes, edges.unionByName(stable_distinct(e, ["src", "dst", "edge_type"]).select(*edges.columns))
 
 
+def scaffold_map(flat: DataFrame) -> DataFrame:
+    """(old_id, new_id): each scaffold of ``flat(node_id, flat)`` and the smallest id with its flat text."""
+    keep = flat.groupBy("flat").agg(F.min("node_id").alias("new_id"))
+    return flat.join(keep, "flat").select(F.col("node_id").alias("old_id"), "new_id")
+
+
 def merge_scaffolds(nodes: DataFrame, edges: DataFrame, flat: DataFrame) -> Graph:
     """Scaffolds with equal flat text ``(node_id, flat)`` become the one with the smallest id, labelled by the flat text."""
     group = flat.groupBy("flat").agg(F.min("node_id").alias("keep"), F.count("*").alias("n"))
-    member = flat.join(group, "flat")
-    n, e = apply_id_map(nodes, edges, member.select(F.col("node_id").alias("old_id"), F.col("keep").alias("new_id")))
+    n, e = apply_id_map(nodes, edges, scaffold_map(flat))
     label = group.select(F.col("keep").alias("node_id"), F.col("flat").alias("_flat"), (F.col("n") > 1).alias("_merged"))
     n = n.join(label, "node_id", "left").select(
         "node_id", "node_type", F.coalesce("_flat", "label").alias("label"),

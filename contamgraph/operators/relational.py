@@ -1,9 +1,11 @@
 """Relational building blocks whose results must not depend on partitioning."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contamgraph.plans.lineage import cut
+
 
 def stable_distinct(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each key: the smallest by the remaining columns in order (nulls first).
@@ -77,5 +79,19 @@ def partition_proof(whole: DataFrame, parts: list[DataFrame], key: list[str]) ->
 
 
 def stratified_sample(df: DataFrame, key: str, one_in: int) -> DataFrame:
-    """Deterministic sample by hash of the key, the same on every layout of the data."""
-    return df.where(F.pmod(F.xxhash64(key), F.lit(one_in)) == 0)
+    """Deterministic sample by digest of the key, the same on every layout of the data."""
+    digest = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("long")
+    return df.where(F.pmod(digest, F.lit(one_in)) == 0)
+
+
+def row_index(df: DataFrame, order: list[str], name: str = "row_idx") -> DataFrame:
+    """``df`` with the place of each row in the total order of ``order``, from 0.
+
+    Rows are dealt in ranges and numbered inside them; only the ranges' counts meet.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    dealt = cut(dealt.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33)))
+    count = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    first = count.select("_part", F.coalesce(before, F.lit(0)).alias("_first"))  # one row a range
+    return dealt.join(first, "_part").withColumn(name, F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")

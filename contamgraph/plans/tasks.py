@@ -46,9 +46,20 @@ def code_key(task: Task) -> str:
     return h.hexdigest()[:16]
 
 
+def exists(path: str) -> bool:
+    """Whether a path exists, on any file system that the running session knows; local without one."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return os.path.exists(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
 def fresh(task: Task, stamps: Path) -> bool:
     stamp = stamps / f"{task.name}.json"
-    if not task.outputs or not stamp.exists() or not all(os.path.exists(p) for p in task.outputs):
+    if not task.outputs or not stamp.exists() or not all(map(exists, task.outputs)):
         return False
     return json.loads(stamp.read_text()).get("code") == code_key(task)
 

@@ -121,6 +121,37 @@ def pf_accession(spark, d):
     return s.select("s_suppkey", keys.is_accession(F.col("s_name")).alias("is_acc"), keys.is_accession(made).alias("made_acc"))
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) - 1 AS row_idx FROM orders")
+def pf_row_index(spark, d):
+    o = read_table(spark, d, "orders").select((-F.col("o_custkey")).alias("k"), "o_orderkey")
+    return relational.row_index(o, ["k", "o_orderkey"]).drop("k")
+
+
+@query("SELECT c_custkey FROM customer WHERE CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 15) AS BIGINT) % 10 = 0")
+def pf_sample(spark, d):
+    return relational.stratified_sample(read_table(spark, d, "customer"), "c_custkey", 10).select("c_custkey")
+
+
+@query("SELECT 'event_type' AS \"column\", count(*) AS n_bad FROM events WHERE event_type = 'click' UNION ALL SELECT 'props', 0")
+def pf_nul_rows(spark, d):
+    """A NUL character is planted in every click."""
+    e = read_table(spark, d, "events")
+    return audit.nul_rows(e.select(F.when(F.col("event_type") == "click", F.concat("event_type", F.char(F.lit(0)))).otherwise(F.col("event_type")).alias("event_type"), "props", "value"))
+
+
+@query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE user_id % 7 = 0) AS n_bad FROM events")
+def pf_bad_json(spark, d):
+    e = read_table(spark, d, "events")
+    return audit.bad_json(e.select(F.when(F.col("user_id") % 7 == 0, F.substring("props", 2, 100)).otherwise(F.col("props")).alias("props")))
+
+
+@query(f"""WITH {DOCS}, f AS (SELECT sca, regexp_replace(min(scaffold), '[^a-z ]', '', 'g') AS flat FROM doc_id_ WHERE sca IS NOT NULL GROUP BY sca)
+SELECT sca AS old_id, min(sca) OVER (PARTITION BY flat) AS new_id FROM f""")
+def gr_scaffold_map(spark, d):
+    nodes = emit.emit_nodes(A.text_examples(spark, d)).where("node_type = 'Scaffold'")
+    return canonical.scaffold_map(nodes.select("node_id", F.regexp_replace("label", "[^a-z ]", "").alias("flat")))
+
+
 # ---- joins ----
 
 _MATCH = f"""WITH {DOCS}, ref AS (SELECT row_idx, md5(entity) AS k1, md5(parent) AS k2 FROM doc WHERE row_idx % 3 = 0),
@@ -468,6 +499,39 @@ def gr_clusters(spark, d):
     return canonical.add_clusters(n, e, c)[1].select("src", "dst", "edge_type")
 
 
+@query("""SELECT DISTINCT 'ex:S:' || l_suppkey || ':' || l_orderkey AS src, CASE WHEN l_suppkey % 2 = 1 THEN 'protein:P' || lpad(CAST(l_suppkey % 100000 AS VARCHAR), 5, '0') ELSE 'tgt:S:x' || l_suppkey END AS dst FROM lineitem""")
+def gr_normalise_proteins(spark, d):
+    name = lambda c: F.when(F.col(c) % 2 == 1, F.concat(F.lit("P"), F.lpad((F.col(c) % 100000).cast("string"), 5, "0"))).otherwise(F.concat(F.lit("x"), F.col(c)))
+    nodes = _node(read_table(spark, d, "supplier"), F.concat(F.lit("tgt:S:"), name("s_suppkey")), "Protein")
+    edges = _edge(read_table(spark, d, "lineitem"), F.concat_ws(":", F.lit("ex:S"), "l_suppkey", "l_orderkey"), F.concat(F.lit("tgt:S:"), name("l_suppkey")), "example_has_protein")
+    return canonical.normalise_proteins(nodes, edges)[1].select("src", "dst")
+
+
+@query("""SELECT 'protein:' || least(a, b) AS src, 'protein:' || greatest(a, b) AS dst, '{"pident":99.0,"alnlen":' || max(n) || '}' AS props FROM (SELECT CAST(l_partkey % 40 AS VARCHAR) AS a, CAST(l_suppkey % 40 AS VARCHAR) AS b, CAST(l_quantity AS BIGINT) AS n FROM lineitem)
+WHERE a <> b AND CAST(a AS INT) < 30 AND CAST(b AS INT) < 30 GROUP BY least(a, b), greatest(a, b)""")
+def gr_add_protein_exact(spark, d):
+    """Proteins 0 to 29 are known; pairs with others are left out, and each pair is stored once."""
+    known = spark.range(30).select(F.concat(F.lit("protein:"), "id").alias("node_id"), F.lit("Protein").alias("node_type"), F.lit("").alias("label"), props.empty().alias("props"))
+    li = read_table(spark, d, "lineitem").where("l_partkey % 40 <> l_suppkey % 40")
+    a, b = keys.pair(F.concat(F.lit("protein:"), F.col("l_partkey") % 40), F.concat(F.lit("protein:"), F.col("l_suppkey") % 40))
+    pairs = li.groupBy(a.alias("src"), b.alias("dst")).agg(F.lit(99.0).alias("pident"), F.max("l_quantity").cast("long").alias("alnlen"))
+    return canonical.add_protein_exact(known, spark.createDataFrame([], schema.EDGE_SCHEMA), pairs)[1].select("src", "dst", "props")
+
+
+@query("SELECT 'ex:' || o_orderkey AS src, 'chembl_doc:' || o_custkey AS dst FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def gr_placeholders(spark, d):
+    edges = _edge(read_table(spark, d, "orders"), _named("ex:", "o_orderkey"), _named("chembl_doc:", "o_custkey"), "example_from_publication")
+    made_up = read_table(spark, d, "customer").where("c_acctbal < 0").select(_named("chembl_doc:", "c_custkey").alias("node_id"))
+    return canonical.drop_placeholders(edges, edges, made_up)[1].select("src", "dst")
+
+
+@query("SELECT id, min(name) AS name FROM (SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier) GROUP BY id")
+def gr_merge_corpora(spark, d):
+    c, s = read_table(spark, d, "customer"), read_table(spark, d, "supplier")
+    parts = {"A": c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "B": s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))}
+    return emit.merge_corpora(parts, ("A", "B"), ["id"])
+
+
 # ---- similarity ----
 
 _SIM = """w AS (SELECT id, unnest(list_distinct(string_split(lower(text), ' '))) AS t FROM (SELECT min(doc_id) AS id, text FROM documents WHERE text IS NOT NULL GROUP BY text)),
@@ -839,9 +903,11 @@ def au_rates(spark, d):
     return audit.rates(emit.emit_nodes(x), emit.emit_edges(x))
 
 
-@query(f"WITH {STAR}, t AS (SELECT count(DISTINCT ex) AS n FROM star_id) SELECT axis, n AS n_covered, 100.0::DOUBLE AS pct FROM t, (SELECT unnest(['ligand', 'scaffold', 'protein', 'source']) AS axis)")
+@query(f"""WITH {STAR}, t AS (SELECT count(DISTINCT ex) AS n, count(DISTINCT ex) FILTER (WHERE source <> '2-HIGH') AS m FROM star_id), a AS (SELECT unnest(['ligand', 'scaffold', 'protein', 'source']) AS axis),
+c AS (SELECT axis, n, CASE WHEN axis IN ('ligand', 'scaffold') THEN m ELSE n END AS n_covered FROM t, a) SELECT axis, n_covered, round(100.0 * n_covered / n, 4)::DOUBLE AS pct FROM c""")
 def au_axis_coverage(spark, d):
-    return audit.axis_coverage(*_star_graph(spark, d))
+    nodes, edges = _star_graph(spark, d)
+    return audit.axis_coverage(nodes, edges.where("not (edge_type = 'example_has_ligand' and startswith(src, 'ex:2-HIGH:'))"))
 
 
 @query(f"""WITH {DOCS} SELECT source, coalesce(round(100.0 * count(*) FILTER (WHERE label = 1 AND covered) / nullif(count(*) FILTER (WHERE label = 1), 0), 4), 0) AS pct_pos,

@@ -88,5 +88,10 @@ def reattach(graph_edges: DataFrame, kept: DataFrame, digest: str, types: list[s
     return graph_edges.where(~F.col("edge_type").isin(*types)).unionByName(kept.drop("entity_set"))
 
 
+def write_id_map(mapping: DataFrame, path: str) -> None:
+    """The trace of a merge: one row for each id that another replaced, ordered."""
+    write_ordered(mapping.where("old_id <> new_id").select("old_id", "new_id").distinct(), path, ["old_id"])
+
+
 def stamp(text: dict) -> str:
     return json.dumps(text, sort_keys=True)

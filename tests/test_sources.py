@@ -188,3 +188,8 @@ def test_statistics_and_report(spark, tmp_path):
     got = {r["key"]: r["value"] for r in spark.read.option("header", True).csv(str(tmp_path / "stats")).collect()}
     assert got == {"node": "2", "edge": "1", "node::Example": "1", "node::Ligand": "1", "edge::example_has_ligand": "1"}
     assert "| edge | 1 |" in sinks.markdown(sinks.statistics(n, e), "Counts")
+
+
+def test_id_map(spark, tmp_path):
+    sinks.write_id_map(spark.createDataFrame([("b", "a"), ("a", "a"), ("b", "a")], "old_id string, new_id string"), str(tmp_path / "m"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [("b", "a")]
