@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contamgraph.llm import blocks as B
 from contamgraph.plans.lineage import cut
 
 SHARD_ROWS = 8192
@@ -145,21 +146,36 @@ def _search(k: int, group):
     return run
 
 
-def _groups(blocks: DataFrame, first: tuple | None, k: int):
-    """Query blocks with their floors, in groups of at most ``GROUP_BYTES`` (or one block)."""
+_ASKED = pa.schema([*_PACKED, ("floors", pa.list_(pa.int64()))])
+
+
+def _floors(k: int, first):
+    """Query blocks with the k-th best score of each query in the broadcast first shard (null, if it has fewer)."""
+
+    def run(batches):
+        ids, vectors = first.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                asked, values = np.frombuffer(r["ids"], np.int64), _matrix(r["values"], r["dims"])
+                floors = []
+                for j in range(len(asked)):  # one by one: a repeated id may have several vectors
+                    best = top_of_shard(values[j : j + 1], asked[j : j + 1], vectors, ids, k)
+                    floors.append(best[k - 1][2] if len(best) >= k else None)
+                yield B.table({c: [r[c]] for c in _PACKED.names} | {"floors": [floors]}, _ASKED)
+
+    return run
+
+
+def _groups(blocks: DataFrame):
+    """Query blocks in groups of at most ``GROUP_BYTES`` (or one block)."""
     held, size = [], 0
     for r in blocks.toLocalIterator():
-        ids, values, dims = bytes(r["ids"]), bytes(r["values"]), r["dims"]
+        values = bytes(r["values"])
         if held and size + len(values) > GROUP_BYTES:
             yield held
             held, size = [], 0
-        numbers = np.frombuffer(ids, np.int64)
-        best: dict[int, list[int]] = {}
-        # a repeated query id has several vectors: its rows are searched apart
-        hits = [top_of_shard(_matrix(values, dims)[i : i + 1], numbers[i : i + 1], *first, k) for i in range(len(numbers))]
-        for i, own in enumerate(hits):
-            best[i] = [s for _, _, s in own]
-        held.append((ids, values, dims, [best[i][k - 1] if len(best[i]) >= k else None for i in range(len(numbers))]))
+        held.append((bytes(r["ids"]), values, r["dims"], list(r["floors"])))
         size += len(values)
     if held:
         yield held
@@ -178,13 +194,15 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     place = F.xxhash64("id", "v")
     shards = cut(rows.repartition(max(1, -(-n // SHARD_ROWS)), place).mapInArrow(_pack("s", SHARD_ROWS), _PACKED_DDL))
     asks = rows.where(F.pmod("id", F.lit(every)) == 0).distinct()
-    blocks = cut(asks.repartition(max(1, -(-n // every // QUERY_ROWS)), place).mapInArrow(_pack("q", QUERY_ROWS), _PACKED_DDL))
     seed = shards.limit(1).collect()
-    hits = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    hits = None
     if seed:
-        first = (_matrix(bytes(seed[0]["values"]), seed[0]["dims"]), np.frombuffer(bytes(seed[0]["ids"]), np.int64))
-        for group in _groups(blocks, first, k):
-            sent = spark.sparkContext.broadcast(group)
-            hits = hits.unionByName(shards.mapInArrow(_search(k, sent), "query_id long, vec_id long, score long"))
+        first = spark.sparkContext.broadcast((np.frombuffer(bytes(seed[0]["ids"]), np.int64), _matrix(bytes(seed[0]["values"]), seed[0]["dims"])))
+        packed = asks.repartition(max(1, -(-n // every // QUERY_ROWS)), place).mapInArrow(_pack("q", QUERY_ROWS), _PACKED_DDL)
+        for group in _groups(cut(packed.mapInArrow(_floors(k, first), f"{_PACKED_DDL}, floors array<long>"))):
+            found = shards.mapInArrow(_search(k, spark.sparkContext.broadcast(group)), "query_id long, vec_id long, score long")
+            hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        hits = spark.createDataFrame([], "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias("vec_id"), "score")

@@ -62,3 +62,14 @@ def test_pruning_never_changes_the_result():
 
 def test_empty_table(spark):
     assert M.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_query_groups(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_ROWS", 50)
+    monkeypatch.setattr(M, "QUERY_ROWS", 3)
+    monkeypatch.setattr(M, "GROUP_BYTES", 1000)
+    rows = data(200, 8) + [(0, data(20, 8, 9)[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, M.top_k(df.where("vec_id > 0"), every=10).collect()))
+    assert got == brute([r for r in rows if r[0] > 0], 5, 10)
+    assert M.top_k(df, every=10).where("query_id = 0").count() == 5
