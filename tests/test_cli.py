@@ -16,6 +16,14 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["canonicalise", f"{tmp_path}/raw", f"{tmp_path}/kg"]) == 0
     assert cli.main(["audit", f"{tmp_path}/kg", "--report"]) == 0
     assert "| dangling | passed | 0 |" in capsys.readouterr().out
+    failed = cli.main(["audit", f"{tmp_path}/kg", "--full"])
+    told = capsys.readouterr().out
+    assert failed > 5 and "| unpopulated_protein_exact | FAILED | 1 |" in told and "| label_type_values | FAILED | 2 |" in told
+    spark.createDataFrame([("tgt:S:0", "protein:P0")], "old_id string, new_id string").write.parquet(f"{tmp_path}/map")
+    assert cli.main(["canonicalise", f"{tmp_path}/raw", f"{tmp_path}/some", "--corpus", "S", "--limit", "3", "--protein-map", f"{tmp_path}/map"]) == 0
+    some, some_edges = sinks.read_graph(spark, f"{tmp_path}/some")
+    assert some.where("node_type = 'Example'").count() == 3 and {r["dst"] for r in some_edges.where("edge_type = 'example_has_protein' and src like 'ex:S:0:%'").collect()} == {"protein:P0"}
+    assert cli.restricted(some, some_edges, "other")[1].where("src like 'ex:%'").count() == 0
     assert cli.main(["stats", f"{tmp_path}/kg", f"{tmp_path}/stats"]) == 0
     nodes, edges = sinks.read_graph(spark, f"{tmp_path}/kg")
     nodes.where("node_type <> 'Split'").write.parquet(f"{tmp_path}/bad/nodes")
