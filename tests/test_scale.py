@@ -55,3 +55,8 @@ def same_as_listed(spark, star, name, key, prefix):
 def test_gr_wire_assay_lists_no_paths(spark, star):
     got, want = same_as_listed(spark, star, "gr_wire_assay", "o_orderkey", "chembl_asy:")
     assert got == want
+
+
+def test_gr_wire_publication_lists_no_paths(spark, star):
+    got, want = same_as_listed(spark, star, "gr_wire_publication", "o_custkey", "chembl_doc:")
+    assert got == want
