@@ -60,3 +60,8 @@ def test_gr_wire_assay_lists_no_paths(spark, star):
 def test_gr_wire_publication_lists_no_paths(spark, star):
     got, want = same_as_listed(spark, star, "gr_wire_publication", "o_custkey", "chembl_doc:")
     assert got == want
+
+
+def test_top_assays_lists_no_paths(spark, star):
+    got, want = same_as_listed(spark, star, "top_assays", "o_orderkey", "chembl_asy:")
+    assert got == want  # fewer than 100 assays
