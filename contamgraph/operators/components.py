@@ -33,6 +33,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return _distinct_edges(moved.unionByName(smallest.select("u", F.col("m").alias("v"))))
 
 
+def _state(stars: DataFrame) -> tuple[int, int | None]:
+    """Count and digest of distinct edges; bits are combined, since a sum of digests overflows beyond 2**24 rows."""
+    row = stars.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
+    return row["n"], row["h"]
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every vertex that an edge names.
 
@@ -47,11 +53,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         stars = cut(_small_star(_large_star(stars)))
         # a star forest is reached exactly when the edge set repeats
-        row = stars.agg(
-            F.count("*").alias("n"),
-            F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h"),
-        ).first()
-        now = (row["n"], row["h"])
+        now = _state(stars)
         if now == before:
             break
         before = now

@@ -89,3 +89,12 @@ def test_equal_texts_meet_by_digest(spark):
     one = relational.smallest_of_equal(df.groupBy("k", "text").count().drop("count").localCheckpoint(), "k", "text")
     assert sorted((r["k"], r["text"]) for r in one.collect()) == [(2, "a"), (3, ""), (9, "b")]
     assert "Aggregate" not in plan(one), "texts are grouped"
+
+
+def test_components_tell_rounds_apart_beyond_the_range_of_a_sum(spark):
+    from contamgraph.operators import components
+
+    edges = spark.range(20_000_000).select(F.col("id").alias("u"), (-F.col("id")).alias("v"))
+    n, h = components._state(edges)
+    assert n == 20_000_000
+    assert (n, h) == components._state(edges.repartition(3)) != components._state(edges.withColumn("v", F.col("v") - (F.col("u") == 7).cast("int")))
