@@ -98,3 +98,21 @@ def test_components_tell_rounds_apart_beyond_the_range_of_a_sum(spark):
     n, h = components._state(edges)
     assert n == 20_000_000
     assert (n, h) == components._state(edges.repartition(3)) != components._state(edges.withColumn("v", F.col("v") - (F.col("u") == 7).cast("int")))
+
+
+def test_known_repeats_emit_the_same_graph(spark, star):
+    from contamgraph import adapters
+    from contamgraph.operators import emit
+    from contamgraph.plans.lineage import cut
+
+    x = cut(adapters.star_examples(spark, star))
+    x = cut(x.unionByName(x.limit(20).withColumn("label_type", F.lit("odd"))).unionByName(x.limit(3).withColumn("entity", F.lit(None).cast("string"))))
+    again = emit.repeated(x)
+    ids = [r["n"] for r in emit.with_ids(x).groupBy("example_id").agg(F.count("*").alias("n")).collect()]
+    assert again.count() == sum(n > 1 for n in ids) and 1 in ids
+    for plain, known in ((emit.emit_nodes(x), emit.emit_nodes(x, again)), (emit.emit_edges(x), emit.emit_edges(x, again))):
+        assert sorted(map(str, known.collect())) == sorted(map(str, plain.collect()))
+    few = plan(emit.emit_edges(x.where("target = '1'"), emit.repeated(x.where("target = '1'"))))
+    assert "LeftAnti" in few and "LeftSemi" in few, "edges of examples that do not repeat are dealt anew"
+    alone = x.where("false")
+    assert emit.emit_edges(alone, emit.repeated(alone)).count() == emit.emit_nodes(alone, emit.repeated(alone)).count() == 0
