@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from contamgraph import schema
 from contamgraph.functions import keys, props
+from contamgraph.operators.canonical import counted_ends
+from contamgraph.operators.relational import sent
+from contamgraph.operators.stars import Stars
+from contamgraph.plans.lineage import cut
 
 
 def _row(name: str, bad: DataFrame) -> DataFrame:
@@ -29,6 +33,17 @@ def _report(checks: dict[str, DataFrame]) -> DataFrame:
     return _union(*(_row(k, v) for k, v in checks.items()))
 
 
+def _added(*parts: DataFrame) -> DataFrame:
+    """A row for each check, its counts summed over the parts."""
+    return _union(*parts).groupBy("check").agg(F.sum("n_bad").alias("n_bad")).withColumn("passed", F.col("n_bad") == 0)
+
+
+def _of_stars(stars: Stars, ids: DataFrame) -> DataFrame:
+    """Which of ``ids(node_id, k)`` are stars: the ids that begin like one are looked for among these, if there are any."""
+    begun = cut(ids.where(F.startswith("node_id", F.lit(schema.NODE_PREFIXES["Example"]))).select("node_id", "k"))
+    return begun if begun.isEmpty() else cut(stars.rows.select("node_id").join(sent(begun), "node_id").groupBy("node_id").agg(F.min("k").alias("k")))
+
+
 def _by_id(nodes: DataFrame, edges: DataFrame, of_node: dict[str, Column], of_src: dict[str, Column], of_dst: dict[str, Column]) -> DataFrame:
     """Sums of 0/1 columns over the rows that name an id, as a node, as a source, as a destination."""
     names = [*of_node, *of_src, *of_dst]
@@ -112,25 +127,36 @@ def semantics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Degree recount, similarity range, disjoint pair types, labels, label types and splits."""
+def facts(nodes: DataFrame, edges: DataFrame, stars: Stars | None = None) -> DataFrame:
+    """Degree recount, similarity range, disjoint pair types, labels, label types and splits.
+
+    ``stars`` are examples kept apart: their own checks are one pass, and only the ends of their
+    edges are counted by id.  They have no edge of a pair type.
+    """
     c = F.col
-    t, kind, label = props.number("props", "tanimoto"), c("edge_type"), props.text("props", "label")
+    t, kind = props.number("props", "tanimoto"), c("edge_type")
     n = nodes.select("node_id", F.col("degree").alias("told"))
-    ids = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("k"))
+    ids = counted_ends(edges, None if stars is None else stars.counts())
     pairs = edges.where(kind.isin("ligand_parent_exact", "ligand_exact")).groupBy("src", "dst").agg(F.count_if(kind == "ligand_parent_exact").alias("parent"), F.count_if(kind == "ligand_exact").alias("same"))
-    known = props.text("props", "label_type")
+    of_example = lambda label, known, split: {
+        "label_binary": F.count_if(label.isNull() | ~label.isin("0", "1")), "label_type_known": F.count_if(known.isNull() | ~known.isin(*schema.LABEL_TYPES)),
+        "split_present": F.count_if(split.isNull()),
+    }
+    examples = _totals(nodes.where("node_type = 'Example'"), of_example(*(props.text("props", x) for x in ("label", "label_type", "split"))))
+    own = _union(_row("degree_recount", n.join(ids, "node_id", "left").where("told <> coalesce(k, 0)")), examples)
+    if stars is not None:
+        rows, degree, more = stars.rows, stars.degree(), _of_stars(stars, counted_ends(edges))
+        if not more.isEmpty():
+            rows, degree = rows.join(sent(more), "node_id", "left"), degree + F.coalesce(c("k"), F.lit(0))
+        told = rows.select((c("degree") != degree).alias("_wrong"), F.json_tuple("props", "label", "label_type", "split").alias("y", "t", "s"))  # read once
+        own = _added(own, _totals(told, {"degree_recount": F.count_if("_wrong")} | of_example(c("y"), c("t"), c("s"))))
     return _union(
-        _row("degree_recount", n.join(ids, "node_id", "left").where("told <> coalesce(k, 0)")),
+        own,
         _totals(edges, {
             "similarity_range": F.count_if((kind == "ligand_similar") & (t.isNull() | (t < schema.SIMILARITY_FLOOR) | (t >= schema.EXACT_FLOOR))),
             "fingerprint_floor": F.count_if((kind == "ligand_fingerprint_exact") & (t.isNull() | (t < schema.EXACT_FLOOR))),
         }),
         _totals(pairs, {"parent_disjoint_from_exact": F.sum(F.when(c("same") > 0, c("parent")))}),
-        _totals(nodes.where("node_type = 'Example'"), {
-            "label_binary": F.count_if(label.isNull() | ~label.isin("0", "1")), "label_type_known": F.count_if(known.isNull() | ~known.isin(*schema.LABEL_TYPES)),
-            "split_present": F.count_if(props.text("props", "split").isNull()),
-        }),
     )
 
 
@@ -233,20 +259,48 @@ def bad_json(df: DataFrame, column: str = "props") -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.count_if(~kind).alias("n_bad"))
 
 
-def write_guard(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """What must hold before a graph is written."""
+def write_guard(nodes: DataFrame, edges: DataFrame, stars: Stars | None = None) -> DataFrame:
+    """What must hold before a graph is written; ``stars`` are examples kept apart."""
     c = F.col
-    ids = _by_id(nodes, edges, {"n": F.lit(1)}, {"s": F.lit(1)}, {"d": F.lit(1)})
-    text = lambda df: reduce(lambda a, b: a | b, (props.has_nul(F.col(f.name)) for f in df.schema if f.dataType.simpleString() == "string"))
-    kind = F.col("node_type")
-    return _union(
+    any_nul = lambda columns: reduce(lambda a, b: a | b, (props.has_nul(F.col(x)) for x in columns))
+    text = lambda df: any_nul(f.name for f in df.schema if f.dataType.simpleString() == "string")
+    kind, bare = F.col("node_type"), F.count_if(~F.contains("node_id", F.lit(":")))
+    rows = _union(
         _totals(nodes, {
             "nul_in_nodes": F.count_if(text(nodes)), "unknown_node_type": F.count_if(~kind.isin(*schema.NODE_PREFIXES)), "empty_type": F.count_if(F.coalesce(kind, F.lit("")) == ""),
-            "id_without_prefix": F.count_if(~F.contains("node_id", F.lit(":"))),
+            "id_without_prefix": bare,
         }),
         _totals(edges, {"nul_in_edges": F.count_if(text(edges)), "unknown_edge_type": F.count_if(~c("edge_type").isin(*schema.weights()))}),
-        _totals(ids, {"duplicate_node_id": F.count_if(c("n") > 1), "dangling": F.sum(F.when(c("n") == 0, c("s") + c("d")))}),
     )
+    if stars is None:
+        ids = _by_id(nodes, edges, {"n": F.lit(1)}, {"s": F.lit(1)}, {"d": F.lit(1)})
+        return _union(rows, _totals(ids, {"duplicate_node_id": F.count_if(c("n") > 1), "dangling": F.sum(F.when(c("n") == 0, c("s") + c("d")))}))
+    total = lambda of: reduce(lambda a, b: a + b, (of(x) for x in stars.types), F.lit(0))
+    own = _totals(stars.rows, {
+        "nul_in_nodes": F.count_if(any_nul(("node_id", "label", "props"))), "id_without_prefix": bare,
+        "nul_in_edges": F.sum(F.when(props.has_nul(c("node_id")), stars.degree()).otherwise(total(lambda x: F.coalesce(props.has_nul(c(x)).cast("long"), F.lit(0))))),
+        "unknown_edge_type": F.sum(total(lambda x: F.lit(0) if x in schema.weights() else c(x).isNotNull().cast("long"))),
+    })
+    return _union(_added(rows, own), _row("duplicate_node_id", _repeated_ids(nodes, stars)), _totals(_dangling(nodes, edges, stars), {"dangling": F.sum("k")}))
+
+
+def _repeated_ids(nodes: DataFrame, stars: Stars) -> DataFrame:
+    """Ids of several nodes: digests meet first, then the ids of those that several rows have."""
+    ids = [nodes.select("node_id", F.lit(0).alias("s")), stars.rows.select("node_id", F.lit(1).alias("s"))]
+    met = _union(*(x.select(F.xxhash64("node_id").alias("_digest"), "s") for x in ids)).repartition("_digest")  # nothing to combine before
+    met = cut(met.groupBy("_digest").agg(F.count("*").alias("n"), F.sum("s").alias("s")).where("n > 1").select("_digest", "s"))
+    again = ids[0].withColumn("_digest", F.xxhash64("node_id")).join(sent(met.select("_digest")), "_digest", "left_semi").select("node_id")
+    of_stars = met.where("s > 0").select("_digest")
+    if not of_stars.isEmpty():
+        again = again.unionByName(ids[1].withColumn("_digest", F.xxhash64("node_id")).join(sent(of_stars), "_digest", "left_semi").select("node_id"))
+    return again.groupBy("node_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def _dangling(nodes: DataFrame, edges: DataFrame, stars: Stars) -> DataFrame:
+    """(node_id, k): ends of edges that no node has, and how many there are."""
+    lost = cut(counted_ends(edges, stars.counts()).join(nodes, "node_id", "left_anti"))
+    found = _of_stars(stars, lost)
+    return lost if found.isEmpty() else lost.join(found, "node_id", "left_anti")
 
 
 def foreign_prefixes(nodes: DataFrame) -> DataFrame:

@@ -29,9 +29,13 @@ def dropped_types(nodes: DataFrame) -> DataFrame:
 
 def normalise_proteins(nodes: DataFrame, edges: DataFrame) -> Graph:
     """``tgt:<source>:<accession>`` becomes ``protein:<accession>``."""
+    return apply_id_map(nodes, edges, accession_map(nodes))
+
+
+def accession_map(nodes: DataFrame) -> DataFrame:
+    """(old_id, new_id) of proteins whose id ends in an accession."""
     acc = F.nullif(F.regexp_extract("node_id", r"^tgt:[^:]*:(.*)$", 1), F.lit(""))
-    mapping = nodes.where("node_type = 'Protein'").where(keys.is_accession(acc)).select(F.col("node_id").alias("old_id"), F.concat(F.lit("protein:"), acc).alias("new_id"))
-    return apply_id_map(nodes, edges, mapping)
+    return nodes.where("node_type = 'Protein'").where(keys.is_accession(acc)).select(F.col("node_id").alias("old_id"), F.concat(F.lit("protein:"), acc).alias("new_id"))
 
 
 def apply_id_map(nodes: DataFrame, edges: DataFrame, mapping: DataFrame, node_type: str | None = None) -> Graph:
@@ -158,9 +162,10 @@ def drop_placeholders(nodes: DataFrame, edges: DataFrame, placeholders: DataFram
     return nodes, edges.where(~named).unionByName(edges.where(named).join(p, "dst", "left_anti").select(*edges.columns))
 
 
-def drop_orphans(nodes: DataFrame, edges: DataFrame, pinned: tuple[str, ...] = ("DatasetSource", "DecoyProtocol")) -> Graph:
-    """Nodes that no edge names go, unless their type is pinned."""
-    used = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+def drop_orphans(nodes: DataFrame, edges: DataFrame, pinned: tuple[str, ...] = ("DatasetSource", "DecoyProtocol"), more: DataFrame | None = None) -> Graph:
+    """Nodes that no edge names go, unless their type is pinned; ``more(node_id)`` are named by other edges."""
+    used = edges.select(F.explode(F.array("src", "dst")).alias("node_id"))
+    used = (used if more is None else used.unionByName(more.select("node_id"))).distinct()
     keep = nodes.join(used, "node_id", "left_semi").unionByName(nodes.where(F.col("node_type").isin(*pinned)).join(used, "node_id", "left_anti"))
     return keep.select(*nodes.columns), edges
 
@@ -201,13 +206,21 @@ def one_example_protein(nodes: DataFrame, edges: DataFrame) -> Graph:
     return nodes, edges.where(~own).unionByName(kept.select(*edges.columns))
 
 
-def with_degree(nodes: DataFrame, edges: DataFrame) -> Graph:
-    """In plus out count of every node; 0 where no edge names it."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("degree"))
+def with_degree(nodes: DataFrame, edges: DataFrame, more: DataFrame | None = None) -> Graph:
+    """In plus out count of every node; 0 where no edge names it.  ``more(node_id, k)`` are counts of other edges."""
+    ends = counted_ends(edges, more).withColumnRenamed("k", "degree")
     n = nodes.join(ends, "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
     return n, edges
 
 
+def counted_ends(edges: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(node_id, k): how many ends of edges name each id, with the counts ``more(node_id, k)`` of other edges."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id"))
+    if more is None:
+        return ends.groupBy("node_id").agg(F.count("*").alias("k"))
+    return ends.withColumn("k", F.lit(1).cast("long")).unionByName(more.select("node_id", "k")).groupBy("node_id").agg(F.sum("k").alias("k"))
+
+
 #: The stages that need no side tables, in order.
 STAGES = (map_schema, normalise_proteins, one_scaffold, split_exact_similarity, sort_pairs, drop_without_ligand, prune_dangling, one_example_protein, drop_orphans, merge_sources, enrich_examples, with_degree)
 
